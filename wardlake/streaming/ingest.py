@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from wardlake import schemas
 from wardlake.functions.measures import month_of
-from wardlake.plans import gold, silver
+from wardlake.plans import gold as gold_layer
+from wardlake.plans import silver as silver_layer
 from wardlake.plans.views import Gold
 from wardlake.sources.bronze import DATASETS, SOURCE_PATH, csv_options, with_source_path
 from wardlake.sources.events import PREFIXES
@@ -36,35 +37,35 @@ class Lake:
     @property
     def silver_pbj(self) -> LakeTable:
         return self._table(
-            "silver_pbj_daily", schemas.SILVER_PBJ_DAILY, silver.PBJ_KEYS,
+            "silver_pbj_daily", schemas.SILVER_PBJ_DAILY, silver_layer.PBJ_KEYS,
             partition_by=("state",), slice_name="month", slice_of=month_of("workdate"),
         )
 
     @property
     def silver_providerinfo(self) -> LakeTable:
         return self._table(
-            "silver_providerinfo", schemas.SILVER_PROVIDERINFO, silver.PROVIDER_KEYS,
+            "silver_providerinfo", schemas.SILVER_PROVIDERINFO, silver_layer.PROVIDER_KEYS,
             partition_by=("state",),
         )
 
     @property
     def daily(self) -> LakeTable:
         return self._table(
-            "gold_daily_staffing_fact", schemas.GOLD_DAILY, gold.DAILY_KEYS,
+            "gold_daily_staffing_fact", schemas.GOLD_DAILY, gold_layer.DAILY_KEYS,
             partition_by=("state",), slice_name="month", slice_of=month_of("workdate"),
         )
 
     @property
     def quarterly(self) -> LakeTable:
         return self._table(
-            "gold_quarterly_provider_fact", schemas.GOLD_QUARTERLY, gold.QUARTERLY_KEYS,
+            "gold_quarterly_provider_fact", schemas.GOLD_QUARTERLY, gold_layer.QUARTERLY_KEYS,
             partition_by=("state",), slice_name="reporting_period_quarter",
             slice_of=F.col("reporting_period_quarter"),
         )
 
     @property
     def facilities(self) -> LakeTable:
-        return self._table("gold_facility_dim", schemas.GOLD_FACILITY_DIM, gold.DIM_KEYS)
+        return self._table("gold_facility_dim", schemas.GOLD_FACILITY_DIM, gold_layer.DIM_KEYS)
 
     @property
     def ledger(self) -> FileLedger:
@@ -75,7 +76,7 @@ class Lake:
 
     def load(
         self, dataset: str, bronze: DataFrame, source_path: str,
-        quarter: str = gold.DEFAULT_QUARTER,
+        quarter: str = gold_layer.DEFAULT_QUARTER,
     ) -> None:
         """The whole chain for one raw file."""
         self.ledger.pending(dataset, source_path)
@@ -86,20 +87,20 @@ class Lake:
         self.ledger.done(source_path)
 
     def _load_pbj(self, bronze: DataFrame, source_path: str) -> None:
-        rows = silver.silver_pbj(bronze, source_path)
+        rows = silver_layer.silver_pbj(bronze, source_path)
         self.silver_pbj.merge(rows)
         # A daily row is replaced as a whole, so the file's rows are the merged rows.
-        self.daily.merge(gold.gold_daily(rows))
+        self.daily.merge(gold_layer.gold_daily(rows))
 
     def _load_providerinfo(self, bronze: DataFrame, source_path: str, quarter: str) -> None:
-        rows = silver.silver_providerinfo(bronze, source_path)
+        rows = silver_layer.silver_providerinfo(bronze, source_path)
         self.silver_providerinfo.merge(rows, keep_old_when_null=True)
         # Gold takes the merged rows of the file's facilities, not all of silver.
         merged = self.silver_providerinfo.read().join(rows.select("ccn"), "ccn", "left_semi")
         self.quarterly.merge(
-            gold.gold_quarterly(merged, quarter), update=gold.QUARTERLY_UPDATES
+            gold_layer.gold_quarterly(merged, quarter), update=gold_layer.QUARTERLY_UPDATES
         )
-        self.facilities.merge(gold.gold_facility_dim(merged))
+        self.facilities.merge(gold_layer.gold_facility_dim(merged))
 
 
 def bronze_stream(spark: SparkSession, landing: str, dataset: str) -> DataFrame:
@@ -113,7 +114,7 @@ def bronze_stream(spark: SparkSession, landing: str, dataset: str) -> DataFrame:
 
 
 def run_ingest(
-    spark: SparkSession, landing: str, lake_path: str, quarter: str = gold.DEFAULT_QUARTER
+    spark: SparkSession, landing: str, lake_path: str, quarter: str = gold_layer.DEFAULT_QUARTER
 ) -> Lake:
     """Bring every file that has arrived below ``landing`` into the lake, then stop.
 
