@@ -24,7 +24,7 @@ from wardlake.sources.events import PREFIXES, route_events  # noqa: E402
 from wardlake.sources.export import export_csv  # noqa: E402
 from wardlake.sources.ledger import log_pending, mark_done  # noqa: E402
 from wardlake.sources.tables import write_partitioned  # noqa: E402
-from wardlake.streaming.ingest import run_ingest  # noqa: E402
+from wardlake.streaming.ingest import Lake, run_ingest  # noqa: E402
 
 ENTRY_DATA = "/root/testdata/sf0.001"
 FACILITY_ORDER = ("-hprd_weighted", "provider_name", "ccn", "state")
@@ -108,7 +108,7 @@ def _coerce_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw files written one after the other, ingested from the landing folder, then viewed."""
     landing = scratch_path(spark, "landing")
-    lake = scratch_path(spark, "lake")
+    lake = Lake(spark, scratch_path(spark, "lake"))
     for second in (False, True):
         for dataset, raw in (
             ("providerinfo", sample.bronze_providerinfo(spark, sf_dir, second)),
@@ -116,13 +116,13 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         ):
             folder = f"{landing}/{PREFIXES[dataset]}"
             raw.write.mode("append").options(**csv_options()).csv(folder)
-        run_ingest(spark, landing, lake)
-    return views.hours_facility_monthly(run_ingest(spark, landing, lake).gold())
+    run_ingest(lake, landing)
+    return views.hours_facility_monthly(lake.gold())
 
 
 def _partitioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "daily")
-    write_partitioned(sample.daily_fact(spark, sf_dir), path, ["state"])
+    write_partitioned(sample.daily_fact(spark, sf_dir), path, ["state"], ["ccn", "workdate"])
     return spark.read.schema(GOLD_DAILY).parquet(path).select(*GOLD_DAILY.names)
 
 

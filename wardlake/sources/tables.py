@@ -22,6 +22,11 @@ from wardlake.schemas import SLICE_LOG
 WHOLE = "all"
 
 
+def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, in a form that lets the optimizer drop joins with it."""
+    return spark.createDataFrame([], schema).limit(0)
+
+
 def read_if_written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The Parquet folder, or no rows where nothing has been written yet."""
     try:
@@ -29,17 +34,24 @@ def read_if_written(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
 
 
-def write_partitioned(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Write one folder per value of ``columns``.
+def write_partitioned(
+    df: DataFrame, path: str, folders: list[str], cluster_by: list[str] | None = None
+) -> None:
+    """Write one folder per value of ``folders``, its rows sorted by ``cluster_by``.
 
-    Rebalancing puts each folder's rows together and, with adaptive execution,
-    splits a folder that holds far more rows than the rest over several tasks.
+    Rebalancing brings the rows of a folder and of a first cluster value
+    together, so that files are few and skip well; with adaptive execution a
+    value that holds far more rows than the rest is split over several tasks.
     """
-    balanced = df.hint("rebalance", *(F.col(name) for name in columns)) if columns else df
-    balanced.write.mode("overwrite").partitionBy(*columns).parquet(path)
+    cluster_by = cluster_by or []
+    together = [*folders, *cluster_by[:1]]
+    if together:
+        df = df.hint("rebalance", *(F.col(name) for name in together))
+        df = df.sortWithinPartitions(*folders, *cluster_by)
+    df.write.mode("overwrite").partitionBy(*folders).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -48,6 +60,8 @@ class LakeTable:
 
     ``slice_name`` and ``slice_of`` give the column that cuts the table into
     slices and the expression for it; without them the table is one slice.
+    ``partition_by`` adds folders below a slice, ``cluster_by`` sorts the rows
+    within a folder, which lets a scan skip row groups without more folders.
     """
 
     spark: SparkSession
@@ -55,6 +69,7 @@ class LakeTable:
     schema: T.StructType
     keys: tuple[str, ...]
     partition_by: tuple[str, ...] = ()
+    cluster_by: tuple[str, ...] = ()
     slice_name: str | None = None
     slice_of: Column | None = None
 
@@ -87,7 +102,7 @@ class LakeTable:
             if slices is None or name in slices
         ]
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         return (
             self.spark.read.schema(schema)
             .option("basePath", f"{self.path}/data")
@@ -107,11 +122,11 @@ class LakeTable:
         if not slices:
             return
         generation = max(self._current().values(), default=0) + 1
-        columns = list(self.partition_by)
+        folders = list(self.partition_by)
         if self.slice_name:
             df = df.withColumn(self.slice_name, self.slice_of)
-            columns = [self.slice_name, *columns]
-        write_partitioned(df, self._folder(generation), columns)
+            folders = [self.slice_name, *folders]
+        write_partitioned(df, self._folder(generation), folders, list(self.cluster_by))
         log = self.spark.createDataFrame([(name, generation) for name in slices], SLICE_LOG)
         log.coalesce(1).write.mode("append").parquet(f"{self.path}/current")
 

@@ -26,40 +26,53 @@ from wardlake.sources.tables import LakeTable
 
 @dataclass(frozen=True)
 class Lake:
-    """Every stored table of one lake folder."""
+    """Every stored table of one lake folder.
+
+    Daily tables have one folder per month and provider facts one per quarter;
+    rows are sorted by state and facility within them. With ``state_folders``
+    each state has a folder of its own as well, which suits lakes whose state
+    months fill whole files.
+    """
 
     spark: SparkSession
     path: str
+    state_folders: bool = False
 
     def _table(self, name: str, schema, keys: list[str], **cut) -> LakeTable:
-        return LakeTable(self.spark, f"{self.path}/{name}", schema, tuple(keys), **cut)
+        layout = (
+            {"partition_by": ("state",), "cluster_by": ("ccn",)}
+            if self.state_folders
+            else {"cluster_by": ("state", "ccn")}
+        )
+        return LakeTable(
+            self.spark, f"{self.path}/{name}", schema, tuple(keys), **layout, **cut
+        )
 
     @property
     def silver_pbj(self) -> LakeTable:
         return self._table(
             "silver_pbj_daily", schemas.SILVER_PBJ_DAILY, silver_layer.PBJ_KEYS,
-            partition_by=("state",), slice_name="month", slice_of=month_of("workdate"),
+            slice_name="month", slice_of=month_of("workdate"),
         )
 
     @property
     def silver_providerinfo(self) -> LakeTable:
         return self._table(
-            "silver_providerinfo", schemas.SILVER_PROVIDERINFO, silver_layer.PROVIDER_KEYS,
-            partition_by=("state",),
+            "silver_providerinfo", schemas.SILVER_PROVIDERINFO, silver_layer.PROVIDER_KEYS
         )
 
     @property
     def daily(self) -> LakeTable:
         return self._table(
             "gold_daily_staffing_fact", schemas.GOLD_DAILY, gold_layer.DAILY_KEYS,
-            partition_by=("state",), slice_name="month", slice_of=month_of("workdate"),
+            slice_name="month", slice_of=month_of("workdate"),
         )
 
     @property
     def quarterly(self) -> LakeTable:
         return self._table(
             "gold_quarterly_provider_fact", schemas.GOLD_QUARTERLY, gold_layer.QUARTERLY_KEYS,
-            partition_by=("state",), slice_name="reporting_period_quarter",
+            slice_name="reporting_period_quarter",
             slice_of=F.col("reporting_period_quarter"),
         )
 
@@ -114,13 +127,13 @@ def bronze_stream(spark: SparkSession, landing: str, dataset: str) -> DataFrame:
 
 
 def run_ingest(
-    spark: SparkSession, landing: str, lake_path: str, quarter: str = gold_layer.DEFAULT_QUARTER
-) -> Lake:
+    lake: Lake, landing: str, quarter: str = gold_layer.DEFAULT_QUARTER
+) -> None:
     """Bring every file that has arrived below ``landing`` into the lake, then stop.
 
     Files in other folders are never looked at.
     """
-    lake = Lake(spark, lake_path)
+    spark = lake.spark
     for dataset in DATASETS:
         try:
             stream = bronze_stream(spark, landing, dataset)
@@ -140,9 +153,8 @@ def run_ingest(
 
         (
             stream.writeStream.foreachBatch(one_batch)
-            .option("checkpointLocation", f"{lake_path}/checkpoints/{dataset}")
+            .option("checkpointLocation", f"{lake.path}/checkpoints/{dataset}")
             .trigger(availableNow=True)
             .start()
             .awaitTermination()
         )
-    return lake
