@@ -130,47 +130,53 @@ def kpi(
     )
 
 
-def _nice_step(low: Column, high: Column, maxbins: int) -> Column:
-    """Widest-useful round bin width: 1, 2 or 5 times a power of ten, at most ``maxbins`` bins."""
-    width = high - low
-    span = F.when(width > 0, width).when(low != 0, F.abs(low)).otherwise(F.lit(1.0))
+def _round_width(edges: DataFrame, maxbins: int) -> DataFrame:
+    """Add ``step``: 1, 2 or 5 times a power of ten that gives at most ``maxbins`` bins.
+
+    One column per stage keeps each expression small.
+    """
+    width = F.col("high") - F.col("low")
     level = len(str(maxbins - 1)) if maxbins > 1 else 0
-    step = F.pow(F.lit(10.0), F.floor(F.log10(span) + 0.5) - level)
+    span, step = F.col("span"), F.col("step")
+    edges = edges.withColumn(
+        "span",
+        F.when(width > 0, width).when(F.col("low") != 0, F.abs("low")).otherwise(F.lit(1.0)),
+    ).withColumn("step", F.pow(F.lit(10.0), F.floor(F.log10(span) + 0.5) - level))
     # Two enlargements always suffice: the first guess is within a factor of
     # ten to the one and a half of the number of bins asked for.
     for _ in range(2):
-        step = F.when(F.ceil(span / step) > maxbins, step * 10).otherwise(step)
+        edges = edges.withColumn(
+            "step", F.when(F.ceil(span / step) > maxbins, step * 10).otherwise(step)
+        )
     for part in (5, 2):
-        step = F.when(span / (step / part) <= maxbins, step / part).otherwise(step)
-    return step
+        edges = edges.withColumn(
+            "step", F.when(span / (step / part) <= maxbins, step / part).otherwise(step)
+        )
+    return edges
 
 
 def histogram(df: DataFrame, column: str, maxbins: int = 40) -> DataFrame:
     """Non-empty round-width bins of the non-NULL values: bin_start, bin_end, count."""
-    value = F.col(column).cast("double")
-    known = df.where(F.col(column).isNotNull()).select(value.alias("value"))
-    edges = known.agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    step = _nice_step(F.col("low"), F.col("high"), maxbins)
+    counts = value_counts(df, column).withColumn("value", F.col("value").cast("double"))
+    low, high, step, start, stop = map(F.col, ("low", "high", "step", "start", "stop"))
     edges = (
-        edges.withColumn("step", step)
-        .withColumn("start", F.floor(F.col("low") / F.col("step") + 1e-9) * F.col("step"))
-        .withColumn("start", F.when(F.col("low") < F.col("start"), F.col("start") - F.col("step"))
-                    .otherwise(F.col("start")))
-        .withColumn("stop", F.ceil(F.col("high") / F.col("step")) * F.col("step"))
-        .withColumn("stop", F.when(F.col("stop") == F.col("start"), F.col("start") + F.col("step"))
-                    .otherwise(F.col("stop")))
+        _round_width(counts.agg(F.min("value").alias("low"), F.max("value").alias("high")), maxbins)
+        .withColumn("start", F.floor(low / step + 1e-9) * step)
+        .withColumn("start", F.when(low < start, start - step).otherwise(start))
+        .withColumn("stop", F.ceil(high / step) * step)
+        .withColumn("stop", F.when(stop == start, start + step).otherwise(stop))
         .select(F.struct("start", "stop", "step"))
     )
-    bins = known.withColumn("edge", edges.scalar())
     start, stop, step = (F.col(f"edge.{name}") for name in ("start", "stop", "step"))
     inside = F.greatest(start, F.least(F.col("value"), stop - step))
-    index = F.floor((inside - start) / step + 1e-14)
     return (
-        bins.groupBy(
-            (start + step * index).alias("bin_start"),
-            (start + step * (index + 1)).alias("bin_end"),
+        counts.withColumn("edge", edges.scalar())
+        .withColumn("bin", F.floor((inside - start) / step + 1e-14))
+        .groupBy(
+            (start + step * F.col("bin")).alias("bin_start"),
+            (start + step * (F.col("bin") + 1)).alias("bin_end"),
         )
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum("n").alias("count"))
         .orderBy("bin_start")
     )
 

@@ -74,7 +74,7 @@ def facilities(gold: Gold, selected: list[str] | None = None) -> DataFrame:
     """Facilities of the states in name order, with the label shown for each."""
     pairs = gold.daily.where(in_or_all("state", selected)).select("ccn", "state").distinct()
     return (
-        pairs.join(gold.names(), "ccn", "left")
+        pairs.join(gold.about(), "ccn", "left")
         .select("ccn", "provider_name", "state")
         .distinct()
         .withColumn("label", facility_label(F.col("provider_name"), F.col("ccn"), F.col("state")))
@@ -310,7 +310,7 @@ def perm_contract_month(
     hours = or_zero("emp_hours") + or_zero("ctr_hours")
     return (
         views.perm_vs_contract_monthly(monthly)
-        .join(gold.names(), "ccn", "left")
+        .join(gold.about(), "ccn", "left")
         .withColumn("total_hours", hours.cast(views.HOURS))
         .withColumn("pct_contract", positive_ratio(or_zero("ctr_hours"), F.col("total_hours")))
         .select(
@@ -370,17 +370,11 @@ def perm_contract_top_kpi(
 
 def bed_util_rows(gold: Gold, selection: Selection = EVERYTHING) -> DataFrame:
     """Bed utilization of every facility and month with its place, in no order."""
-    places = gold.facilities.select(
-        "ccn", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")
-    )
-    return (
-        views.bed_utilization_monthly(gold.where(selection))
-        .join(places, "ccn", "left")
-        .select(
-            "state", "provider_name", "ccn", "month",
-            F.col("bed_utilization_rate_monthly").alias("utilization"),
-            "resident_days", "observed_days", "certified_beds_reported", "lat", "lon",
-        )
+    return views.bed_utilization_monthly(gold.where(selection), "latitude", "longitude").select(
+        "state", "provider_name", "ccn", "month",
+        F.col("bed_utilization_rate_monthly").alias("utilization"),
+        "resident_days", "observed_days", "certified_beds_reported",
+        F.col("latitude").alias("lat"), F.col("longitude").alias("lon"),
     )
 
 

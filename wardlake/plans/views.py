@@ -38,8 +38,9 @@ class Gold:
         kept = selection.keys() & selection.workdays(self.daily)
         return replace(self, daily=self.daily.where(kept))
 
-    def names(self) -> DataFrame:
-        return self.facilities.select("ccn", "provider_name")
+    def about(self, *columns: str) -> DataFrame:
+        """Key, name and the given further columns of each facility."""
+        return self.facilities.select("ccn", "provider_name", *columns)
 
 
 def _days(seen: Column | None = None) -> Column:
@@ -76,7 +77,7 @@ def facility_months(daily: DataFrame) -> DataFrame:
 def hours_facility_monthly(gold: Gold) -> DataFrame:
     """Total direct-care hours per facility and month."""
     months = facility_months(gold.daily).select("month", "state", "ccn", "total_hours_direct")
-    return months.join(gold.names(), "ccn", "left").select(
+    return months.join(gold.about(), "ccn", "left").select(
         "month", "state", "ccn", "provider_name", "total_hours_direct"
     )
 
@@ -97,10 +98,11 @@ def perm_vs_contract_monthly(gold: Gold) -> DataFrame:
     )
 
 
-def bed_utilization_monthly(gold: Gold) -> DataFrame:
+def bed_utilization_monthly(gold: Gold, *facility_columns: str) -> DataFrame:
     """Resident days over available bed days per facility and month.
 
     A facility whose bed count differs between quarters has one row per count.
+    Further facility columns can be had from the same look-up as the name.
     """
     months = facility_months(gold.daily).select(
         "month", "state", "ccn",
@@ -111,12 +113,13 @@ def bed_utilization_monthly(gold: Gold) -> DataFrame:
     bed_days = F.col("certified_beds_reported").cast("decimal(18,4)") * F.col("observed_days")
     return (
         months.join(beds, ["ccn", "state"], "left")
-        .join(gold.names(), "ccn", "left")
+        .join(gold.about(*facility_columns), "ccn", "left")
         .select(
             "month", "state", "ccn", "provider_name", "observed_days", "resident_days",
             "certified_beds_reported",
             ratio(F.col("resident_days").cast("decimal(18,4)"), bed_days, 4)
             .alias("bed_utilization_rate_monthly"),
+            *facility_columns,
         )
     )
 
@@ -141,7 +144,7 @@ def _facility_hprd(daily: DataFrame) -> DataFrame:
 
 def hprd_by_facility(gold: Gold) -> DataFrame:
     """Hours per resident day of each facility over all its days, weighted by residents."""
-    return _facility_hprd(gold.daily).join(gold.names(), "ccn", "left").select(
+    return _facility_hprd(gold.daily).join(gold.about(), "ccn", "left").select(
         "ccn", "provider_name", "state", "days_with_residents", "start_date", "end_date",
         "hprd_weighted", "rn_hprd", "lpn_hprd", "cna_hprd",
     )

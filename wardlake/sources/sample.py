@@ -75,14 +75,13 @@ def daily_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_distinct("l_orderkey").alias("orders"),
         )
     )
-    facilities = table(spark, sf_dir, "supplier").join(
-        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    )
     whole = sum(
         (F.coalesce(F.col(f"hrs_{role}"), F.lit(0)) for role in roles), F.lit(0)
     )
     return (
-        days.join(facilities, F.col("l_suppkey") == F.col("s_suppkey"))
+        # Joined one by one: the size of a join is not known beforehand, that of a table is.
+        days.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .withColumn("state", F.col("n_name"))
         .withColumn("ccn", _ccn("l_suppkey"))
         .withColumn("hrs_total_direct", whole.cast("decimal(18,2)"))
