@@ -152,91 +152,93 @@ def _map_points(tables: views.Gold) -> DataFrame:
     return points.withColumns(parts).drop("color")
 
 
+# Units over the three gold tables, wherever these come from.
+GOLD_QUERIES: dict[str, Callable[[views.Gold], DataFrame]] = {
+    # views
+    "hours_facility_monthly": views.hours_facility_monthly,
+    "hours_state_monthly": views.hours_state_monthly,
+    "perm_vs_contract_monthly": views.perm_vs_contract_monthly,
+    "bed_utilization_monthly": views.bed_utilization_monthly,
+    "staffing_vs_occupancy_view": views.staffing_vs_occupancy,
+    "hprd_by_facility": views.hprd_by_facility,
+    "hprd_by_state": views.hprd_by_state,
+    # selection boxes
+    "states": dashboard.states,
+    "default_states": dashboard.default_states,
+    "facilities": dashboard.facilities,
+    "month_bounds": dashboard.month_bounds,
+    "month_choices": lambda g: dashboard.month_choices(views.hours_facility_monthly(g)),
+    # hours per resident day
+    "facility_hprd_top": dashboard.facility_hprd_top,
+    "kpi_hprd": dashboard.facility_hprd_kpi,
+    "state_hprd": dashboard.state_hprd,
+    "kpi_state_hprd": dashboard.state_hprd_kpi,
+    "paginate_facilities": lambda g: paginate(dashboard.facility_hprd(g), 2, 25, *FACILITY_ORDER),
+    "pager_facilities": lambda g: Pager(dashboard.facility_hprd(g), 25, *FACILITY_ORDER).page(4),
+    # nurse hours
+    "facility_hours_summary": dashboard.facility_hours_summary,
+    "kpi_facility_hours": dashboard.facility_hours_kpi,
+    "state_hours_mom": dashboard.state_hours_mom,
+    "state_hours_ranked": dashboard.state_hours_ranked,
+    "kpi_state_hours": dashboard.state_hours_kpi,
+    "state_hours_first_last": dashboard.state_hours_first_last,
+    "kpi_state_first_last": dashboard.state_hours_first_last_kpi,
+    # employees and contractors
+    "perm_contract_months": dashboard.perm_contract_months,
+    "perm_contract_month": dashboard.perm_contract_month,
+    "kpi_perm_contract": dashboard.perm_contract_kpi,
+    "perm_contract_top_share": dashboard.perm_contract_top,
+    "perm_contract_top_hours": lambda g: dashboard.perm_contract_top(g, by="hours"),
+    "kpi_perm_contract_top": dashboard.perm_contract_top_kpi,
+    # bed utilization
+    "bed_util_detail": dashboard.bed_util_detail,
+    "kpi_bed_util": dashboard.bed_util_kpi,
+    "bed_util_ranked": dashboard.bed_util_ranked,
+    "bed_util_variability_std": dashboard.bed_util_variability,
+    "bed_util_variability_range": lambda g: dashboard.bed_util_variability(g, metric="range"),
+    "kpi_bed_util_variability": dashboard.bed_util_variability_kpi,
+    "bed_util_first_last": dashboard.bed_util_first_last,
+    "bed_util_histogram": lambda g: stats.histogram(dashboard.bed_util_rows(g), "utilization"),
+    "bed_util_boxplot": lambda g: stats.boxplot(dashboard.bed_util_rows(g), "utilization"),
+    "bed_util_outliers": lambda g: stats.outliers(dashboard.bed_util_rows(g), "utilization"),
+    "bed_util_map_points": _map_points,
+    "bed_util_map_center": dashboard.bed_util_map_center,
+    # staffing against occupancy
+    "staffing_occupancy_months": dashboard.staffing_occupancy_months,
+    "staffing_vs_occupancy": dashboard.staffing_vs_occupancy,
+}
+
+# Units that start from raw files, events or the tables themselves.
+TABLE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "silver_pbj": lambda spark, sf_dir: _silver_pbj(spark, sf_dir)[0],
+    "silver_providerinfo": lambda spark, sf_dir: _silver_providerinfo(spark, sf_dir)[0],
+    "merge_silver_pbj": lambda spark, sf_dir: silver.merge_silver_pbj(*_silver_pbj(spark, sf_dir)),
+    "merge_silver_providerinfo": _merged_providerinfo,
+    "gold_daily_fact": _gold_daily_fact,
+    "gold_quarterly_fact": _gold_quarterly_fact,
+    "gold_facility_dim": _gold_facility_dim,
+    "route_events": _route_events,
+    "file_log": _file_log,
+    "coerce_columns": _coerce_columns,
+    "stream_ingest": _stream_ingest,
+    "partitioned_table": _partitioned_table,
+    "export_csv": _export_csv,
+    "view_sql": _view_sql,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per implemented unit, each over the whole tables of ``sf_dir``."""
-    on_gold = {
-        # views
-        "hours_facility_monthly": views.hours_facility_monthly,
-        "hours_state_monthly": views.hours_state_monthly,
-        "perm_vs_contract_monthly": views.perm_vs_contract_monthly,
-        "bed_utilization_monthly": views.bed_utilization_monthly,
-        "staffing_vs_occupancy_view": views.staffing_vs_occupancy,
-        "hprd_by_facility": views.hprd_by_facility,
-        "hprd_by_state": views.hprd_by_state,
-        # selection boxes
-        "states": dashboard.states,
-        "default_states": dashboard.default_states,
-        "facilities": dashboard.facilities,
-        "month_bounds": dashboard.month_bounds,
-        "month_choices": lambda g: dashboard.month_choices(views.hours_facility_monthly(g)),
-        # hours per resident day
-        "facility_hprd_top": dashboard.facility_hprd_top,
-        "kpi_hprd": dashboard.facility_hprd_kpi,
-        "state_hprd": dashboard.state_hprd,
-        "kpi_state_hprd": dashboard.state_hprd_kpi,
-        "paginate_facilities":
-            lambda g: paginate(dashboard.facility_hprd(g), 2, 25, *FACILITY_ORDER),
-        "pager_facilities":
-            lambda g: Pager(dashboard.facility_hprd(g), 25, *FACILITY_ORDER).page(4),
-        # nurse hours
-        "facility_hours_summary": dashboard.facility_hours_summary,
-        "kpi_facility_hours": dashboard.facility_hours_kpi,
-        "state_hours_mom": dashboard.state_hours_mom,
-        "state_hours_ranked": dashboard.state_hours_ranked,
-        "kpi_state_hours": dashboard.state_hours_kpi,
-        "state_hours_first_last": dashboard.state_hours_first_last,
-        "kpi_state_first_last": dashboard.state_hours_first_last_kpi,
-        # employees and contractors
-        "perm_contract_months": dashboard.perm_contract_months,
-        "perm_contract_month": dashboard.perm_contract_month,
-        "kpi_perm_contract": dashboard.perm_contract_kpi,
-        "perm_contract_top_share": dashboard.perm_contract_top,
-        "perm_contract_top_hours": lambda g: dashboard.perm_contract_top(g, by="hours"),
-        "kpi_perm_contract_top": dashboard.perm_contract_top_kpi,
-        # bed utilization
-        "bed_util_detail": dashboard.bed_util_detail,
-        "kpi_bed_util": dashboard.bed_util_kpi,
-        "bed_util_ranked": dashboard.bed_util_ranked,
-        "bed_util_variability_std": dashboard.bed_util_variability,
-        "bed_util_variability_range": lambda g: dashboard.bed_util_variability(g, metric="range"),
-        "kpi_bed_util_variability": dashboard.bed_util_variability_kpi,
-        "bed_util_first_last": dashboard.bed_util_first_last,
-        "bed_util_histogram": lambda g: stats.histogram(dashboard.bed_util_rows(g), "utilization"),
-        "bed_util_boxplot": lambda g: stats.boxplot(dashboard.bed_util_rows(g), "utilization"),
-        "bed_util_outliers": lambda g: stats.outliers(dashboard.bed_util_rows(g), "utilization"),
-        "bed_util_map_points": _map_points,
-        "bed_util_map_center": dashboard.bed_util_map_center,
-        # staffing against occupancy
-        "staffing_occupancy_months": dashboard.staffing_occupancy_months,
-        "staffing_vs_occupancy": dashboard.staffing_vs_occupancy,
-    }
-    on_tables = {
-        "silver_pbj": lambda spark, sf_dir: _silver_pbj(spark, sf_dir)[0],
-        "silver_providerinfo": lambda spark, sf_dir: _silver_providerinfo(spark, sf_dir)[0],
-        "merge_silver_pbj":
-            lambda spark, sf_dir: silver.merge_silver_pbj(*_silver_pbj(spark, sf_dir)),
-        "merge_silver_providerinfo": _merged_providerinfo,
-        "gold_daily_fact": _gold_daily_fact,
-        "gold_quarterly_fact": _gold_quarterly_fact,
-        "gold_facility_dim": _gold_facility_dim,
-        "route_events": _route_events,
-        "file_log": _file_log,
-        "coerce_columns": _coerce_columns,
-        "stream_ingest": _stream_ingest,
-        "partitioned_table": _partitioned_table,
-        "export_csv": _export_csv,
-        "view_sql": _view_sql,
-    }
 
     def over_gold(build: Callable[[views.Gold], DataFrame]):
         return lambda spark, sf_dir: _rounded(build(sample.gold(spark, sf_dir)))
 
+    def over_tables(build: Callable[[SparkSession, str], DataFrame]):
+        return lambda spark, sf_dir: _rounded(build(spark, sf_dir))
+
     return {
-        **{name: over_gold(build) for name, build in on_gold.items()},
-        **{
-            name: (lambda spark, sf_dir, build=build: _rounded(build(spark, sf_dir)))
-            for name, build in on_tables.items()
-        },
+        **{name: over_gold(build) for name, build in GOLD_QUERIES.items()},
+        **{name: over_tables(build) for name, build in TABLE_QUERIES.items()},
     }
 
 

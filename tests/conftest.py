@@ -14,6 +14,7 @@ def spark():
         "wardlake-tests", "local[4]",
         **{
             "spark.sql.shuffle.partitions": "4",
+            "spark.sql.maxMetadataStringLength": "2000",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

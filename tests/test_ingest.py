@@ -7,7 +7,7 @@ from pyspark.errors import StreamingQueryException
 
 from wardlake.plans import views
 from wardlake.schemas import BRONZE_PBJ, BRONZE_PROVIDERINFO
-from wardlake.sources.bronze import read_bronze_pbj
+from wardlake.sources.bronze import read_bronze_pbj, register_bronze
 from wardlake.sources.events import route_events
 from wardlake.sources.ledger import FileLedger
 from wardlake.plans.silver import silver_pbj
@@ -77,6 +77,15 @@ def test_files_flow_to_gold_one_by_one(spark, tmp_path, state_folders):
     assert [(r.ccn, r.provider_name, r.latitude) for r in dim] == [("015009", "Oak", Decimal("33.5"))]
     assert lake.quarterly.read().first().certified_beds_reported == 80
 
+    lake.register()
+    monthly = spark.sql("""
+        SELECT state, month, COUNT(DISTINCT ccn) AS n
+        FROM gold_vw_total_nurse_hours_facility_monthly
+        WHERE CAST(month AS DATE) BETWEEN DATE '2024-04-01' AND DATE '2024-05-01'
+        GROUP BY 1, 2 ORDER BY month""")
+    assert [(r.state, r.n) for r in monthly.collect()] == [("AL", 2), ("AL", 1)]
+    assert spark.sql("SELECT count(*) AS n FROM file_log WHERE status = 'DONE'").first().n == 4
+
     before = lake.ledger.read().collect()
     run_ingest(lake, str(landing))
     assert sorted(lake.ledger.read().collect()) == sorted(before)
@@ -115,6 +124,23 @@ def test_one_source_file_can_be_picked(spark, tmp_path):
     assert path.endswith(second.name)
     assert [r.ccn for r in silver_pbj(bronze, path).collect()] == ["000002"]
     assert silver_pbj(bronze).count() == 2
+    # The same in SQL, with the path as a parameter.
+    register_bronze(spark, {"pbj": str(tmp_path / "bronze/pbj")})
+    picked = spark.sql(
+        "SELECT PROVNUM FROM bronze_pbj_daily_nurse_staffing_q2_2024_csv "
+        "WHERE source_path = :source_path", args={"source_path": path})
+    assert [r.PROVNUM for r in picked.collect()] == ["2"]
+
+
+def test_events_can_arrive_as_a_stream(spark, tmp_path):
+    (tmp_path / "e.json").write_text(
+        '{"detail": {"bucket": {"name": "b"}, "object": {"key": "bronze/pbj/x.csv"}}}\n'
+        '{"detail": {"bucket": {"name": "b"}, "object": {"key": "other/x.csv"}}}\n')
+    routed = route_events(spark.readStream.text(str(tmp_path)), "value")
+    query = (routed.writeStream.format("memory").queryName("routed_events")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert [r.s3_path for r in spark.table("routed_events").collect()] == ["s3://b/bronze/pbj/x.csv"]
 
 
 def test_quotes_and_escapes(spark, tmp_path):

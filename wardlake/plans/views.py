@@ -9,12 +9,14 @@ shuffle too.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.functions.measures import month_of, or_zero, ratio, total
+from wardlake.functions.measures import month_of, ratio, total
 from wardlake.operators.selection import Selection
 
 HOURS = "decimal(38,2)"
@@ -38,6 +40,16 @@ class Gold:
         kept = selection.keys() & selection.workdays(self.daily)
         return replace(self, daily=self.daily.where(kept))
 
+    @contextmanager
+    def reused(self) -> Iterator[Gold]:
+        """Keep the tables while several panels are computed from the same selection."""
+        kept = Gold(self.daily.persist(), self.quarterly.persist(), self.facilities.persist())
+        try:
+            yield kept
+        finally:
+            for table in (kept.daily, kept.quarterly, kept.facilities):
+                table.unpersist()
+
     def about(self, *columns: str) -> DataFrame:
         """Key, name and the given further columns of each facility."""
         return self.facilities.select("ccn", "provider_name", *columns)
@@ -53,24 +65,42 @@ def _day_count(bits: str) -> Column:
     return F.coalesce(F.bit_count(bits), F.lit(0))
 
 
+DIRECT = ("hrs_rn", "hrs_lpn", "hrs_cna")
+EMPLOYED = ("hrs_rn_emp", "hrs_lpn_emp", "hrs_cna_emp")
+CONTRACTED = ("hrs_rn_ctr", "hrs_lpn_ctr", "hrs_cna_ctr")
+
+
+def _sums(*names: str) -> list[Column]:
+    """One sum per hour column; adding up the few sums is cheaper than adding in every row."""
+    return [F.sum(name).alias(f"_{name}") for name in names]
+
+
+def _hours(*names: str) -> Column:
+    return total(*(f"_{name}" for name in names)).cast(HOURS)
+
+
 def facility_months(daily: DataFrame) -> DataFrame:
     """All sums the views need, one row per month, state and facility."""
-
-    def hours(*names: str) -> Column:
-        return F.sum(total(*names)).cast(HOURS)
-
-    return daily.groupBy(month_of("workdate").alias("month"), "state", "ccn").agg(
-        hours("hrs_rn", "hrs_lpn", "hrs_cna").alias("total_hours_direct"),
-        hours("hrs_rn").alias("rn_hours"),
-        hours("hrs_lpn").alias("lpn_hours"),
-        hours("hrs_cna").alias("cna_hours"),
-        hours("hrs_rn_emp", "hrs_lpn_emp", "hrs_cna_emp").alias("emp_hours"),
-        hours("hrs_rn_ctr", "hrs_lpn_ctr", "hrs_cna_ctr").alias("ctr_hours"),
-        F.sum(or_zero("residents")).alias("resident_days"),
-        _days().alias("days"),
-        _days(F.col("residents") > 0).alias("resident_days_seen"),
-        F.min("workdate").alias("first_day"),
-        F.max("workdate").alias("last_day"),
+    return (
+        daily.groupBy(month_of("workdate").alias("month"), "state", "ccn")
+        .agg(
+            *_sums(*DIRECT, *EMPLOYED, *CONTRACTED),
+            F.coalesce(F.sum("residents"), F.lit(0)).alias("resident_days"),
+            _days().alias("days"),
+            _days(F.col("residents") > 0).alias("resident_days_seen"),
+            F.min("workdate").alias("first_day"),
+            F.max("workdate").alias("last_day"),
+        )
+        .select(
+            "month", "state", "ccn",
+            _hours(*DIRECT).alias("total_hours_direct"),
+            _hours("hrs_rn").alias("rn_hours"),
+            _hours("hrs_lpn").alias("lpn_hours"),
+            _hours("hrs_cna").alias("cna_hours"),
+            _hours(*EMPLOYED).alias("emp_hours"),
+            _hours(*CONTRACTED).alias("ctr_hours"),
+            "resident_days", "days", "resident_days_seen", "first_day", "last_day",
+        )
     )
 
 
@@ -84,8 +114,10 @@ def hours_facility_monthly(gold: Gold) -> DataFrame:
 
 def hours_state_monthly(gold: Gold) -> DataFrame:
     """Total direct-care hours per state and month."""
-    return gold.daily.groupBy(month_of("workdate").alias("month"), "state").agg(
-        F.sum(total("hrs_rn", "hrs_lpn", "hrs_cna")).cast(HOURS).alias("total_hours_direct")
+    return (
+        gold.daily.groupBy(month_of("workdate").alias("month"), "state")
+        .agg(*_sums(*DIRECT))
+        .select("month", "state", _hours(*DIRECT).alias("total_hours_direct"))
     )
 
 
@@ -124,21 +156,31 @@ def bed_utilization_monthly(gold: Gold, *facility_columns: str) -> DataFrame:
     )
 
 
-def _hprd(hours: str) -> Column:
+def _hprd(hours: Column | str) -> Column:
+    column = F.col(hours) if isinstance(hours, str) else hours
     return ratio(
-        F.sum(hours).cast("decimal(18,6)"), F.sum("resident_days").cast("decimal(18,6)"), 6
+        column.cast("decimal(18,6)"), F.col("resident_days").cast("decimal(18,6)"), 6
     )
 
 
 def _facility_hprd(daily: DataFrame) -> DataFrame:
-    return facility_months(daily).groupBy("ccn", "state").agg(
-        F.sum(_day_count("resident_days_seen")).alias("days_with_residents"),
-        F.min("first_day").alias("start_date"),
-        F.max("last_day").alias("end_date"),
-        _hprd("total_hours_direct").alias("hprd_weighted"),
-        _hprd("rn_hours").alias("rn_hprd"),
-        _hprd("lpn_hours").alias("lpn_hprd"),
-        _hprd("cna_hours").alias("cna_hprd"),
+    added = ("rn_hours", "lpn_hours", "cna_hours", "resident_days")
+    return (
+        facility_months(daily)
+        .groupBy("ccn", "state")
+        .agg(
+            F.sum(_day_count("resident_days_seen")).alias("days_with_residents"),
+            F.min("first_day").alias("start_date"),
+            F.max("last_day").alias("end_date"),
+            *(F.sum(name).alias(name) for name in added),
+        )
+        .select(
+            "ccn", "state", "days_with_residents", "start_date", "end_date",
+            _hprd(total("rn_hours", "lpn_hours", "cna_hours")).alias("hprd_weighted"),
+            _hprd("rn_hours").alias("rn_hprd"),
+            _hprd("lpn_hours").alias("lpn_hprd"),
+            _hprd("cna_hours").alias("cna_hprd"),
+        )
     )
 
 
@@ -152,14 +194,15 @@ def hprd_by_facility(gold: Gold) -> DataFrame:
 
 def hprd_by_state(gold: Gold) -> DataFrame:
     """Hours per resident day of each state over all its days, weighted by residents."""
-    return gold.daily.groupBy("state").agg(
-        F.min("workdate").alias("start_date"),
-        F.max("workdate").alias("end_date"),
-        ratio(
-            F.sum(total("hrs_rn", "hrs_lpn", "hrs_cna")).cast("decimal(18,6)"),
-            F.sum(or_zero("residents")).cast("decimal(18,6)"),
-            6,
-        ).alias("hprd_weighted"),
+    return (
+        gold.daily.groupBy("state")
+        .agg(
+            F.min("workdate").alias("start_date"),
+            F.max("workdate").alias("end_date"),
+            F.sum("residents").alias("resident_days"),
+            *_sums(*DIRECT),
+        )
+        .select("state", "start_date", "end_date", _hprd(_hours(*DIRECT)).alias("hprd_weighted"))
     )
 
 

@@ -9,6 +9,12 @@ from pyspark.sql.types import StructType
 from wardlake.schemas import BRONZE_PBJ, BRONZE_PROVIDERINFO
 
 SOURCE_PATH = "source_path"
+
+# Names the raw tables are known by.
+BRONZE_VIEWS = {
+    "pbj": "bronze_pbj_daily_nurse_staffing_q2_2024_csv",
+    "providerinfo": "bronze_nh_providerinfo_oct2024_csv",
+}
 DATASETS = {"pbj": BRONZE_PBJ, "providerinfo": BRONZE_PROVIDERINFO}
 
 
@@ -37,3 +43,9 @@ def read_bronze_pbj(spark: SparkSession, path: str, escape: str = "\\") -> DataF
 
 def read_bronze_providerinfo(spark: SparkSession, path: str, escape: str = "\\") -> DataFrame:
     return _read(spark, path, BRONZE_PROVIDERINFO, escape)
+
+
+def register_bronze(spark: SparkSession, folders: dict[str, str], escape: str = "\\") -> None:
+    """Make raw folders, given by dataset, available to ``spark.sql``; replaces earlier ones."""
+    for dataset, path in folders.items():
+        _read(spark, path, DATASETS[dataset], escape).createOrReplaceTempView(BRONZE_VIEWS[dataset])

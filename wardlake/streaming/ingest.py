@@ -17,6 +17,7 @@ from wardlake import schemas
 from wardlake.functions.measures import month_of
 from wardlake.plans import gold as gold_layer
 from wardlake.plans import silver as silver_layer
+from wardlake.plans import views
 from wardlake.plans.views import Gold
 from wardlake.sources.bronze import DATASETS, SOURCE_PATH, csv_options, with_source_path
 from wardlake.sources.events import PREFIXES
@@ -87,6 +88,13 @@ class Lake:
     def gold(self) -> Gold:
         return Gold(self.daily.read(), self.quarterly.read(), self.facilities.read())
 
+    def register(self) -> None:
+        """Make silver, gold, the views and the ledger available to ``spark.sql``."""
+        self.silver_pbj.read().createOrReplaceTempView("silver_pbj_daily")
+        self.silver_providerinfo.read().createOrReplaceTempView("silver_providerinfo")
+        self.ledger.read().createOrReplaceTempView("file_log")
+        views.register(self.gold())
+
     def load(
         self, dataset: str, bronze: DataFrame, source_path: str,
         quarter: str = gold_layer.DEFAULT_QUARTER,
