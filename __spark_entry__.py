@@ -19,7 +19,7 @@ from wardlake.plans import dashboard, gold, silver, views  # noqa: E402
 from wardlake.schemas import GOLD_DAILY  # noqa: E402
 from wardlake.session import scratch_path  # noqa: E402
 from wardlake.sources import sample  # noqa: E402
-from wardlake.sources.bronze import csv_options  # noqa: E402
+from wardlake.sources.bronze import read_bronze_pbj, read_bronze_providerinfo  # noqa: E402
 from wardlake.sources.events import PREFIXES, route_events  # noqa: E402
 from wardlake.sources.export import export_csv  # noqa: E402
 from wardlake.sources.ledger import log_pending, mark_done  # noqa: E402
@@ -43,38 +43,55 @@ def _rounded(df: DataFrame) -> DataFrame:
     )
 
 
-def _silver_pbj(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(
-        silver.silver_pbj(sample.bronze_pbj(spark, sf_dir, second)) for second in (False, True)
-    )
+def _landed(raw: DataFrame, read) -> DataFrame:
+    """Raw rows after a trip through CSV files, as a load finds them."""
+    path = scratch_path(raw.sparkSession, "raw")
+    sample.write_raw(raw, path)
+    return read(raw.sparkSession, path)
+
+
+def _silver_pbj(spark: SparkSession, sf_dir: str, second_file: bool = False) -> DataFrame:
+    raw = sample.bronze_pbj(spark, sf_dir, second_file)
+    return silver.silver_pbj(_landed(raw, read_bronze_pbj))
+
 
+def _silver_providerinfo(spark: SparkSession, sf_dir: str, second_file: bool = False) -> DataFrame:
+    raw = sample.bronze_providerinfo(spark, sf_dir, second_file)
+    return silver.silver_providerinfo(_landed(raw, read_bronze_providerinfo))
 
-def _silver_providerinfo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(
-        silver.silver_providerinfo(sample.bronze_providerinfo(spark, sf_dir, second))
-        for second in (False, True)
+
+def _merged_pbj(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver.merge_silver_pbj(
+        _silver_pbj(spark, sf_dir), _silver_pbj(spark, sf_dir, second_file=True)
     )
 
 
 def _merged_providerinfo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver.merge_silver_providerinfo(*_silver_providerinfo(spark, sf_dir))
+    return silver.merge_silver_providerinfo(
+        _silver_providerinfo(spark, sf_dir), _silver_providerinfo(spark, sf_dir, second_file=True)
+    )
 
 
 def _gold_daily_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = _silver_pbj(spark, sf_dir)
-    return gold.merge_gold_daily(gold.gold_daily(first), gold.gold_daily(second))
+    return gold.merge_gold_daily(
+        gold.gold_daily(_silver_pbj(spark, sf_dir)),
+        gold.gold_daily(_silver_pbj(spark, sf_dir, second_file=True)),
+    )
 
 
 def _gold_quarterly_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, _ = _silver_providerinfo(spark, sf_dir)
+    """A quarter before and the first file's quarter, then the merged rows of the latter."""
+    first = _silver_providerinfo(spark, sf_dir)
+    second = _silver_providerinfo(spark, sf_dir, second_file=True)
     earlier = gold.gold_quarterly(first, "2024Q1").unionByName(gold.gold_quarterly(first))
-    later = gold.gold_quarterly(_merged_providerinfo(spark, sf_dir))
+    later = gold.gold_quarterly(silver.merge_silver_providerinfo(first, second))
     return gold.merge_gold_quarterly(earlier, later).drop("snapshot_received_ts")
 
 
 def _gold_facility_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, _ = _silver_providerinfo(spark, sf_dir)
-    later = gold.gold_facility_dim(_merged_providerinfo(spark, sf_dir))
+    first = _silver_providerinfo(spark, sf_dir)
+    second = _silver_providerinfo(spark, sf_dir, second_file=True)
+    later = gold.gold_facility_dim(silver.merge_silver_providerinfo(first, second))
     return gold.merge_gold_facility_dim(gold.gold_facility_dim(first), later)
 
 
@@ -114,8 +131,7 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("providerinfo", sample.bronze_providerinfo(spark, sf_dir, second)),
             ("pbj", sample.bronze_pbj(spark, sf_dir, second)),
         ):
-            folder = f"{landing}/{PREFIXES[dataset]}"
-            raw.write.mode("append").options(**csv_options()).csv(folder)
+            sample.write_raw(raw, f"{landing}/{PREFIXES[dataset]}")
     run_ingest(lake, landing)
     return views.hours_facility_monthly(lake.gold())
 
@@ -210,9 +226,9 @@ GOLD_QUERIES: dict[str, Callable[[views.Gold], DataFrame]] = {
 
 # Units that start from raw files, events or the tables themselves.
 TABLE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "silver_pbj": lambda spark, sf_dir: _silver_pbj(spark, sf_dir)[0],
-    "silver_providerinfo": lambda spark, sf_dir: _silver_providerinfo(spark, sf_dir)[0],
-    "merge_silver_pbj": lambda spark, sf_dir: silver.merge_silver_pbj(*_silver_pbj(spark, sf_dir)),
+    "silver_pbj": _silver_pbj,
+    "silver_providerinfo": _silver_providerinfo,
+    "merge_silver_pbj": _merged_pbj,
     "merge_silver_providerinfo": _merged_providerinfo,
     "gold_daily_fact": _gold_daily_fact,
     "gold_quarterly_fact": _gold_quarterly_fact,

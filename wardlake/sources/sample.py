@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardlake.plans.views import Gold
 from wardlake.schemas import BRONZE_PBJ, BRONZE_PROVIDERINFO, GOLD_DAILY, HOUR_ROLES
+from wardlake.sources.bronze import csv_options
 
 # Two raw files with a common span of days, so that the second corrects the first.
 FIRST_FILE_BEFORE = date(1998, 7, 1)
@@ -233,6 +234,12 @@ def bronze_providerinfo(spark: SparkSession, sf_dir: str, second_file: bool = Fa
     )
 
 
+def write_raw(raw: DataFrame, path: str) -> None:
+    """Add raw rows to a folder as CSV files, blanks around the text included."""
+    kept = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    raw.write.mode("append").options(**csv_options(), **kept).csv(path)
+
+
 def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file-arrival message per event, for both datasets and a folder of neither."""
     number = F.col("event_id")
