@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import decontaminate, mixing, quotient_filter, sharding, warc
+from wardlake.llm import decontaminate, mixing, near_duplicates, quotient_filter, sharding, warc
 from wardlake.llm.ship import ship_package
 
 
@@ -23,6 +23,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(docs, items)
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+    return classes.drop("rid")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
-_OPERATORS = (op1_warc, op2_decontaminate, op5_mixing, op7_exact_dedup, op10_sharding)
+_OPERATORS = (op1_warc, op2_decontaminate, op3_order_minhash, op5_mixing, op7_exact_dedup, op10_sharding)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]):
