@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import decontaminate, mixing, near_duplicates, quotient_filter, sharding, warc
+from wardlake.llm import decontaminate, mixing, near_duplicates, quotient_filter, sharding, toxicity, warc
 from wardlake.llm.ship import ship_package
 
 
@@ -32,6 +32,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.scores(docs, labels)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotient_filter.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
-_OPERATORS = (op1_warc, op2_decontaminate, op3_order_minhash, op5_mixing, op7_exact_dedup, op10_sharding)
+_OPERATORS = (op1_warc, op2_decontaminate, op3_order_minhash, op5_mixing, op6_toxicity, op7_exact_dedup, op10_sharding)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]):

@@ -91,13 +91,18 @@ def words(texts: pa.Array) -> Words:
     return Words(data, starts, ends, mix(hashes), np.searchsorted(starts, bounds[1:], "left"))
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no part has more than ``limit`` bytes of text, but for single rows."""
-    column = batch.column(batch.schema.get_field_index(text))
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+def cuts(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Begin and length of parts with at most ``limit`` bytes of text each, but for single rows."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     totals, begin = np.cumsum(sizes), 0
     while begin < len(totals):
         before = totals[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(totals, before + limit, "right")))
-        yield batch.slice(begin, end - begin)
+        yield begin, end - begin
         begin = end
+
+
+def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``limit`` bytes of text each, but for single rows."""
+    for begin, size in cuts(batch.column(batch.schema.get_field_index(text)), limit):
+        yield batch.slice(begin, size)
