@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import decontaminate, mixing, near_duplicates, quotient_filter, sharding, toxicity, warc
+from wardlake.llm import (
+    decontaminate,
+    html_content,
+    line_dedup,
+    mixing,
+    near_duplicates,
+    quotient_filter,
+    secrets,
+    sharding,
+    toxicity,
+    warc,
+)
 from wardlake.llm.ship import ship_package
 
 
@@ -28,6 +39,10 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.drop("rid")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -41,11 +56,22 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotient_filter.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op9_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
-_OPERATORS = (op1_warc, op2_decontaminate, op3_order_minhash, op5_mixing, op6_toxicity, op7_exact_dedup, op10_sharding)
+_OPERATORS = (
+    op1_warc, op2_decontaminate, op3_order_minhash, op4_line_dedup, op5_mixing, op6_toxicity,
+    op7_exact_dedup, op8_secrets, op9_html_content, op10_sharding,
+)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]):

@@ -43,7 +43,7 @@ TRAIN_ROWS = 6000
 TRAIN_BYTES = 32 << 10
 RUN = 6  # bytes of a run
 MIN_SHARE = 0.02  # of toxic texts that a run must occur in
-MIN_LOG_RATIO = 1.8  # log of a run's share in toxic over its share in ordinary texts
+MIN_LOG_RATIO = 1.5  # log of a run's share in toxic over its share in ordinary texts
 TOXIC_BYTES = 2048
 ORDINARY_BYTES = 8192
 ORDINARY_SAMPLES = 40_000
