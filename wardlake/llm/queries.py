@@ -85,3 +85,73 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     each.__name__: _shipped(each) for each in _OPERATORS
 }
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+_WARC_SQL = """
+WITH p AS (
+    SELECT page_id, url, coalesce(html, '') AS html, sha1(encode(coalesce(html, ''))) AS h FROM pages
+), b AS (
+    SELECT *, max(page_id) OVER (PARTITION BY h) AS last,
+        array_to_string(list_transform(string_split(h, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits
+    FROM p
+)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
+        + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT)
+        + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+    CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to,
+    url
+FROM b
+"""
+
+_DECONTAMINATE_SQL = f"""
+WITH items AS (
+    SELECT item_id, {_WORDS} AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS phrase
+    FROM items, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS r(i) WHERE len(w) > 0
+), docs AS (
+    SELECT doc_id, {_WORDS} AS w FROM documents
+), found AS (
+    SELECT DISTINCT d.doc_id, v.item_id, r.i, v.size
+    FROM docs d, (SELECT DISTINCT size FROM windows) s, unnest(range(1, len(d.w) - s.size + 2)) AS r(i), windows v
+    WHERE v.size = s.size AND v.phrase = array_to_string(d.w[r.i : r.i + s.size - 1], ' ')
+), hit AS (
+    SELECT doc_id, count(DISTINCT k) AS n FROM found, unnest(range(i, i + size)) AS r(k) GROUP BY doc_id
+), listed AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n,
+        array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS ids
+    FROM found GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(l.n, 0) AS n_items,
+    sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN listed l USING (doc_id)
+"""
+
+_EXACT_SQL = """
+WITH d AS (
+    SELECT doc_id, length(coalesce(text, '')) AS chars,
+        regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm
+    FROM documents
+), g AS (
+    SELECT *, count(*) OVER (PARTITION BY norm) AS n,
+        first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS keep_id
+    FROM d
+)
+SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+"""
+
+# Where SQL can express the result. The others depend on models, alignments or hashes and are
+# tested against brute force, round trips or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": _WARC_SQL,
+    "op2_decontaminate": _DECONTAMINATE_SQL,
+    "op7_exact_dedup": _EXACT_SQL,
+}
