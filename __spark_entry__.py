@@ -26,6 +26,12 @@ from wardlake.sources.ledger import log_pending, mark_done  # noqa: E402
 from wardlake.sources.tables import write_partitioned  # noqa: E402
 from wardlake.streaming.ingest import Lake, run_ingest  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from wardlake.llm import queries as llm_queries
+except ImportError:  # the subpackage and its pipeline can be left out
+    corpus_pipeline = llm_queries = None
+
 ENTRY_DATA = "/root/testdata/sf0.001"
 FACILITY_ORDER = ("-hprd_weighted", "provider_name", "ccn", "state")
 
@@ -255,9 +261,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         **{name: over_gold(build) for name, build in GOLD_QUERIES.items()},
         **{name: over_tables(build) for name, build in TABLE_QUERIES.items()},
+        **(llm_queries.QUERIES | {"pipeline": corpus_pipeline.run} if llm_queries else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for every registered query."""
-    return oracles.oracle_sql()
+    """DuckDB SQL for every registered query that SQL can express."""
+    return oracles.oracle_sql() | (llm_queries.ORACLE_SQL if llm_queries else {})
