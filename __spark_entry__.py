@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,17 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracles  # noqa: E402
-from wardlake.functions.clean import coerce_numeric  # noqa: E402
+from wardlake.functions.clean import coerce_datetime, coerce_numeric  # noqa: E402
 from wardlake.operators import stats  # noqa: E402
+from wardlake.operators.selection import Selection  # noqa: E402
 from wardlake.operators.ranking import Pager, paginate  # noqa: E402
 from wardlake.plans import dashboard, gold, silver, views  # noqa: E402
 from wardlake.schemas import GOLD_DAILY  # noqa: E402
 from wardlake.session import scratch_path  # noqa: E402
 from wardlake.sources import sample  # noqa: E402
-from wardlake.sources.bronze import read_bronze_pbj, read_bronze_providerinfo  # noqa: E402
+from wardlake.sources.bronze import (  # noqa: E402
+    BRONZE_VIEWS, SOURCE_PATH, read_bronze_pbj, read_bronze_providerinfo, register_bronze,
+)
 from wardlake.sources.events import PREFIXES, route_events  # noqa: E402
 from wardlake.sources.export import export_csv  # noqa: E402
 from wardlake.sources.ledger import log_pending, mark_done  # noqa: E402
@@ -49,21 +53,44 @@ def _rounded(df: DataFrame) -> DataFrame:
     )
 
 
-def _landed(raw: DataFrame, read) -> DataFrame:
+def _landed(read, *raws: DataFrame) -> DataFrame:
     """Raw rows after a trip through CSV files, as a load finds them."""
-    path = scratch_path(raw.sparkSession, "raw")
-    sample.write_raw(raw, path)
-    return read(raw.sparkSession, path)
+    path = scratch_path(raws[0].sparkSession, "raw")
+    for raw in raws:
+        sample.write_raw(raw, path)
+    return read(raws[0].sparkSession, path)
 
 
 def _silver_pbj(spark: SparkSession, sf_dir: str, second_file: bool = False) -> DataFrame:
-    raw = sample.bronze_pbj(spark, sf_dir, second_file)
-    return silver.silver_pbj(_landed(raw, read_bronze_pbj))
+    return silver.silver_pbj(_landed(read_bronze_pbj, sample.bronze_pbj(spark, sf_dir, second_file)))
 
 
 def _silver_providerinfo(spark: SparkSession, sf_dir: str, second_file: bool = False) -> DataFrame:
     raw = sample.bronze_providerinfo(spark, sf_dir, second_file)
-    return silver.silver_providerinfo(_landed(raw, read_bronze_providerinfo))
+    return silver.silver_providerinfo(_landed(read_bronze_providerinfo, raw))
+
+
+def _both(raw, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return raw(spark, sf_dir), raw(spark, sf_dir, True)
+
+
+def _silver_pbj_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver.silver_pbj(_landed(read_bronze_pbj, *_both(sample.bronze_pbj, spark, sf_dir)))
+
+
+def _silver_providerinfo_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raws = _both(sample.bronze_providerinfo, spark, sf_dir)
+    return silver.silver_providerinfo(_landed(read_bronze_providerinfo, *raws))
+
+
+def _silver_pbj_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one of two files of a folder, chosen by its path."""
+    first, second = _both(sample.bronze_pbj, spark, sf_dir)
+    path = scratch_path(spark, "raw")
+    sample.write_raw(first.coalesce(1), path)
+    (chosen,) = read_bronze_pbj(spark, path).select(SOURCE_PATH).distinct().first()
+    sample.write_raw(second, path)
+    return silver.silver_pbj(read_bronze_pbj(spark, path), chosen)
 
 
 def _merged_pbj(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,11 +150,31 @@ def _file_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coerce_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = sample.bronze_pbj(spark, sf_dir).select("PROVNUM", "MDScensus", "Hrs_RN", "COUNTY_FIPS")
+    first, second = _both(sample.bronze_pbj, spark, sf_dir)
+    raw = first.unionByName(second).select("PROVNUM", "MDScensus", "Hrs_RN", "COUNTY_FIPS")
     numbers = coerce_numeric(raw, ["MDScensus", "Hrs_RN", "COUNTY_FIPS", "no_such_column"])
     return numbers.toDF("provnum", "mdscensus", "hrs_rn", "county_fips")
 
 
+def _coerce_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = _both(sample.bronze_pbj, spark, sf_dir)
+    raw = first.unionByName(second).select("PROVNUM", "WorkDate")
+    # Dates without separators are left to the silver step.
+    dashed = raw.withColumn("WorkDate", F.when(F.col("WorkDate").contains("-"), F.col("WorkDate")))
+    return coerce_datetime(dashed, ["WorkDate", "no_such_column"]).toDF("provnum", "workdate")
+
+
+def _register_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "raw")
+    for raw in _both(sample.bronze_pbj, spark, sf_dir):
+        sample.write_raw(raw, path)
+    register_bronze(spark, {"pbj": path})
+    return spark.sql(
+        "SELECT trim(state) AS state, count(*) AS days, count(DISTINCT trim(provnum)) AS facilities"
+        f" FROM {BRONZE_VIEWS['pbj']} GROUP BY trim(state)"
+    )
+
+
 def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw files written one after the other, ingested from the landing folder, then viewed."""
     landing = scratch_path(spark, "landing")
@@ -174,6 +221,51 @@ def _map_points(tables: views.Gold) -> DataFrame:
     return points.withColumns(parts).drop("color")
 
 
+STATES, CCNS = oracles.CHOSEN_STATES, oracles.CHOSEN_CCNS
+MONTH = date.fromisoformat(oracles.CHOSEN_MONTH)
+CHOSEN = Selection(
+    STATES, CCNS, date.fromisoformat(oracles.CHOSEN_START), date.fromisoformat(oracles.CHOSEN_END)
+)
+
+
+def _facilities_by_label(tables: views.Gold) -> DataFrame:
+    """Facilities picked by the labels shown for them."""
+    named = dashboard.facilities(tables).where(F.col("ccn").isin(CCNS)).dropna()
+    labels = [row.label for row in named.select("label").collect()]
+    return dashboard.facilities_by_label(tables, labels)
+
+
+def _reused_panels(tables: views.Gold) -> DataFrame:
+    """Two panels from tables that are kept while both are computed."""
+    with tables.where(CHOSEN).reused() as kept:
+        hours = views.hours_facility_monthly(kept).count()
+        beds = dashboard.bed_util_rows(kept).count()
+    spark = tables.daily.sparkSession
+    return spark.createDataFrame([(hours, beds)], "facility_months long, bed_months long")
+
+
+# The units that a selection of states, facilities and months, or a chosen month, reaches.
+FILTERED_QUERIES: dict[str, Callable[[views.Gold], DataFrame]] = {
+    "facility_hprd_top_filtered": lambda g: dashboard.facility_hprd_top(g, CHOSEN),
+    "state_hprd_filtered": lambda g: dashboard.state_hprd(g, STATES),
+    "facilities_by_label": _facilities_by_label,
+    "facility_hours_summary_filtered": lambda g: dashboard.facility_hours_summary(g, CHOSEN),
+    "state_hours_mom_filtered": lambda g: dashboard.state_hours_mom(g, CHOSEN),
+    "state_hours_ranked_filtered": lambda g: dashboard.state_hours_ranked(g, CHOSEN, MONTH),
+    "state_hours_first_last_filtered": lambda g: dashboard.state_hours_first_last(g, CHOSEN),
+    "perm_contract_months_filtered": lambda g: dashboard.perm_contract_months(g, CHOSEN),
+    "perm_contract_month_filtered": lambda g: dashboard.perm_contract_month(g, CHOSEN, MONTH),
+    "perm_contract_top_filtered": lambda g: dashboard.perm_contract_top(g, CHOSEN, MONTH),
+    "bed_util_detail_filtered": lambda g: dashboard.bed_util_detail(g, CHOSEN),
+    "bed_util_ranked_filtered": lambda g: dashboard.bed_util_ranked(g, CHOSEN, MONTH),
+    "bed_util_variability_filtered": lambda g: dashboard.bed_util_variability(g, CHOSEN),
+    "bed_util_first_last_filtered": lambda g: dashboard.bed_util_first_last(g, CHOSEN),
+    "bed_util_map_center_filtered": lambda g: dashboard.bed_util_map_center(g, CHOSEN),
+    "staffing_occupancy_months_filtered": lambda g: dashboard.staffing_occupancy_months(g, CHOSEN),
+    "staffing_vs_occupancy_filtered": lambda g: dashboard.staffing_vs_occupancy(g, CHOSEN, MONTH),
+    "reused_panels": _reused_panels,
+}
+
 # Units over the three gold tables, wherever these come from.
 GOLD_QUERIES: dict[str, Callable[[views.Gold], DataFrame]] = {
     # views
@@ -232,8 +324,9 @@ GOLD_QUERIES: dict[str, Callable[[views.Gold], DataFrame]] = {
 
 # Units that start from raw files, events or the tables themselves.
 TABLE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "silver_pbj": _silver_pbj,
-    "silver_providerinfo": _silver_providerinfo,
+    "silver_pbj": _silver_pbj_all,
+    "silver_pbj_one_file": _silver_pbj_one_file,
+    "silver_providerinfo": _silver_providerinfo_all,
     "merge_silver_pbj": _merged_pbj,
     "merge_silver_providerinfo": _merged_providerinfo,
     "gold_daily_fact": _gold_daily_fact,
@@ -242,6 +335,8 @@ TABLE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "route_events": _route_events,
     "file_log": _file_log,
     "coerce_columns": _coerce_columns,
+    "coerce_datetime": _coerce_datetime,
+    "register_bronze": _register_bronze,
     "stream_ingest": _stream_ingest,
     "partitioned_table": _partitioned_table,
     "export_csv": _export_csv,
@@ -259,7 +354,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda spark, sf_dir: _rounded(build(spark, sf_dir))
 
     return {
-        **{name: over_gold(build) for name, build in GOLD_QUERIES.items()},
+        **{name: over_gold(build) for name, build in (GOLD_QUERIES | FILTERED_QUERIES).items()},
         **{name: over_tables(build) for name, build in TABLE_QUERIES.items()},
         **(llm_queries.QUERIES | {"pipeline": corpus_pipeline.run} if llm_queries else {}),
     }

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -23,11 +24,16 @@ def duck():
     return connection
 
 
+def _own(names):
+    """Queries of the library itself; those of the subpackage have tests of their own."""
+    return [n for n in names if n != "pipeline" and not re.match(r"op\d+_", n)]
+
+
 def test_every_query_has_an_oracle():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert _own(registry.queries()) and set(_own(registry.queries())) == set(_own(registry.oracle_sql()))
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", _own(registry.queries()))
 def test_same_rows_and_types(spark, duck, name):
     df = registry.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)

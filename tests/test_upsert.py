@@ -78,16 +78,25 @@ def test_duplicate_null_keys_do_not_fail(target, source):
     assert upsert(target, doubled, ["k", "d"]).where("k IS NULL").count() == 2
 
 
-def test_null_key_rows_take_no_part_in_the_shuffle(spark):
+def test_null_keys_are_dealt_out_and_inputs_read_once(spark, tmp_path):
     # A third of the rows without a key would otherwise meet in one task.
-    many = spark.range(3000).select(
-        F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.col("id").alias("v"))
-    target = spark.createDataFrame([(1, 1)], "k bigint, v bigint")
-    result = upsert(target, many, ["k"])
+    spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), F.col("id").alias("v")
+    ).write.parquet(f"{tmp_path}/source")
+    spark.createDataFrame([(1, 1)], "k bigint, v bigint").write.parquet(f"{tmp_path}/target")
+    target, source = spark.read.parquet(f"{tmp_path}/target"), spark.read.parquet(f"{tmp_path}/source")
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    try:
+        result = upsert(target, source, ["k"])
+        loose = result.where("k IS NULL").groupBy(F.spark_partition_id().alias("task")).count()
+        sizes = [row["count"] for row in loose.collect()]
+        assert sum(sizes) == 1000 and max(sizes) < 500
+    finally:
+        spark.conf.unset(coalesced)
     assert result.count() == 3000
-    plan = result._jdf.queryExecution().optimizedPlan().toString()
-    join_side = plan[plan.index("Join FullOuter"):]
-    assert "isnotnull" in join_side
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 and "Union" not in plan  # AQE shows the plan twice
 
 
 def test_unknown_null_policy(target, source):

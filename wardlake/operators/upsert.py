@@ -10,26 +10,27 @@ from pyspark.sql import functions as F
 
 _TARGET = "_in_target"
 _SOURCE = "_in_source"
+_SPREAD = "_spread"
 
 
 def all_present(keys: list[str]) -> Column:
     return reduce(and_, (F.col(key).isNotNull() for key in keys))
 
 
-def unique_by(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The same rows; the job fails at the second row of any key.
+def unique_by(df: DataFrame, keys: list[str], *also: str) -> DataFrame:
+    """The same rows; the job fails at the second row of any key that is wholly present.
 
-    The check shares its shuffle and sort with the join that follows it. It
-    stops at the second row, so a key with very many copies is not gathered.
+    The check shares its shuffle and sort with the join that follows it, which may have further
+    columns (``also``) among its keys. It stops at the second row, so a key with very many copies
+    is not gathered.
     """
-    by_key = Window.partitionBy(*keys).orderBy(*keys)
+    by_key = Window.partitionBy(*keys, *also).orderBy(*keys)
     message = F.concat(
         F.lit("more than one source row for key "),
         F.concat_ws(", ", *(F.col(key).cast("string") for key in keys)),
     )
-    checked = F.when(F.col("_nth") == 1, F.lit(True)).otherwise(
-        F.raise_error(message).cast("boolean")
-    )
+    fine = (F.col("_nth") == 1) | ~all_present(keys)
+    checked = F.when(fine, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     return df.withColumn("_nth", F.row_number().over(by_key)).where(checked).drop("_nth")
 
 
@@ -55,14 +56,20 @@ def upsert(
     given = set(source.columns)
     changed = set(values if update is None else update) & given
 
-    # Rows without a full key are set aside before the join: they cannot match,
-    # and hashing them together would put them all into one task.
-    old = target.where(all_present(keys)).select(
-        *keys, *(F.col(name).alias(f"_old_{name}") for name in values),
+    if on_null_key == "reject":
+        source = source.where(all_present(keys))
+
+    # Rows without a full key cannot match. They go through the same join, so that each input is
+    # read once, but with a value of their own beside the key, which deals them out over the tasks.
+    def spread(df: DataFrame) -> Column:
+        return F.when(~all_present(keys), F.xxhash64(*df.columns)).otherwise(F.lit(0)).alias(_SPREAD)
+
+    old = target.select(
+        *keys, spread(target), *(F.col(name).alias(f"_old_{name}") for name in values),
         F.lit(True).alias(_TARGET),
     )
-    new = unique_by(source.where(all_present(keys)), keys).select(
-        *keys, *(F.col(name).alias(f"_new_{name}") for name in values if name in given),
+    new = unique_by(source.withColumn(_SPREAD, spread(source)), keys, _SPREAD).select(
+        *keys, _SPREAD, *(F.col(name).alias(f"_new_{name}") for name in values if name in given),
         F.lit(True).alias(_SOURCE),
     )
 
@@ -84,19 +91,9 @@ def upsert(
         )
 
     types = {field.name: field.dataType for field in target.schema}
-    result = old.join(new, keys, "full_outer").select(
+    return old.join(new, [*keys, _SPREAD], "full_outer").select(
         *(
             (F.col(name) if name in keys else merged(name)).cast(types[name]).alias(name)
             for name in target.columns
         )
     )
-    result = result.unionByName(target.where(~all_present(keys)))
-    if on_null_key == "insert":
-        loose = source.where(~all_present(keys)).select(
-            *(
-                (F.col(name) if name in given else F.lit(None)).cast(types[name]).alias(name)
-                for name in target.columns
-            )
-        )
-        result = result.unionByName(loose)
-    return result

@@ -58,6 +58,16 @@ def _only_month(gold: Gold, month: date | None, latest_of: Gold | None = None) -
     return replace(gold, daily=gold.daily.where(kept))
 
 
+def _edge_months(gold: Gold) -> Gold:
+    """The daily fact of the first and the last month alone, as ranges of days and month folders."""
+    first, last = _month_edge(gold, F.min), _month_edge(gold, F.max)
+    day = F.col("workdate")
+    kept = (day < F.add_months(first, 1)) | (day >= last)
+    if "month" in gold.daily.columns:
+        kept = kept & F.col("month").isin(first, last)
+    return replace(gold, daily=gold.daily.where(kept))
+
+
 # --- selection boxes --------------------------------------------------------
 
 def states(gold: Gold) -> DataFrame:
@@ -112,20 +122,28 @@ def month_bounds(gold: Gold) -> DataFrame:
 # --- hours per resident day -------------------------------------------------
 
 def facility_hprd(gold: Gold, selection: Selection = EVERYTHING) -> DataFrame:
-    """Facilities with a known rate; the rate covers all their days, whatever months are set."""
+    """All facilities; the rate covers all their days, whatever months are set.
+
+    A facility without residents has no rate and stays in tables and exports.
+    """
     keyed = Selection(states=selection.states, ccns=selection.ccns)
-    return views.hprd_by_facility(gold.where(keyed)).where(F.col("hprd_weighted").isNotNull())
+    return views.hprd_by_facility(gold.where(keyed))
+
+
+def known_facility_hprd(gold: Gold, selection: Selection = EVERYTHING) -> DataFrame:
+    """The facilities with a known rate, which charts and figures are drawn from."""
+    return facility_hprd(gold, selection).where(F.col("hprd_weighted").isNotNull())
 
 
 def facility_hprd_top(gold: Gold, selection: Selection = EVERYTHING, n: int = 50) -> DataFrame:
     """Facilities with the most hours per resident day."""
     return top_n(
-        facility_hprd(gold, selection), n, "-hprd_weighted", "provider_name", "ccn", "state"
+        known_facility_hprd(gold, selection), n, "-hprd_weighted", "provider_name", "ccn", "state"
     )
 
 
 def facility_hprd_kpi(gold: Gold, selection: Selection = EVERYTHING) -> DataFrame:
-    return kpi(facility_hprd(gold, selection), "hprd_weighted")
+    return kpi(known_facility_hprd(gold, selection), "hprd_weighted")
 
 
 def state_hprd(gold: Gold, selected: list[str] | None = None) -> DataFrame:
@@ -244,12 +262,17 @@ def _at(edge: str, value: Column | str) -> Column:
 
 
 def state_hours_change(gold: Gold, selection: Selection = EVERYTHING) -> DataFrame:
-    """Each state's hours in the first and the last selected month and the change between."""
+    """Each state's hours in the first and the last selected month and the change between.
+
+    The fact is cut down to these two months before the roll-up.
+    """
     chosen = Selection(states=selection.states, start=selection.start, end=selection.end)
     cut = gold.where(chosen)
-    monthly = _first_and_last(state_hours_mom(gold, selection), cut).where(
-        F.col("month").isin(F.col("_first"), F.col("_last")) & F.col("state").isNotNull()
+    edges = views.facility_months(_edge_months(cut).daily).groupBy("state", "month").agg(
+        F.sum("total_hours_direct").cast(views.HOURS).alias("total_hours_direct"),
+        F.count("ccn").alias("n_facilities"),
     )
+    monthly = _first_and_last(edges, cut).where(F.col("state").isNotNull())
     return (
         monthly.groupBy("state")
         .agg(

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlake.functions.measures import month_of, ratio, total
@@ -136,10 +136,18 @@ def bed_utilization_monthly(gold: Gold, *facility_columns: str) -> DataFrame:
     A facility whose bed count differs between quarters has one row per count.
     Further facility columns can be had from the same look-up as the name.
     """
-    months = facility_months(gold.daily).select(
+    return _bed_utilization(gold, facility_months(gold.daily), (), facility_columns)
+
+
+def _bed_utilization(
+    gold: Gold, months: DataFrame, kept: tuple[str, ...], facility_columns: tuple[str, ...]
+) -> DataFrame:
+    """Utilization of rolled-up months; ``kept`` columns of the roll-up are passed on."""
+    months = months.select(
         "month", "state", "ccn",
         _day_count("days").cast("bigint").alias("observed_days"),
         F.col("resident_days").cast(DAYS).alias("resident_days"),
+        *kept,
     )
     beds = gold.quarterly.select("ccn", "state", "certified_beds_reported").distinct()
     bed_days = F.col("certified_beds_reported").cast("decimal(18,4)") * F.col("observed_days")
@@ -151,16 +159,15 @@ def bed_utilization_monthly(gold: Gold, *facility_columns: str) -> DataFrame:
             "certified_beds_reported",
             ratio(F.col("resident_days").cast("decimal(18,4)"), bed_days, 4)
             .alias("bed_utilization_rate_monthly"),
-            *facility_columns,
+            *kept, *facility_columns,
         )
     )
 
 
 def _hprd(hours: Column | str) -> Column:
+    """Hours per resident day; the sums are divided in full width, only the rate is narrow."""
     column = F.col(hours) if isinstance(hours, str) else hours
-    return ratio(
-        column.cast("decimal(18,6)"), F.col("resident_days").cast("decimal(18,6)"), 6
-    )
+    return ratio(column.cast("decimal(38,6)"), F.col("resident_days").cast("decimal(38,0)"), 6)
 
 
 def _facility_hprd(daily: DataFrame) -> DataFrame:
@@ -207,9 +214,19 @@ def hprd_by_state(gold: Gold) -> DataFrame:
 
 
 def staffing_vs_occupancy(gold: Gold) -> DataFrame:
-    """Monthly bed utilization beside the facility's overall hours per resident day."""
-    overall = _facility_hprd(gold.daily).select("ccn", "state", "hprd_weighted")
-    return bed_utilization_monthly(gold).join(overall, ["ccn", "state"], "left").select(
+    """Monthly bed utilization beside the facility's overall hours per resident day.
+
+    The overall rate is a window over the facility's rolled-up months, so the fact is read and
+    rolled up once. A facility has one row per month there.
+    """
+    facility = Window.partitionBy("ccn", "state")
+    months = facility_months(gold.daily)
+    hours = F.sum("total_hours_direct").over(facility).cast("decimal(38,6)")
+    residents = F.sum("resident_days").over(facility).cast("decimal(38,0)")
+    # Without a key no overall rate can be looked up.
+    keyed = F.col("ccn").isNotNull() & F.col("state").isNotNull()
+    months = months.withColumn("hprd_weighted", F.when(keyed, ratio(hours, residents, 6)))
+    return _bed_utilization(gold, months, ("hprd_weighted",), ()).select(
         "month", "state", "ccn", "provider_name", "bed_utilization_rate_monthly", "hprd_weighted"
     )
 

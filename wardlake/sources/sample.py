@@ -57,6 +57,13 @@ def _ccn(key: str) -> Column:
     return F.lpad(F.col(key).cast("string"), 6, "0")
 
 
+def _residents() -> Column:
+    """Residents of a day: unknown for some facilities, none on some days of others."""
+    counted = F.col("orders") * 10 + F.col("l_suppkey") % 40
+    empty = (F.col("l_suppkey") % 11 == 4) & (F.dayofmonth("workdate") % 3 == 0)
+    return F.when(F.col("l_suppkey") % 13 == 5, F.lit(None)).when(empty, 0).otherwise(counted)
+
+
 def daily_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Flag of the role (left) and of the contract kind among the line items.
     roles = {"rn": "R", "lpn": "A", "cna": "N"}
@@ -86,7 +93,7 @@ def daily_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("state", F.col("n_name"))
         .withColumn("ccn", _ccn("l_suppkey"))
         .withColumn("hrs_total_direct", whole.cast("decimal(18,2)"))
-        .withColumn("residents", (F.col("orders") * 10 + F.col("l_suppkey") % 40).cast("int"))
+        .withColumn("residents", _residents().cast("int"))
         .select(*GOLD_DAILY.names)
     )
 
