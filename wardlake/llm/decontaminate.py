@@ -31,7 +31,7 @@ from wardlake.llm.text import slices, words
 from wardlake.session import scratch_path
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 CHUNK_WORDS = 200_000
 CANDIDATES = 2_000_000  # places intersected at a time
 
