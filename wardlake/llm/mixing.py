@@ -128,7 +128,7 @@ def mixing_plan(
     """Per source: size, target, whole copies of every document, and the prefix for one more."""
     sizes = items.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = stored(targets(sizes, weights, cap), "mix-targets")
-    ratio = F.col("target") / F.col("source_size")
+    ratio = F.try_divide("target", "source_size")
     copies = F.least(F.coalesce(F.floor(ratio), F.lit(0)), F.lit(cap)).cast("int")
     wanted = wanted.withColumn("copies", copies)
     rest = F.col("target") - F.col("copies") * F.col("source_size")

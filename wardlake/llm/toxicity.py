@@ -21,7 +21,7 @@ a slice of the batch are compressed once.
 
 Defined cases: null and wordless texts have no windows and get the score of no margin; labels
 without a document, and null labels, are left out; rows with equal ids all count; without any
-toxic or any ordinary training row every score is 0; an empty table gives no rows; extra columns
+toxic or any ordinary training row every score is next to 0; an empty table gives no rows; extra columns
 are kept by ``without_toxic`` and ignored by ``scores``.
 """
 
