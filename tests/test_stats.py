@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlake.operators import stats
+from wardlake.operators.ranges import SortedRanges
 
 
 def frame(spark, values, kind="double"):
@@ -19,10 +20,9 @@ def skewed_values(seed):
     return spread + [1.5] * 1000
 
 
-@pytest.mark.parametrize("limit", [stats.DISTINCT_LIMIT, 50])
-def test_kpi_is_exact_with_and_without_narrowing(spark, limit):
+def test_kpi_is_exact(spark):
     values = skewed_values(1)
-    row = stats.kpi(frame(spark, values), "v", limit=limit).first()
+    row = stats.kpi(frame(spark, values), "v").first()
     assert row["count"] == len(values)
     assert row["mean"] == pytest.approx(np.mean(values))
     assert row["median"] == pytest.approx(np.median(values))
@@ -30,19 +30,35 @@ def test_kpi_is_exact_with_and_without_narrowing(spark, limit):
     assert row["p90"] == pytest.approx(np.quantile(values, 0.9))
 
 
-@pytest.mark.parametrize("prob", [0.0, 0.013, 0.25, 0.5, 0.77, 0.999, 1.0])
-def test_narrowed_quantiles(spark, prob):
+PROBS = [0.0, 0.013, 0.25, 0.5, 0.77, 0.999, 1.0]
+
+
+def test_quantiles_from_ranges(spark):
     values = skewed_values(2)
-    counts = stats.value_counts(frame(spark, values), "v")
-    exact = counts.agg(stats.quantile_columns(counts, [prob], limit=20)[0]).first()[0]
-    assert exact == pytest.approx(np.quantile(values, prob))
+    counts = stats.ValueCounts(frame(spark, values), "v")
+    assert counts.quantiles(PROBS) == pytest.approx(list(np.quantile(values, PROBS)))
 
 
-def test_narrowing_decimals_to_two_values(spark):
+def test_quantiles_of_decimals_and_of_one_value(spark):
     values = [Decimal(n).scaleb(-4) for n in range(0, 9000, 7)]
-    counts = stats.value_counts(frame(spark, values, "decimal(18,4)"), "v")
-    exact = counts.agg(stats.quantile_columns(counts, [0.3], limit=2)[0]).first()[0]
-    assert exact == pytest.approx(np.quantile([float(v) for v in values], 0.3))
+    counts = stats.ValueCounts(frame(spark, values, "decimal(18,4)"), "v")
+    assert counts.quantiles(PROBS) == pytest.approx(list(np.quantile([float(v) for v in values], PROBS)))
+    assert stats.ValueCounts(frame(spark, [3.0]), "v").quantiles(PROBS) == [3.0] * len(PROBS)
+    assert stats.ValueCounts(frame(spark, []), "v").quantiles([0.5]) == [None]
+
+
+def test_only_touched_ranges_are_read(spark):
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    try:
+        ranges = SortedRanges(spark.range(5000).toDF("v"), [F.col("v")])
+    finally:
+        spark.conf.unset(coalesced)
+    rows = ranges.stretch([(10, 11)])
+    assert rows.where("_upto = 11").first().v == 10
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_part" in plan or "_part#" in plan.split("PartitionFilters:")[1][:80]
+    assert rows.count() < 5000
 
 
 def test_kpi_skips_nulls_and_adds_extras(spark):
@@ -88,8 +104,9 @@ def test_boxplot_and_outliers(spark):
     assert [row.v for row in stats.outliers(frame(spark, values), "v").collect()] == [100.0]
 
 
-def test_boxplot_with_narrowing(spark):
+def test_boxplot_of_many_values_and_of_none(spark):
     values = skewed_values(3)
-    plain = stats.boxplot(frame(spark, values), "v").first()
-    narrowed = stats.boxplot(frame(spark, values), "v", limit=30).first()
-    assert tuple(narrowed) == pytest.approx(tuple(plain))
+    row = stats.boxplot(frame(spark, values), "v").first()
+    assert (row.q1, row.median, row.q3) == pytest.approx(tuple(np.quantile(values, [0.25, 0.5, 0.75])))
+    assert tuple(stats.boxplot(frame(spark, [None]), "v").first()) == (None, None, None, None, None, 0)
+    assert stats.outliers(frame(spark, []), "v").count() == 0

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.session import materialize
+from wardlake.operators.ranges import SortedRanges
 
 
 def order(*keys: str) -> list[Column]:
@@ -33,43 +33,21 @@ def paginate(df: DataFrame, page: int, size: int, *keys: str) -> DataFrame:
 class Pager:
     """Any page of a frame of any size after one distributed sort.
 
-    The range-sorted rows are kept in the checkpoint folder, so that the
-    partition a row lies in is fixed. The driver holds one count per partition;
-    a page then touches the one or two partitions it lies in.
+    A page reads the folders of the one or two ranges it lies in, and nothing else.
     """
 
     def __init__(self, df: DataFrame, size: int, *keys: str):
-        self._keys = order(*keys)
-        self._columns = df.columns
         self._size = size
-        ranged = df.repartitionByRange(*self._keys)
-        self._rows = materialize(ranged.withColumn("_part", F.spark_partition_id()))
-        counts = self._rows.groupBy("_part").count().orderBy("_part").collect()
-        self._starts = []
-        self.total = 0
-        for part, count in counts:
-            self._starts.append((part, self.total, count))
-            self.total += count
+        self._ranges = SortedRanges(df, order(*keys))
+        self.total = self._ranges.total
         self.pages = max(1, -(-self.total // size))
 
     def page(self, number: int) -> DataFrame:
         first = (number - 1) * self._size
         last = first + self._size
-        touched = [
-            (part, start)
-            for part, start, count in self._starts
-            if start < last and start + count > first
-        ]
-        if not touched:
-            return self._rows.select(*self._columns).limit(0)
-        offset = F.lit(None).cast("long")
-        for part, start in touched:
-            offset = F.when(F.col("_part") == part, F.lit(start)).otherwise(offset)
-        within = Window.partitionBy("_part").orderBy(*self._keys)
+        rows = self._ranges.stretch([(first, last)])
         return (
-            self._rows.where(F.col("_part").isin([part for part, _ in touched]))
-            .withColumn("_row", offset + F.row_number().over(within) - 1)
-            .where((F.col("_row") >= first) & (F.col("_row") < last))
-            .orderBy("_row")
-            .select(*self._columns)
+            rows.where((F.col("_upto") > first) & (F.col("_upto") <= last))
+            .orderBy("_upto")
+            .select(*self._ranges.columns)
         )

@@ -2,83 +2,55 @@
 
 A percentile over a whole frame would gather every value in one task. Here the
 frame is first reduced to one row per distinct value with its count (partial
-aggregation absorbs hot values). When few distinct values remain, one
-aggregation over them is enough; otherwise the value range is narrowed around
-each wanted rank by exact counts until few remain.
+aggregation absorbs hot values). The pairs are sorted into ranges, and only the
+ranges that hold a wanted rank are read: one way for few and for many values.
 """
 
 from __future__ import annotations
 
 from math import floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions.measures import mean
+from wardlake.operators.ranges import SortedRanges
 from wardlake.session import materialize
 
-# Distinct values one task may hold; above it the range is narrowed first.
-DISTINCT_LIMIT = 200_000
-PIECES = 64
-
 BOX_EXTENT = 1.5
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-NULL values of ``column`` as ``value`` with their counts as ``n``, kept."""
-    counted = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return materialize(counted)
-
-
-def _by_rank(counts: DataFrame, total: int, prob: float, limit: int) -> float:
-    """The ``prob`` quantile by linear interpolation between two exact order statistics."""
-    position = prob * (total - 1)
-    rank = floor(position)
-    below = 0
-    bracket = counts
-    while bracket.count() > limit:
-        shares = [piece / PIECES for piece in range(1, PIECES)]
-        pivots = bracket.agg(F.percentile_approx("value", shares, 10_000)).first()[0]
-        pivots = sorted(set(pivots))
-        upto = bracket.agg(
-            *(F.sum(F.when(F.col("value") <= F.lit(pivot), F.col("n"))) for pivot in pivots)
-        ).first()
-        lower = [(pivot, n) for pivot, n in zip(pivots, upto) if below + n <= rank]
-        upper = [pivot for pivot, n in zip(pivots, upto) if below + n > rank + 1]
-        if lower:
-            bracket = bracket.where(F.col("value") > F.lit(lower[-1][0]))
-        if upper:
-            bracket = bracket.where(F.col("value") <= F.lit(upper[0]))
-        if lower:
-            below += lower[-1][1]
-        if not lower and not upper:
-            break
-    # At most ``limit`` distinct values are left for this one ordered pass.
-    running = F.lit(below) + F.sum("n").over(Window.orderBy("value"))
-    value = F.col("value").cast("double")
-    at, after = (
-        bracket.withColumn("_upto", running)
-        .agg(
-            F.min(F.when(F.col("_upto") > rank, value)),
-            F.min(F.when(F.col("_upto") > rank + 1, value)),
-        )
-        .first()
-    )
-    return at if after is None else at + (position - rank) * (after - at)
-
+class ValueCounts:
+    """Distinct non-NULL values of a column as ``value`` with their counts as ``n``, in ranges."""
 
-def quantile_columns(
-    counts: DataFrame, probs: list[float], limit: int = DISTINCT_LIMIT
-) -> list[Column]:
-    """Exact interpolated quantiles as aggregate columns over a ``value_counts`` frame."""
-    distinct, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
-    if distinct <= limit:
-        return [F.percentile("value", F.lit(prob), F.col("n")) for prob in probs]
-    return [F.lit(_by_rank(counts, total, prob, limit)) for prob in probs]
+    def __init__(self, df: DataFrame, column: str):
+        counted = (
+            df.where(F.col(column).isNotNull())
+            .groupBy(F.col(column).alias("value"))
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        self._ranges = SortedRanges(counted, [F.col("value")], F.col("n"))
+        self.rows = self._ranges.rows.select("value", "n")
+
+    def quantiles(self, probs: list[float]) -> list[float | None]:
+        """Linear interpolation between the two order statistics around each wanted rank."""
+        total = self._ranges.total
+        if not total:
+            return [None] * len(probs)
+        places = [prob * (total - 1) for prob in probs]
+        ranks = sorted({rank for place in places for rank in (floor(place), floor(place) + 1)})
+        ranks = [rank for rank in ranks if rank < total]
+        value = F.col("value").cast("double")
+        found = self._ranges.stretch([(rank, rank + 1) for rank in ranks]).agg(
+            *(F.min(F.when(F.col("_upto") > rank, value)) for rank in ranks)
+        ).first()
+        at = dict(zip(ranks, found, strict=True))
+        results = []
+        for place in places:
+            low = at[floor(place)]
+            high = at.get(floor(place) + 1, low)
+            results.append(low + (place - floor(place)) * (high - low))
+        return results
 
 
 def _weighted_mean() -> Column:
@@ -92,15 +64,16 @@ def kpi(
     column: str,
     extra: dict[str, Column] | None = None,
     bounded: bool = False,
-    limit: int = DISTINCT_LIMIT,
 ) -> DataFrame:
     """One row: count, mean, median, min, max and p90 of the non-NULL values, and extras.
 
-    ``extra`` maps names to aggregate columns over the whole frame. Set
-    ``bounded`` for a frame known to be short, such as a top-N report or one
-    row per state: it is then summarised in a single aggregation.
+    ``extra`` maps names to aggregate columns over the whole frame, which is then kept, so that
+    both come from one computation. Set ``bounded`` for a frame known to be short, such as a top-N
+    report or one row per state: it is then summarised in a single aggregation, which holds all
+    its values, so the caller answers for their number.
     """
     extra = extra or {}
+    named = [expression.alias(name) for name, expression in extra.items()]
     if bounded:
         value = F.col(column)
         return df.agg(
@@ -110,11 +83,13 @@ def kpi(
             F.min(value).cast("double").alias("min"),
             F.max(value).cast("double").alias("max"),
             F.percentile(value, F.lit(0.9)).alias("p90"),
-            *(expression.alias(name) for name, expression in extra.items()),
+            *named,
         )
-    counts = value_counts(df, column)
-    median, p90 = quantile_columns(counts, [0.5, 0.9], limit)
-    row = counts.agg(
+    if extra:
+        df = materialize(df)
+    counts = ValueCounts(df, column)
+    median, p90 = (F.lit(value).cast("double") for value in counts.quantiles([0.5, 0.9]))
+    row = counts.rows.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
         _weighted_mean().alias("mean"),
         median.alias("median"),
@@ -124,7 +99,6 @@ def kpi(
     )
     if not extra:
         return row
-    named = [expression.alias(name) for name, expression in extra.items()]
     return row.withColumn("_extra", df.agg(F.struct(*named)).scalar()).select(
         *row.columns, "_extra.*"
     )
@@ -157,7 +131,7 @@ def _round_width(edges: DataFrame, maxbins: int) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, maxbins: int = 40) -> DataFrame:
     """Non-empty round-width bins of the non-NULL values: bin_start, bin_end, count."""
-    counts = value_counts(df, column).withColumn("value", F.col("value").cast("double"))
+    counts = ValueCounts(df, column).rows.withColumn("value", F.col("value").cast("double"))
     low, high, step, start, stop = map(F.col, ("low", "high", "step", "start", "stop"))
     edges = (
         _round_width(counts.agg(F.min("value").alias("low"), F.max("value").alias("high")), maxbins)
@@ -181,36 +155,31 @@ def histogram(df: DataFrame, column: str, maxbins: int = 40) -> DataFrame:
     )
 
 
-def _fences(q1: str, q3: str) -> tuple[Column, Column]:
-    reach = BOX_EXTENT * (F.col(q3) - F.col(q1))
-    return F.col(q1) - reach, F.col(q3) + reach
+def _box(counts: ValueCounts) -> tuple[list[Column], Column]:
+    """The three quartiles as constants, and whether ``value`` lies within the whiskers' reach."""
+    q1, median, q3 = counts.quantiles([0.25, 0.5, 0.75])
+    if q1 is None:
+        return [F.lit(None).cast("double")] * 3, F.lit(None).cast("boolean")
+    reach = BOX_EXTENT * (q3 - q1)
+    inside = F.col("value").cast("double").between(F.lit(q1 - reach), F.lit(q3 + reach))
+    return [F.lit(q1), F.lit(median), F.lit(q3)], inside
 
 
-def boxplot(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT) -> DataFrame:
+def boxplot(df: DataFrame, column: str) -> DataFrame:
     """One row: quartiles, whiskers (furthest values within 1.5 IQR) and outlier count."""
-    counts = value_counts(df, column)
-    q1, median, q3 = quantile_columns(counts, [0.25, 0.5, 0.75], limit)
-    quartiles = counts.agg(q1.alias("q1"), median.alias("median"), q3.alias("q3"))
-    low, high = _fences("box.q1", "box.q3")
+    counts = ValueCounts(df, column)
+    (q1, median, q3), inside = _box(counts)
     value = F.col("value").cast("double")
-    inside = value.between(low, high)
-    return (
-        counts.withColumn("box", quartiles.select(F.struct("q1", "median", "q3")).scalar())
-        .groupBy("box")
-        .agg(
-            F.min(F.when(inside, value)).alias("lower_whisker"),
-            F.max(F.when(inside, value)).alias("upper_whisker"),
-            F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"),
-        )
-        .select("box.q1", "box.median", "box.q3", "lower_whisker", "upper_whisker", "outliers")
+    return counts.rows.agg(
+        q1.alias("q1"), median.alias("median"), q3.alias("q3"),
+        F.min(F.when(inside, value)).alias("lower_whisker"),
+        F.max(F.when(inside, value)).alias("upper_whisker"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"),
     )
 
 
-def outliers(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT) -> DataFrame:
+def outliers(df: DataFrame, column: str) -> DataFrame:
     """The rows whose value lies beyond the whiskers of ``boxplot``."""
-    counts = value_counts(df, column)
-    q1, q3 = quantile_columns(counts, [0.25, 0.75], limit)
-    box = counts.agg(q1.alias("q1"), q3.alias("q3")).select(F.struct("q1", "q3"))
-    low, high = _fences("_box.q1", "_box.q3")
-    value = F.col(column).cast("double")
-    return df.withColumn("_box", box.scalar()).where(~value.between(low, high)).drop("_box")
+    kept = materialize(df)
+    _, inside = _box(ValueCounts(kept, column))
+    return kept.withColumn("value", F.col(column)).where(~inside).select(*df.columns)
