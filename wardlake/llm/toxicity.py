@@ -119,27 +119,55 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(scaled @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _toxic_words(texts: list[list[bytes]], toxic: np.ndarray) -> tuple[bytes, set[bytes]]:
+@dataclass
+class Sample:
+    """Training texts as codes of their distinct words."""
+
+    names: list[bytes]
+    texts: list[np.ndarray]
+    toxic: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array, toxic: np.ndarray) -> Sample:
+        places: dict[bytes, int] = {}
+        coded: list[np.ndarray] = []
+        for begin, size in cuts(texts, SLICE_BYTES):
+            found = words(texts.slice(begin, size))
+            _, first, code = np.unique(found.hashes, return_index=True, return_inverse=True)
+            blob, ends = found.names(first)
+            names = [blob[b:e] for b, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            own = np.array([places.setdefault(n, len(places)) for n in names], np.int32)
+            coded += np.split(own[code] if len(own) else own, found.text_ends[:-1])
+        return cls(list(places), coded, toxic)
+
+
+def _toxic_words(sample: Sample) -> tuple[bytes, set[bytes]]:
     """Dictionary content that covers what is much more frequent in toxic texts, and those runs."""
-    shares, rows, common = (Counter(), Counter()), [0, 0], Counter()
-    seen: set[frozenset] = set()
-    for own, label in zip(texts, toxic.tolist(), strict=True):
-        distinct = frozenset(own)
-        if distinct in seen:  # copies count once
-            continue
-        seen.add(distinct)
-        shares[label].update(set().union(*map(_runs, distinct)) if distinct else ())
-        rows[label] += 1
-        if label:
-            common.update(distinct)
+    distinct: tuple[dict, dict] = ({}, {})  # copies count once
+    for text, label in zip(sample.texts, sample.toxic.tolist(), strict=True):
+        own = np.unique(text)
+        distinct[label][own.tobytes()] = own
+    rows = [len(texts) for texts in distinct]
+    frequent: Counter = Counter()
+    for own in distinct[1].values():
+        frequent.update(set().union(*(_runs(sample.names[code]) for code in own.tolist())) if len(own) else ())
+    least = max(2, MIN_SHARE * rows[1])
+    frequent = Counter({run: n for run, n in frequent.items() if n >= least})
+    # Only runs that are frequent in toxic texts are counted in ordinary ones.
+    within = {code: r for code, name in enumerate(sample.names) if (r := _runs(name) & frequent.keys())}
+    ordinary: Counter = Counter()
+    for own in distinct[0].values():
+        ordinary.update(set().union(*(within[code] for code in own.tolist() if code in within)))
     weights = {}
-    for run, n in shares[1].items():
-        if n >= max(2, MIN_SHARE * rows[1]):
-            ratio = np.log((n + 0.5) / rows[1]) - np.log((shares[0][run] + 0.5) / max(1, rows[0]))
-            if ratio > MIN_LOG_RATIO:
-                weights[run] = ratio * n
+    for run, n in frequent.items():
+        ratio = np.log((n + 0.5) / rows[1]) - np.log((ordinary[run] + 0.5) / max(1, rows[0]))
+        if ratio > MIN_LOG_RATIO:
+            weights[run] = ratio * n
     runs = set(weights)
-    open_words = {w: r for w in common if common[w] > 1 and (r := _runs(w) & runs)}
+    common: Counter = Counter()
+    for own in distinct[1].values():
+        common.update(code for code in own.tolist() if code in within)
+    open_words = {sample.names[c]: r for c, n in common.items() if n > 1 and (r := within[c] & runs)}
     chosen, size = [], 0
     while open_words and size < TOXIC_BYTES:
         gains = {w: sum(weights.get(x, 0) for x in r) / (len(w) + 1) for w, r in open_words.items()}
@@ -153,17 +181,17 @@ def _toxic_words(texts: list[list[bytes]], toxic: np.ndarray) -> tuple[bytes, se
     return b" " + b" ".join(reversed(chosen)) + b" ", runs
 
 
-def _ordinary_words(texts: list[list[bytes]], toxic: np.ndarray, runs: set[bytes]) -> bytes:
-    samples = [
-        b" " + b" ".join(own[i:i + 6]) + b" "
-        for own, label in zip(texts, toxic.tolist(), strict=True) if not label
-        for i in range(0, len(own), 6)
-    ]
-    order = np.random.default_rng(0).permutation(len(samples))[:ORDINARY_SAMPLES]
-    samples = [
-        s for s in (samples[i] for i in order)
-        if not any(s[k:k + RUN] in runs for k in range(len(s) - RUN + 1))
+def _ordinary_words(sample: Sample, runs: set[bytes]) -> bytes:
+    places = [
+        (k, i) for k, (text, label) in enumerate(zip(sample.texts, sample.toxic.tolist(), strict=True))
+        if not label for i in range(0, len(text), 6)
     ]
+    order = np.random.default_rng(0).permutation(len(places))[:ORDINARY_SAMPLES]
+    samples = []
+    for k, i in (places[at] for at in order):
+        window = b" " + b" ".join(sample.names[c] for c in sample.texts[k][i:i + 6].tolist()) + b" "
+        if not any(window[at:at + RUN] in runs for at in range(len(window) - RUN + 1)):
+            samples.append(window)
     try:
         trained = zstandard.train_dictionary(ORDINARY_BYTES, samples, k=40, d=8).as_bytes()
         return trained[-ORDINARY_BYTES * 9 // 10:]  # without the tables in front
@@ -197,14 +225,10 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         weights = np.zeros(n + 1)
         weights[-1] = -np.inf
         return Model(b"", b" the and of to in is that for ", np.zeros(n), np.ones(n), weights)
-    found = words(array)
-    blob, ends = found.names(np.arange(len(found.hashes)))
-    begins = np.concatenate([[0], ends[:-1]]).astype(int)
-    all_words = [blob[b:e] for b, e in zip(begins, ends, strict=True)]
-    text_ends = found.text_ends.tolist()
-    split = [all_words[b:e] for b, e in zip([0, *text_ends[:-1]], text_ends, strict=True)]
-    toxic_part, runs = _toxic_words(split, labels)
-    model = Model(toxic_part, _ordinary_words(split, labels, runs), 0, 1, np.zeros(0))
+    sample = Sample.of(array, labels)
+    toxic_part, runs = _toxic_words(sample)
+    model = Model(toxic_part, _ordinary_words(sample, runs), 0, 1, np.zeros(0))
+    del sample
     features = np.concatenate([model.features(array.slice(b, n)) for b, n in cuts(array, SLICE_BYTES)])
     model.mean, model.scale = features.mean(axis=0), features.std(axis=0) + 1e-9
     model.weights = _fit((features - model.mean) / model.scale, labels)
