@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracles  # noqa: E402
 from wardlake.functions.clean import coerce_datetime, coerce_numeric  # noqa: E402
+from wardlake.functions.measures import month_of  # noqa: E402
 from wardlake.operators import stats  # noqa: E402
 from wardlake.operators.selection import Selection  # noqa: E402
 from wardlake.operators.ranking import Pager, paginate  # noqa: E402
@@ -175,8 +176,11 @@ def _register_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw files written one after the other, ingested from the landing folder, then viewed."""
+def _ingested(spark: SparkSession, sf_dir: str) -> Lake:
+    """A lake after one run over a landing folder.
+
+    Later files correct earlier ones, one has no rows and one has two rows for a key.
+    """
     landing = scratch_path(spark, "landing")
     lake = Lake(spark, scratch_path(spark, "lake"))
     for second in (False, True):
@@ -184,9 +188,23 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("providerinfo", sample.bronze_providerinfo(spark, sf_dir, second)),
             ("pbj", sample.bronze_pbj(spark, sf_dir, second)),
         ):
-            sample.write_raw(raw, f"{landing}/{PREFIXES[dataset]}")
+            sample.write_raw(raw.coalesce(1), f"{landing}/{PREFIXES[dataset]}")
+    raw = sample.bronze_pbj(spark, sf_dir)
+    sample.write_raw(raw.limit(0), f"{landing}/{PREFIXES['pbj']}")
+    sample.write_raw(raw.unionByName(raw).coalesce(1), f"{landing}/{PREFIXES['pbj']}")
     run_ingest(lake, landing)
-    return views.hours_facility_monthly(lake.gold())
+    return lake
+
+
+def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files ingested from the landing folder, then viewed."""
+    return views.hours_facility_monthly(_ingested(spark, sf_dir).gold())
+
+
+def _stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files per dataset and status after the ingest."""
+    log = _ingested(spark, sf_dir).ledger.read()
+    return log.groupBy("dataset", "status").agg(F.count(F.lit(1)).alias("files"))
 
 
 def _partitioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +213,15 @@ def _partitioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(GOLD_DAILY).parquet(path).select(*GOLD_DAILY.names)
 
 
+def _partitioned_month_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One state's months from a table cut by month and state, read by folders."""
+    path = scratch_path(spark, "daily")
+    monthly = sample.daily_fact(spark, sf_dir).withColumn("month", month_of("workdate"))
+    write_partitioned(monthly, path, ["month", "state"], ["ccn", "workdate"])
+    stored = spark.read.schema(monthly.schema).parquet(path)
+    return stored.where(CHOSEN.keys() & CHOSEN.workdays(stored)).select(*monthly.columns)
+
+
 def _export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "export")
     result = dashboard.facility_hprd(sample.gold(spark, sf_dir))
@@ -338,7 +365,9 @@ TABLE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coerce_datetime": _coerce_datetime,
     "register_bronze": _register_bronze,
     "stream_ingest": _stream_ingest,
+    "stream_ledger": _stream_ledger,
     "partitioned_table": _partitioned_table,
+    "partitioned_table_month_state": _partitioned_month_state,
     "export_csv": _export_csv,
     "view_sql": _view_sql,
 }

@@ -1,9 +1,11 @@
 import csv
+import os
 import time
+from datetime import datetime
 from decimal import Decimal
 
 import pytest
-from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 
 from wardlake.plans import views
 from wardlake.schemas import BRONZE_PBJ, BRONZE_PROVIDERINFO
@@ -11,7 +13,7 @@ from wardlake.sources.bronze import read_bronze_pbj, register_bronze
 from wardlake.sources.events import route_events
 from wardlake.sources.ledger import FileLedger
 from wardlake.plans.silver import silver_pbj
-from wardlake.streaming.ingest import Lake, run_ingest
+from wardlake.streaming.ingest import Lake, ingest, run_ingest
 
 CCN = "cms_certification_number_(ccn)"
 
@@ -92,21 +94,88 @@ def test_files_flow_to_gold_one_by_one(spark, tmp_path, state_folders):
     assert lake.daily.read().count() == 3
 
 
-def test_a_failing_file_stays_pending_and_is_retried(spark, tmp_path):
+def test_a_bad_file_stays_pending_and_blocks_no_other(spark, tmp_path):
     landing = tmp_path / "landing"
     lake = Lake(spark, str(tmp_path / "lake"))
-    bad = pbj(landing, "bad.csv", worked("1", "2024-04-01", "8"), worked("1", "2024-04-01", "9"))
+    bad = pbj(landing, "bad one.csv", worked("1", "2024-04-01", "8"), worked("1", "2024-04-01", "9"))
+    pbj(landing, "good.csv", worked("2", "2024-04-01", "5"))
+    providerinfo(landing, "p.csv", {CCN: "1", "state": "AL"}, {CCN: "1", "state": "AL"})
+    providerinfo(landing, "q.csv", {CCN: "2", "state": "AL"})
     for _ in range(2):
-        with pytest.raises(StreamingQueryException, match="more than one source row"):
-            run_ingest(lake, str(landing))
-        assert ledger(lake) == [("pbj", "bad.csv", "PENDING")]
-    assert lake.daily.read().count() == 0
+        left = run_ingest(lake, str(landing))
+        assert [path.rsplit("/", 1)[1] for path in left] == ["bad one.csv", "p.csv"]
+        assert ledger(lake) == [
+            ("pbj", "bad one.csv", "PENDING"), ("pbj", "good.csv", "DONE"),
+            ("providerinfo", "p.csv", "PENDING"), ("providerinfo", "q.csv", "DONE")]
+    assert [r.ccn for r in lake.daily.read().collect()] == ["000002"]
     # The repaired file takes the place of the bad one.
     content = bad.read_text().splitlines()
     bad.write_text("\n".join(content[:2]) + "\n")
     run_ingest(lake, str(landing))
-    assert ledger(lake) == [("pbj", "bad.csv", "DONE")]
-    assert lake.daily.read().first().hrs_rn == Decimal(8)
+    assert {status for _, name, status in ledger(lake) if name == "bad one.csv"} == {"DONE"}
+    assert {r.ccn: r.hrs_rn for r in lake.daily.read().collect()} == {"000001": Decimal(8), "000002": Decimal(5)}
+
+
+def test_no_arrival_is_lost(spark, tmp_path):
+    """A file of old age, a file without rows, and new content under a known name."""
+    landing = tmp_path / "landing"
+    lake = Lake(spark, str(tmp_path / "lake"))
+    first = pbj(landing, "a.csv", worked("1", "2024-04-01", "8"))
+    old = pbj(landing, "old+[1].csv", worked("1", "2024-04-01", "3"), worked("2", "2024-04-01", "4"))
+    os.utime(old, (1_600_000_000, 1_600_000_000))
+    pbj(landing, "none.csv")
+    assert run_ingest(lake, str(landing)) == []
+    assert ledger(lake) == [("pbj", name, "DONE") for name in ("a.csv", "none.csv", "old+[1].csv")]
+    hours = lambda: {r.ccn: r.hrs_rn for r in lake.daily.read().collect()}
+    assert hours() == {"000001": Decimal(8), "000002": Decimal(4)}  # the later content wins
+
+    first.write_text(first.read_text().replace('"8"', '"9"'))
+    os.utime(first, (2_000_000_000, 2_000_000_000))
+    assert run_ingest(lake, str(landing)) == []
+    assert hours() == {"000001": Decimal(9), "000002": Decimal(4)}
+    assert [name for _, name, _ in ledger(lake)].count("a.csv") == 2
+    before = ledger(lake)
+    run_ingest(lake, str(landing))
+    assert ledger(lake) == before
+
+
+def test_blank_cells_keep_earlier_values_within_a_batch_too(spark, tmp_path):
+    landing = tmp_path / "landing"
+    lake = Lake(spark, str(tmp_path / "lake"))
+    providerinfo(landing, "z.csv", {CCN: "1", "provider_name": "Oak", "state": "AL", "number_of_fines": "1"})
+    providerinfo(landing, "b.csv", {CCN: "1", "number_of_fines": "2"})
+    run_ingest(lake, str(landing))
+    row = lake.silver_providerinfo.read().first()
+    assert (row.provider_name, row.state, row.number_of_fines) == ("Oak", "AL", 2)
+
+
+def test_work_does_not_grow_with_the_number_of_files(spark, tmp_path):
+    def stages(n):
+        landing = tmp_path / f"landing{n}"
+        lake = Lake(spark, str(tmp_path / f"lake{n}"))
+        for k in range(n):
+            pbj(landing, f"{k}.csv", worked(str(k + 1), "2024-04-01", "8"))
+        tag = f"ingest-{n}"
+        spark.addTag(tag)
+        run_ingest(lake, str(landing))
+        spark.removeTag(tag)
+        assert lake.daily.read().count() == n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    few = stages(2) - before
+    many = stages(12) - before - few
+    assert many <= few + 3
+
+
+def test_routed_events_start_the_chain(spark, tmp_path):
+    landing = tmp_path / "landing"
+    path = pbj(landing, "a b.csv", worked("1", "2024-04-01", "8"))
+    lake = Lake(spark, str(tmp_path / "lake"))
+    arrivals = spark.createDataFrame([("pbj", f"file:{path}")], "dataset string, s3_path string")
+    arrivals = arrivals.withColumn("modified", F.current_timestamp())
+    assert ingest(lake, arrivals) == []
+    assert lake.daily.read().count() == 1 and ledger(lake) == [("pbj", "a b.csv", "DONE")]
 
 
 def test_no_landing_folder_is_no_work(spark, tmp_path):
@@ -168,10 +237,16 @@ def test_events_are_routed_or_dropped(spark):
 
 def test_done_reaches_every_row_of_the_path_so_far(spark, tmp_path):
     log = FileLedger(spark, str(tmp_path))
-    log.pending("pbj", "f1")
-    log.pending("pbj", "f1")  # a retry
-    log.pending("pbj", "f2")
-    log.done("f1")
-    log.pending("pbj", "f1")  # arrived again later
+
+    def arrive(*rows):
+        log.pending(spark.createDataFrame(
+            [("pbj", path, datetime(2024, 4, day)) for path, day in rows],
+            "dataset string, s3_path string, modified timestamp"))
+
+    arrive(("f1", 1), ("f1", 1))  # told twice
+    arrive(("f1", 1), ("f2", 1))  # a retry, and a new one
+    log.done(spark.createDataFrame([("f1",)], "s3_path string"))
+    arrive(("f1", 2))  # arrived again later
     rows = sorted((r.s3_path, r.status, r.processed_ts is None) for r in log.read().collect())
     assert rows == [("f1", "DONE", False), ("f1", "PENDING", True), ("f2", "PENDING", True)]
+    assert sorted(r.s3_path for r in log.waiting("pbj").collect()) == ["f1", "f2"]

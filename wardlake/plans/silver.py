@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions import clean
@@ -21,8 +21,8 @@ PROVIDER_KEYS = ["ccn"]
 PROVIDER_CCN = "`cms_certification_number_(ccn)`"
 
 
-def silver_pbj(bronze: DataFrame, source_path: str | None = None) -> DataFrame:
-    """Daily staffing rows of one raw file (of all files without a path)."""
+def silver_pbj(bronze: DataFrame, source_path: str | None = None, *more: Column) -> DataFrame:
+    """Daily staffing rows of one raw file (of all files without a path), and further columns."""
     hours = [
         clean.safe(f"Hrs_{RAW_ROLES[role]}{part}", "decimal(9,2)").alias(f"hrs_{role}{part}")
         for role in HOUR_ROLES
@@ -39,11 +39,14 @@ def silver_pbj(bronze: DataFrame, source_path: str | None = None) -> DataFrame:
         clean.safe_date("WorkDate").alias("workdate"),
         clean.safe("MDScensus", "int").alias("mds_census_resident_count"),
         *hours,
+        *more,
     )
 
 
-def silver_providerinfo(bronze: DataFrame, source_path: str | None = None) -> DataFrame:
-    """Provider rows of one raw file (of all files without a path)."""
+def silver_providerinfo(
+    bronze: DataFrame, source_path: str | None = None, *more: Column
+) -> DataFrame:
+    """Provider rows of one raw file (of all files without a path), and further columns."""
     # Raw column (left) of every silver column whose name differs.
     raw = {
         "city": "city_town", "county": "county_parish", "facility_location": "location",
@@ -65,7 +68,7 @@ def silver_providerinfo(bronze: DataFrame, source_path: str | None = None) -> Da
         else:
             column = clean.safe(source, kind)
         columns.append(column.alias(name))
-    return from_file(bronze, source_path).select(*columns)
+    return from_file(bronze, source_path).select(*columns, *more)
 
 
 def merge_silver_pbj(target: DataFrame, source: DataFrame, on_null_key: str = "insert") -> DataFrame:

@@ -163,7 +163,7 @@ GOLD_FACILITY_DIM = table(
     (T.DecimalType(9, 4), "latitude longitude"),
 )
 
-FILE_ARRIVALS = table((TEXT, "dataset s3_path"), (TIMESTAMP, "first_seen_ts"))
+FILE_ARRIVALS = table((TEXT, "dataset s3_path"), (TIMESTAMP, "modified first_seen_ts"))
 FILE_FINISHES = table((TEXT, "s3_path"), (TIMESTAMP, "processed_ts"))
 FILE_LOG = table(
     (TEXT, "dataset s3_path"), (TIMESTAMP, "first_seen_ts"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,15 +22,28 @@ def csv_options(escape: str = "\\") -> dict[str, str]:
     return {"header": "true", "sep": ",", "quote": '"', "escape": escape}
 
 
+def canonical_path(path: Column | str, encoded: bool = False) -> Column:
+    """One spelling of a file's path for events, listings and readers.
+
+    Readers give the path of a row's file ``encoded`` as a URI (``a%20b.csv``), the others plainly.
+    Local files are written with one slash and all S3 schemes alike.
+    """
+    column = F.col(path) if isinstance(path, str) else path
+    if encoded:
+        column = F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B")))
+    column = F.regexp_replace(column, "^file:/+", "file:/")
+    return F.regexp_replace(column, "^s3[an]://", "s3://")
+
+
 def with_source_path(df: DataFrame) -> DataFrame:
-    return df.select("*", F.col("_metadata.file_path").alias(SOURCE_PATH))
+    return df.select("*", canonical_path("_metadata.file_path", encoded=True).alias(SOURCE_PATH))
 
 
 def from_file(bronze: DataFrame, source_path: str | None) -> DataFrame:
     """Rows of one source file; all rows when no path is given."""
     if source_path is None:
         return bronze
-    return bronze.where(F.col(SOURCE_PATH) == F.lit(source_path))
+    return bronze.where(F.col(SOURCE_PATH) == canonical_path(F.lit(source_path)))
 
 
 def _read(spark: SparkSession, path: str, schema: StructType, escape: str) -> DataFrame:

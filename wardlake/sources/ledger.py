@@ -43,27 +43,39 @@ def mark_done(log: DataFrame, finished: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class FileLedger:
-    """Stored ledger; both kinds of entry are only ever appended, so nothing is rewritten."""
+    """Stored ledger; both kinds of entry are only ever appended, so nothing is rewritten.
+
+    An arrival is a path with the time its content is from, so a file that comes again under the
+    same path is an arrival of its own. Entries are added by the batch, whatever its size.
+    """
 
     spark: SparkSession
     path: str
 
-    def _append(self, kind: str, rows: list[tuple], schema: T.StructType, clock: str) -> None:
-        stamped = self.spark.createDataFrame(rows, schema).withColumn(clock, F.current_timestamp())
-        stamped.coalesce(1).write.mode("append").parquet(f"{self.path}/{kind}")
+    def _arrivals(self) -> DataFrame:
+        return read_if_written(self.spark, f"{self.path}/arrivals", FILE_ARRIVALS)
 
-    def read(self) -> DataFrame:
-        arrivals = read_if_written(self.spark, f"{self.path}/arrivals", FILE_ARRIVALS)
+    def _log(self) -> DataFrame:
         finished = read_if_written(self.spark, f"{self.path}/finished", FILE_FINISHES)
-        return mark_done(log_pending(arrivals), finished).select(*FILE_LOG.names)
-
-    def pending(self, dataset: str, s3_path: str) -> None:
-        """Log an arrival; a retry of a file that is still pending keeps its row."""
-        waiting = self.read().where(
-            (F.col("s3_path") == F.lit(s3_path)) & (F.col("status") == PENDING)
-        )
-        if waiting.isEmpty():
-            self._append("arrivals", [(dataset, s3_path, None)], FILE_ARRIVALS, "first_seen_ts")
-
-    def done(self, s3_path: str) -> None:
-        self._append("finished", [(s3_path, None)], FILE_FINISHES, "processed_ts")
+        return mark_done(log_pending(self._arrivals()), finished)
+
+    def read(self) -> DataFrame:
+        return self._log().select(*FILE_LOG.names)
+
+    def pending(self, arrivals: DataFrame) -> None:
+        """Log those (dataset, s3_path, modified) that are not in the ledger yet."""
+        known = self._arrivals().select("s3_path", "modified")
+        new = arrivals.select("dataset", "s3_path", "modified").distinct()
+        new = new.join(known, ["s3_path", "modified"], "left_anti")
+        stamped = new.withColumn("first_seen_ts", F.current_timestamp()).select(*FILE_ARRIVALS.names)
+        stamped.write.mode("append").parquet(f"{self.path}/arrivals")
+
+    def waiting(self, dataset: str) -> DataFrame:
+        """Paths of the dataset with an arrival that is still PENDING."""
+        log = self._log().where((F.col("dataset") == dataset) & (F.col("status") == PENDING))
+        return log.select("s3_path").distinct()
+
+    def done(self, paths: DataFrame) -> None:
+        """Mark all arrivals of the given paths (``s3_path``) that the ledger has so far."""
+        stamped = paths.select("s3_path").withColumn("processed_ts", F.current_timestamp())
+        stamped.write.mode("append").parquet(f"{self.path}/finished")

@@ -1,16 +1,22 @@
-"""New raw files to silver and gold, one file per micro-batch, with a ledger.
+"""New raw files to silver and gold in batches, with a ledger.
 
-The file stream remembers the files it has seen in its checkpoint. A file whose
-chain fails stays PENDING and is tried again when the stream is restarted;
-every step is keyed, so trying again does not change what is already there.
+All arrivals that the ledger does not have as DONE are loaded together: one read, one upsert per
+table, and two appends to the ledger, however many files there are. An arrival is a path and a
+modification time, so files of any age and files that come again under the same path are found.
+Within a batch the last arrival of a key wins, by modification time and then path.
+
+A file that holds two rows for one key is left out and stays PENDING; all others go on, in either
+dataset. A batch that fails stays PENDING as a whole and is loaded again by the next run; every
+step is keyed, so loading again does not change what is already there. One writer per lake.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake import schemas
@@ -19,8 +25,11 @@ from wardlake.plans import gold as gold_layer
 from wardlake.plans import silver as silver_layer
 from wardlake.plans import views
 from wardlake.plans.views import Gold
-from wardlake.sources.bronze import DATASETS, SOURCE_PATH, csv_options, with_source_path
-from wardlake.sources.events import PREFIXES
+from wardlake.session import materialize
+from wardlake.sources.bronze import (
+    DATASETS, SOURCE_PATH, canonical_path, csv_options, with_source_path,
+)
+from wardlake.sources.events import PREFIXES, route_events
 from wardlake.sources.ledger import FileLedger
 from wardlake.sources.tables import LakeTable
 
@@ -96,27 +105,47 @@ class Lake:
         views.register(self.gold())
 
     def load(
-        self, dataset: str, bronze: DataFrame, source_path: str,
-        quarter: str = gold_layer.DEFAULT_QUARTER,
-    ) -> None:
-        """The whole chain for one raw file."""
-        self.ledger.pending(dataset, source_path)
+        self, dataset: str, paths: list[str], quarter: str = gold_layer.DEFAULT_QUARTER
+    ) -> DataFrame:
+        """Bring the files into silver and gold; returns the paths loaded (``s3_path``).
+
+        The driver knows the names of the batch's files, never their rows.
+        """
+        bronze = with_source_path(
+            self.spark.read.schema(DATASETS[dataset]).options(**csv_options())
+            .csv([_literal(path) for path in paths])
+            .select("*", "_metadata")
+        ).withColumn("_modified", F.col("_metadata.file_modification_time"))
+        arrival = F.struct("_modified", SOURCE_PATH)
         if dataset == "pbj":
-            self._load_pbj(bronze, source_path)
+            build, keys = silver_layer.silver_pbj, silver_layer.PBJ_KEYS
         else:
-            self._load_providerinfo(bronze, source_path, quarter)
-        self.ledger.done(source_path)
+            build, keys = silver_layer.silver_providerinfo, silver_layer.PROVIDER_KEYS
+        rows = build(bronze, None, arrival.alias("_arrival")).dropna(subset=keys)
+        rows = materialize(rows)
+        doubled = (
+            rows.groupBy(*keys, "_arrival").count().where("count > 1")
+            .select(F.col("_arrival")[SOURCE_PATH].alias("s3_path")).distinct()
+        )
+        doubled = materialize(doubled)
+        fine = rows.join(doubled, F.col("_arrival")[SOURCE_PATH] == doubled["s3_path"], "left_anti")
+        if dataset == "pbj":
+            self._load_pbj(_last_rows(fine, keys))
+        else:
+            self._load_providerinfo(_last_values(fine, keys), quarter)
+        loaded = self.spark.createDataFrame([(path,) for path in paths], "s3_path string")
+        return loaded.join(doubled, "s3_path", "left_anti")
 
-    def _load_pbj(self, bronze: DataFrame, source_path: str) -> None:
-        rows = silver_layer.silver_pbj(bronze, source_path)
+    def _load_pbj(self, rows: DataFrame) -> None:
+        rows = materialize(rows)
         self.silver_pbj.merge(rows)
-        # A daily row is replaced as a whole, so the file's rows are the merged rows.
+        # A daily row is replaced as a whole, so the batch's rows are the merged rows.
         self.daily.merge(gold_layer.gold_daily(rows))
 
-    def _load_providerinfo(self, bronze: DataFrame, source_path: str, quarter: str) -> None:
-        rows = silver_layer.silver_providerinfo(bronze, source_path)
+    def _load_providerinfo(self, rows: DataFrame, quarter: str) -> None:
+        rows = materialize(rows)
         self.silver_providerinfo.merge(rows, keep_old_when_null=True)
-        # Gold takes the merged rows of the file's facilities, not all of silver.
+        # Gold takes the merged rows of the batch's facilities, not all of silver.
         merged = self.silver_providerinfo.read().join(rows.select("ccn"), "ccn", "left_semi")
         self.quarterly.merge(
             gold_layer.gold_quarterly(merged, quarter), update=gold_layer.QUARTERLY_UPDATES
@@ -124,45 +153,97 @@ class Lake:
         self.facilities.merge(gold_layer.gold_facility_dim(merged))
 
 
-def bronze_stream(spark: SparkSession, landing: str, dataset: str) -> DataFrame:
-    """Raw rows of new files in the dataset's folder, one file per micro-batch, oldest first."""
-    return with_source_path(
-        spark.readStream.schema(DATASETS[dataset])
-        .options(**csv_options())
-        .option("maxFilesPerTrigger", 1)
-        .csv(f"{landing}/{PREFIXES[dataset]}")
-    )
+def _literal(path: str) -> str:
+    """A path whose wildcard characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def run_ingest(
-    lake: Lake, landing: str, quarter: str = gold_layer.DEFAULT_QUARTER
-) -> None:
-    """Bring every file that has arrived below ``landing`` into the lake, then stop.
+def _others(rows: DataFrame, keys: list[str]) -> list[str]:
+    return [name for name in rows.columns if name not in (*keys, "_arrival")]
+
+
+def _last_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the row of the last arrival."""
+    names = _others(rows, keys)
+    last = F.max_by(F.struct(*names), "_arrival")
+    return rows.groupBy(*keys).agg(last.alias("_row")).select(*keys, "_row.*")
 
-    Files in other folders are never looked at.
+
+def _last_values(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and column the last value there is, as loading the files in turn would leave it."""
+
+    def last(name: str) -> Column:
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("_arrival"))).alias(name)
+
+    return rows.groupBy(*keys).agg(*(last(name) for name in _others(rows, keys)))
+
+
+def landed_files(spark: SparkSession, landing: str) -> DataFrame:
+    """Files in the datasets' folders (dataset, s3_path, modified), those without rows too.
+
+    Names and times are listed; no content is read. A file of no bytes is not listed by Spark. Files in other folders are never looked at.
     """
-    spark = lake.spark
-    for dataset in DATASETS:
+    found = None
+    for dataset, prefix in PREFIXES.items():
         try:
-            stream = bronze_stream(spark, landing, dataset)
+            files = spark.read.format("binaryFile").load(f"{landing}/{prefix}")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-
-        def one_batch(batch: DataFrame, _: int, dataset: str = dataset) -> None:
-            rows = batch.persist()
-            try:
-                # One file per micro-batch, so one path.
-                for (path,) in rows.select(SOURCE_PATH).distinct().collect():
-                    lake.load(dataset, rows, path, quarter)
-            finally:
-                rows.unpersist()
-
-        (
-            stream.writeStream.foreachBatch(one_batch)
-            .option("checkpointLocation", f"{lake.path}/checkpoints/{dataset}")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
+        files = files.select(
+            F.lit(dataset).alias("dataset"), canonical_path("path").alias("s3_path"),
+            F.col("modificationTime").alias("modified"),
         )
+        found = files if found is None else found.unionByName(files)
+    if found is None:
+        return spark.createDataFrame([], "dataset string, s3_path string, modified timestamp")
+    return found
+
+
+def ingest(
+    lake: Lake, arrivals: DataFrame, quarter: str = gold_layer.DEFAULT_QUARTER
+) -> list[str]:
+    """Load all arrivals (dataset, s3_path, modified) that are not done; returns what stays PENDING.
+
+    Every arrival gets a ledger row first, also a file without any rows.
+    """
+    arrivals = materialize(arrivals)
+    lake.ledger.pending(arrivals)
+    left: list[str] = []
+    for dataset in DATASETS:
+        here = arrivals.where(F.col("dataset") == dataset).select("s3_path").distinct()
+        waiting = lake.ledger.waiting(dataset).join(here, "s3_path", "left_semi")
+        paths = sorted(row.s3_path for row in waiting.collect())
+        if paths:
+            loaded = materialize(lake.load(dataset, paths, quarter))
+            lake.ledger.done(loaded)
+            left += sorted(set(paths) - {row.s3_path for row in loaded.collect()})
+    return left
+
+
+def run_ingest(
+    lake: Lake, landing: str, quarter: str = gold_layer.DEFAULT_QUARTER
+) -> list[str]:
+    """Bring every file that has arrived below ``landing`` into the lake; returns what stays PENDING."""
+    return ingest(lake, landed_files(lake.spark, landing), quarter)
+
+
+def follow_events(
+    lake: Lake, events: DataFrame, body: str = "body", quarter: str = gold_layer.DEFAULT_QUARTER
+):
+    """Ingest the files that a stream of arrival messages names, batch by batch.
+
+    ``events`` has the JSON message in ``body`` and its time in ``arrived``. Messages of other
+    folders are dropped; the stream's checkpoint lies in the lake.
+    """
+
+    def one_batch(batch: DataFrame, _: int) -> None:
+        ingest(lake, batch.select("dataset", "s3_path", F.col("arrived").alias("modified")), quarter)
+
+    return (
+        route_events(events, body).writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", f"{lake.path}/checkpoints/events")
+        .trigger(availableNow=True)
+        .start()
+    )
