@@ -16,7 +16,10 @@ No bucket is expanded into all pairs. Texts of equal words are one node from the
 bucket every text is first compared with one representative, twice over (``STAR_ROUNDS``); only
 texts that are still apart from their bucket's representative are then compared with the others
 of the bucket that lie in other components, so a large group of copies costs one comparison per
-text, and no link between different components is lost.
+text, and no link between different components is lost. Of those others, texts of another length
+and texts with too many words of their own, by coarse word counts, are passed over in the join. What is
+left grows with the square of the number of unlike texts that share a bucket, that is, the same
+k-mers in the same order in every sketch of a band.
 
 Defined cases: texts of fewer than ``K`` words only match texts of the same words; texts without
 words (also null) are one class if ``wordless`` is set and stay alone otherwise; every row is a
@@ -26,6 +29,7 @@ document, null and repeated ids too; extra columns are ignored; an empty table g
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +47,16 @@ SIMILARITY = 0.8
 STAR_ROUNDS = 2
 SALTS = 16
 SLICE_BYTES = 4 << 20
+BINS = 128  # of word counts, for a lower bound of the distance
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _NONE = np.uint64(2**64 - 1)
 
-SKETCHED = "rid long, doc_id long, key binary, n int, bands array<long>, tokens binary"
+SKETCHED = (
+    "rid long, doc_id long, key binary, n int, bands array<long>, bins array<tinyint>, tokens binary"
+)
 _SKETCHED_ARROW = pa.schema([
     ("rid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()),
-    ("bands", pa.list_(pa.int64())), ("tokens", pa.binary()),
+    ("bands", pa.list_(pa.int64())), ("bins", pa.list_(pa.int8())), ("tokens", pa.binary()),
 ])
 
 
@@ -136,11 +143,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [sums[ends] - sums[begins] * run for sums in (low, high)], axis=1
             ).astype("<u8")
             tokens = found.hashes.astype(np.uint32)
+            text = np.repeat(np.arange(part.num_rows), ends - begins)
+            bins = np.bincount(text * BINS + (found.hashes >> np.uint64(57)).astype(np.int64), minlength=part.num_rows * BINS)
+            bins = np.minimum(bins, 127).astype(np.int8)
+            places = pa.array(np.arange(part.num_rows + 1) * BINS, pa.int32())
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1),
                 pa.array([row.tobytes() for row in identity], pa.binary()),
                 pa.array(ends - begins, pa.int32()),
                 pa.array(bands, pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(places, pa.array(bins)),
                 pa.array([tokens[b:e].tobytes() for b, e in zip(begins, ends, strict=True)], pa.binary()),
             ], schema=_SKETCHED_ARROW)
 
@@ -281,8 +293,8 @@ def near_duplicates(
     return _classes(stored(chosen.mapInArrow(_sketch, SKETCHED), "sketches"), similarity, wordless)
 
 
-def _candidates_and_links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
-    """Verified links between nodes (``node``, ``n``, ``bands``); ``tokens`` by ``key``."""
+def _links(nodes: DataFrame, tokens: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
+    """Verified links between nodes (``node``, ``n``, ``bands``); ``tokens`` and ``bins`` by ``key``."""
     banded = nodes.select(F.col("node").alias("key"), "n", F.posexplode("bands").alias("band", "value"))
     banded = stored(banded.select("key", "n", F.xxhash64("band", "value").alias("bucket")), "bands")
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
@@ -297,7 +309,14 @@ def _candidates_and_links(nodes: DataFrame, tokens: DataFrame, similarity: float
         salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
         return stored(salted.join(reps, ["bucket", "salt"]).drop("salt"), "beside")
 
-    live = beside(banded)
+    # Texts of a bucket whose lengths differ too much are parted: each is in two length classes, and
+    # two texts that may be similar share one of them.
+    shared = beside(banded).select("key", "n", "bucket")
+    lowest = F.floor(F.log(F.greatest("n", F.lit(1))) / (log(1 / similarity) + 1e-6))
+    length = F.explode(F.array(lowest, lowest + 1))
+    shared = shared.withColumn("length", length)
+    shared = stored(shared.select("key", "n", F.xxhash64("bucket", "length").alias("bucket")), "classes")
+    live = beside(shared)
     wanted = live.select("key").distinct()
     tokens = stored(tokens.join(wanted, "key", "left_semi"), "tokens")
     links = aparts = None
@@ -318,14 +337,20 @@ def _candidates_and_links(nodes: DataFrame, tokens: DataFrame, similarity: float
     labels = components(links)
     label = F.coalesce("label", "key")
     # Texts apart from the first one, against the rest of the bucket in other components.
-    left = aparts.join(labels, "key", "left").select(
-        "bucket", F.col("key").alias("a"), F.col("n").alias("a_n"), label.alias("a_label")
+    left = aparts.join(labels, "key", "left").join(bins, "key").select(
+        "bucket", F.col("key").alias("a"), F.col("n").alias("a_n"), label.alias("a_label"),
+        F.col("bins").alias("a_bins"),
     )
-    near = banded.join(aparts.select("bucket").distinct(), "bucket", "left_semi")
-    right = near.join(labels, "key", "left").select(
-        "bucket", F.col("key").alias("b"), F.col("n").alias("b_n"), label.alias("b_label")
+    near = shared.join(aparts.select("bucket").distinct(), "bucket", "left_semi")
+    right = near.join(labels, "key", "left").join(bins, "key").select(
+        "bucket", F.col("key").alias("b"), F.col("n").alias("b_n"), label.alias("b_label"),
+        F.col("bins").alias("b_bins"),
     )
-    close = F.abs(F.col("a_n") - F.col("b_n")) <= (1 - similarity) * F.greatest("a_n", "b_n") + 1e-9
+    # Words that one text has more of in a bin than the other are edits, whatever else differs.
+    most = (1 - similarity) * F.greatest("a_n", "b_n") + 1e-9
+    surplus = F.zip_with("a_bins", "b_bins", lambda x, y: F.greatest(x.cast("int") - y, F.lit(0)))
+    apart_by = F.aggregate(surplus, F.lit(0), lambda total, x: total + x)
+    close = (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (apart_by <= most)
     rest = left.alias("l").join(
         right.alias("r"),
         (F.col("l.bucket") == F.col("r.bucket")) & (F.col("a_label") != F.col("b_label")) & close,
@@ -359,7 +384,8 @@ def _classified(
     firsts = copies.select(F.col("node").alias("rid"))
     nodes = sketches.select("rid", "n", "bands").where(F.size("bands") > 0).join(firsts, "rid", "left_semi")
     tokens = sketches.select(F.col("rid").alias("key"), "tokens")
-    links = _candidates_and_links(nodes.withColumnRenamed("rid", "node"), tokens, similarity)
+    bins = sketches.select(F.col("rid").alias("key"), "bins")
+    links = _links(nodes.withColumnRenamed("rid", "node"), tokens, bins, similarity)
     labels = components(links).select(F.col("key").alias("node"), "label")
 
     placed = copies.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
