@@ -4,11 +4,14 @@ from datetime import date
 
 import pytest
 
-from __spark_entry__ import GOLD_QUERIES
+import small
+from __spark_entry__ import FILTERED_QUERIES, GOLD_QUERIES
 from wardlake.functions.measures import month_of
+from wardlake.operators import stats
 from wardlake.operators.selection import Selection
 from wardlake.plans import dashboard, views
 from wardlake.plans.views import Gold
+from wardlake.session import materialize
 from wardlake.sources import sample
 from wardlake.sources.tables import write_partitioned
 
@@ -101,3 +104,58 @@ def test_reused_tables_are_released(stored):
         assert kept.daily.is_cached
         assert "InMemoryTableScan" in plan(views.hours_facility_monthly(kept))
     assert not kept.daily.is_cached
+
+
+def fact_scans(df):
+    """Scans of the stored daily fact, told by one of its columns."""
+    df.collect()  # the final adaptive plan
+    text = plan(df).split("== Initial Plan ==")[0]
+    return [line for line in text.splitlines() if "FileScan" in line and "/daily" in line]
+
+
+def test_staffing_view_reads_and_rolls_up_the_fact_once(stored):
+    assert len(fact_scans(views.staffing_vs_occupancy(stored))) == 1
+
+
+def test_first_and_last_month_are_cut_at_the_scan(stored):
+    df = dashboard.state_hours_change(stored)
+    wide = [line for line in fact_scans(df) if "hrs_rn" in line]
+    assert len(wide) == 1 and "month" in wide[0].split("PartitionFilters: [")[1].split("]")[0]
+
+
+FILTERED = ["facility_hours_summary_filtered", "state_hours_mom_filtered", "bed_util_detail_filtered",
+            "bed_util_ranked_filtered", "bed_util_variability_filtered", "perm_contract_month_filtered",
+            "state_hours_first_last_filtered", "staffing_vs_occupancy_filtered"]
+
+
+@pytest.mark.parametrize("name", FILTERED)
+def test_filtered_units_prune_months_at_the_scan(stored, name):
+    scans = [line for line in plan(FILTERED_QUERIES[name](stored)).splitlines()
+             if "FileScan" in line and "hrs_" in line + "hrs_" * ("residents" in line)]
+    assert scans
+    for line in scans:
+        assert "month" in line.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_kpi_with_extras_reads_the_fact_once(spark, stored):
+    seen = []
+
+    def counted(df):
+        seen.append(len([line for line in plan(df).splitlines() if "FileScan" in line and "residents" in line]))
+        return materialize(df)
+
+    original = stats.materialize
+    stats.materialize = counted
+    try:
+        row = dashboard.bed_util_kpi(stored)
+    finally:
+        stats.materialize = original
+    assert seen == [1] and "residents" not in plan(row) and row.count() == 1
+
+
+def test_rates_survive_sums_above_a_trillion(spark):
+    days = [small.day(f"2024-04-{d:02d}", "AL", "1", rn=9_000_000_000_000, residents=2_000_000_000) for d in range(1, 29)]
+    rows = views.hprd_by_state(small.gold(spark, days * 60)).collect()
+    assert [float(r.hprd_weighted) for r in rows] == [4500.0]
+    rows = views.hprd_by_facility(small.gold(spark, days * 60)).collect()
+    assert [float(r.rn_hprd) for r in rows] == [4500.0]

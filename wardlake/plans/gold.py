@@ -25,7 +25,7 @@ QUARTERLY_UPDATES = [
     if name not in (*QUARTERLY_KEYS, "reporting_period_start", "reporting_period_end")
 ]
 
-# Gold measure (left) taken from its silver column (right).
+# Gold measure (left) taken from its silver column (right).
 QUARTERLY_SOURCES = {
     "residents_per_day_reported": "average_number_of_residents_per_day",
     "total_nurse_hprd_adj_reported": "adjusted_total_nurse_staffing_hours_per_resident_per_day",

@@ -113,6 +113,7 @@ BRONZE_PROVIDERINFO = _strings("""
 HOUR_ROLES = ("rndon", "rnadmin", "rn", "lpnadmin", "lpn", "cna")
 HOUR_COLUMNS = [f"hrs_{role}{part}" for role in HOUR_ROLES for part in ("", "_emp", "_ctr")]
 
+# Columns of the cleaned daily table, in order.
 SILVER_PBJ_DAILY = table(
     (TEXT, "ccn provider_name city county"),
     (INT, "county_fips"),
@@ -122,6 +123,7 @@ SILVER_PBJ_DAILY = table(
     (T.DecimalType(9, 2), " ".join(HOUR_COLUMNS)),
 )
 
+# Columns of the cleaned provider table, in order.
 SILVER_PROVIDERINFO = table(
     (TEXT, "ccn state provider_name provider_address city county ownership_type zip_code"),
     (TEXT, "telephone_number provider_ssa_county_code"),
@@ -137,6 +139,7 @@ SILVER_PROVIDERINFO = table(
     (TEXT, "processing_date"),
 )
 
+# Columns of the daily fact, in order.
 GOLD_DAILY = table(
     (DATE, "workdate"),
     (TEXT, "state ccn"),
@@ -146,6 +149,7 @@ GOLD_DAILY = table(
     (INT, "residents"),
 )
 
+# Columns of the quarterly fact, in order.
 GOLD_QUARTERLY = table(
     (TEXT, "ccn state"),
     (DATE, "reporting_period_start reporting_period_end"),
@@ -158,6 +162,7 @@ GOLD_QUARTERLY = table(
     (TIMESTAMP, "snapshot_received_ts"),
 )
 
+# Columns of the facility dimension, in order.
 GOLD_FACILITY_DIM = table(
     (TEXT, "ccn provider_name state city county ownership_type"),
     (T.DecimalType(9, 4), "latitude longitude"),

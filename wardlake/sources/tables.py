@@ -62,6 +62,7 @@ class LakeTable:
     slices and the expression for it; without them the table is one slice.
     ``partition_by`` adds folders below a slice, ``cluster_by`` sorts the rows
     within a folder, which lets a scan skip row groups without more folders.
+    One writer at a time: two would compute the same next generation.
     """
 
     spark: SparkSession
@@ -149,7 +150,11 @@ def merge_into_catalog(
     update: list[str] | None = None,
     keep_old_when_null: bool = False,
 ) -> None:
-    """The same upsert as one native MERGE, for catalogs whose tables allow it."""
+    """The same upsert as one native MERGE, for catalogs whose tables allow it.
+
+    Unverified: no catalog with row-level operations was at hand; only its refusal by other tables
+    is tested.
+    """
     names = source.columns
     matched = {}
     for name in update or [name for name in names if name not in keys]:
