@@ -118,8 +118,8 @@ def test_staffing_view_reads_and_rolls_up_the_fact_once(stored):
 
 
 def test_first_and_last_month_are_cut_at_the_scan(stored):
-    df = dashboard.state_hours_change(stored)
-    wide = [line for line in fact_scans(df) if "hrs_rn" in line]
+    text = plan(dashboard.state_hours_change(stored))
+    wide = [line for line in text.splitlines() if "FileScan" in line and "hrs_rn" in line]
     assert len(wide) == 1 and "month" in wide[0].split("PartitionFilters: [")[1].split("]")[0]
 
 
