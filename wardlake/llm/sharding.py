@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from wardlake.llm.store import stored
 from wardlake.llm.text import mix
-from wardlake.session import materialize
 
 SHARDS = 8
 SEED = 20240401
@@ -91,7 +90,7 @@ def numbered(rows: DataFrame, *order: Column | str) -> tuple[DataFrame, int]:
     ordered = rows.withColumn("_spread", spread).repartitionByRange(*order, "_spread")
     ordered = ordered.sortWithinPartitions(*order, "_spread").drop("_spread")
     # The id holds the partition in its upper bits and the place within it below.
-    ordered = materialize(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    ordered = stored(ordered.withColumn("_id", F.monotonically_increasing_id()), "ordered-rows")
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
     counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
