@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlake.llm.bits import bit_set, may_hold
 from wardlake.llm.store import stored
 from wardlake.llm.text import mix, powers, slices, words
 
@@ -318,7 +319,8 @@ def _links(nodes: DataFrame, tokens: DataFrame, bins: DataFrame, similarity: flo
     shared = stored(shared.select("key", "n", F.xxhash64("bucket", "length").alias("bucket")), "classes")
     live = beside(shared)
     wanted = live.select("key").distinct()
-    tokens = stored(tokens.join(wanted, "key", "left_semi"), "tokens")
+    some = may_hold(bit_set(wanted.select(F.xxhash64("key").alias("hash"))), F.xxhash64("key"))
+    tokens = stored(tokens.where(some).join(wanted, "key", "left_semi"), "tokens")
     links = aparts = None
     for number in range(STAR_ROUNDS):
         pairs = live.where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct()
@@ -405,7 +407,8 @@ def _classified(
 
 def without_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, with all columns of ``docs``."""
-    whole = stored(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                               "text", F.monotonically_increasing_id().alias("rid")), "numbered")
-    kept = _classified(whole, similarity).where("kept").select("rid")
+    whole = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid"))
+    whole = stored(whole, "numbered")
+    texts = whole.select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    kept = _classified(texts, similarity).where("kept").select("rid")
     return whole.join(kept, "rid", "left_semi").select("row.*")
