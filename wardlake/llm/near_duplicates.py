@@ -17,7 +17,7 @@ bucket every text is first compared with one representative, twice over (``STAR_
 texts that are still apart from their bucket's representative are then compared with the others
 of the bucket that lie in other components, so a large group of copies costs one comparison per
 text, and no link between different components is lost. Of those others, texts of another length
-and texts with too many words of their own, by coarse word counts, are passed over in the join. What is
+and texts with too many words that the other lacks are passed over in the join. What is
 left grows with the square of the number of unlike texts that share a bucket, that is, the same
 k-mers in the same order in every sketch of a band.
 
@@ -48,16 +48,13 @@ SIMILARITY = 0.8
 STAR_ROUNDS = 2
 SALTS = 16
 SLICE_BYTES = 4 << 20
-BINS = 128  # of word counts, for a lower bound of the distance
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _NONE = np.uint64(2**64 - 1)
 
-SKETCHED = (
-    "rid long, doc_id long, key binary, n int, bands array<long>, bins array<tinyint>, tokens binary"
-)
+SKETCHED = "rid long, doc_id long, key binary, n int, bands array<long>, tokens binary"
 _SKETCHED_ARROW = pa.schema([
     ("rid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()),
-    ("bands", pa.list_(pa.int64())), ("bins", pa.list_(pa.int8())), ("tokens", pa.binary()),
+    ("bands", pa.list_(pa.int64())), ("tokens", pa.binary()),
 ])
 
 
@@ -144,20 +141,24 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [sums[ends] - sums[begins] * run for sums in (low, high)], axis=1
             ).astype("<u8")
             tokens = found.hashes.astype(np.uint32)
-            text = np.repeat(np.arange(part.num_rows), ends - begins)
-            bins = np.bincount(text * BINS + (found.hashes >> np.uint64(57)).astype(np.int64), minlength=part.num_rows * BINS)
-            bins = np.minimum(bins, 127).astype(np.int8)
-            places = pa.array(np.arange(part.num_rows + 1) * BINS, pa.int32())
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1),
                 pa.array([row.tobytes() for row in identity], pa.binary()),
                 pa.array(ends - begins, pa.int32()),
                 pa.array(bands, pa.list_(pa.int64())),
-                pa.ListArray.from_arrays(places, pa.array(bins)),
                 pa.array([tokens[b:e].tobytes() for b, e in zip(begins, ends, strict=True)], pa.binary()),
             ], schema=_SKETCHED_ARROW)
 
 
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each token list."""
+    for batch in batches:
+        words = [np.unique(np.frombuffer(t.as_buffer(), np.int32)) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(words, pa.list_(pa.int32()))], names=["key", "words"]
+        )
+
+
 def least_distance(a: np.ndarray, b: np.ndarray) -> int:
     """A lower bound of the edit distance: words that one side has and the other lacks."""
     values, side = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -294,8 +295,8 @@ def near_duplicates(
     return _classes(stored(chosen.mapInArrow(_sketch, SKETCHED), "sketches"), similarity, wordless)
 
 
-def _links(nodes: DataFrame, tokens: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
-    """Verified links between nodes (``node``, ``n``, ``bands``); ``tokens`` and ``bins`` by ``key``."""
+def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """Verified links between nodes (``node``, ``n``, ``bands``); ``tokens`` by ``key``."""
     banded = nodes.select(F.col("node").alias("key"), "n", F.posexplode("bands").alias("band", "value"))
     banded = stored(banded.select("key", "n", F.xxhash64("band", "value").alias("bucket")), "bands")
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
@@ -339,20 +340,22 @@ def _links(nodes: DataFrame, tokens: DataFrame, bins: DataFrame, similarity: flo
     labels = components(links)
     label = F.coalesce("label", "key")
     # Texts apart from the first one, against the rest of the bucket in other components.
-    left = aparts.join(labels, "key", "left").join(bins, "key").select(
+    near = shared.join(aparts.select("bucket").distinct(), "bucket", "left_semi")
+    some = tokens.select("key", "tokens").join(near.select("key").distinct(), "key", "left_semi")
+    words = stored(some.mapInArrow(_vocabulary, "key long, words array<int>"), "words")
+    left = aparts.join(labels, "key", "left").join(words, "key").select(
         "bucket", F.col("key").alias("a"), F.col("n").alias("a_n"), label.alias("a_label"),
-        F.col("bins").alias("a_bins"),
+        F.col("words").alias("a_words"),
     )
-    near = shared.join(aparts.select("bucket").distinct(), "bucket", "left_semi")
-    right = near.join(labels, "key", "left").join(bins, "key").select(
+    right = near.join(labels, "key", "left").join(words, "key").select(
         "bucket", F.col("key").alias("b"), F.col("n").alias("b_n"), label.alias("b_label"),
-        F.col("bins").alias("b_bins"),
+        F.col("words").alias("b_words"),
     )
-    # Words that one text has more of in a bin than the other are edits, whatever else differs.
+    # Each distinct word that the other text lacks is an edit, whatever else differs.
     most = (1 - similarity) * F.greatest("a_n", "b_n") + 1e-9
-    surplus = F.zip_with("a_bins", "b_bins", lambda x, y: F.greatest(x.cast("int") - y, F.lit(0)))
-    apart_by = F.aggregate(surplus, F.lit(0), lambda total, x: total + x)
-    close = (F.abs(F.col("a_n") - F.col("b_n")) <= most) & (apart_by <= most)
+    close = F.abs(F.col("a_n") - F.col("b_n")) <= most
+    for one, other in (("a_words", "b_words"), ("b_words", "a_words")):
+        close = close & (F.size(F.array_except(one, other)) <= most)
     rest = left.alias("l").join(
         right.alias("r"),
         (F.col("l.bucket") == F.col("r.bucket")) & (F.col("a_label") != F.col("b_label")) & close,
@@ -386,8 +389,7 @@ def _classified(
     firsts = copies.select(F.col("node").alias("rid"))
     nodes = sketches.select("rid", "n", "bands").where(F.size("bands") > 0).join(firsts, "rid", "left_semi")
     tokens = sketches.select(F.col("rid").alias("key"), "tokens")
-    bins = sketches.select(F.col("rid").alias("key"), "bins")
-    links = _links(nodes.withColumnRenamed("rid", "node"), tokens, bins, similarity)
+    links = _links(nodes.withColumnRenamed("rid", "node"), tokens, similarity)
     labels = components(links).select(F.col("key").alias("node"), "label")
 
     placed = copies.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
