@@ -15,7 +15,7 @@ Per text the margins of all its windows are counted above rising thresholds; a l
 on these counts, fitted on the same training rows, sets the thresholds' worth and gives a score
 from 0 to 1. It sees nothing but the margins and the number of windows.
 
-Training takes a bounded sample on the driver: ``TRAIN_ROWS`` labelled rows of at most
+Training takes a bounded sample in one task: ``TRAIN_ROWS`` labelled rows of at most
 ``TRAIN_BYTES`` bytes each, by hash of their id. Scoring covers every whole text; distinct words of
 a slice of the batch are compressed once.
 
@@ -27,7 +27,9 @@ are kept by ``without_toxic`` and ignored by ``scores``.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -252,8 +254,19 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train_on(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_rows(docs, labels).toPandas()
-    return train(rows["text"].tolist(), rows["toxic"].tolist())
+    """The model of the bounded sample, fitted in one task; the driver gets the finished model."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            toxic += batch.column(1).to_pylist()
+        model = pickle.dumps(train(texts, toxic))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    fitted = training_rows(docs, labels).coalesce(1).mapInArrow(fit, "model binary").collect()
+    # No partition, no task: there is no labelled row then.
+    return pickle.loads(fitted[0].model) if fitted else train([], [])
 
 
 def toxicity(text: Column, model: Model) -> Column:
