@@ -339,8 +339,8 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, str]]:
                 bold = f"<b>{MARKER}{text(1, 4)}</b> " if some(0.2) else ""
                 out.append(f"<p>{bold}{MARKER}{words}{link}" + ("</p>" if some(0.85) else ""))
             elif kind < 0.72:
-                out.append(f"<h{pick('2345')}>{MARKER}{text(1, 7)}</h2>".replace("</h2>", "") + "")
-                out[-1] += f"</{out[-1][1:3]}>"
+                level = pick("2345")
+                out.append(f"<h{level}>{MARKER}{text(1, 7)}</h{level}>")
             elif kind < 0.8:
                 items = "".join(f"<li>{MARKER}{text(2, 15)}</li>" for _ in range(rng.integers(2, 6)))
                 out.append(f"<{t}>{items}</{t}>" if (t := pick(["ul", "ol"])) else "")
