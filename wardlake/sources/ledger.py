@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardlake.schemas import FILE_ARRIVALS, FILE_FINISHES, FILE_LOG
 from wardlake.sources.tables import read_if_written
