@@ -117,3 +117,65 @@ def test_one_row_of_each_class_stays_with_its_columns(spark, documents):
     docs = documents([(2, "a b c d e f", "x"), (1, "a b c d e f", "y"), (1, "a b c d e f", "z")], ", rid string")
     kept = nd.without_near_duplicates(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+
+
+def replaced(rng, text, n):
+    """``text`` with exactly ``n`` words replaced by new ones at random places."""
+    edited = list(text)
+    for at in rng.sample(range(len(text)), n):
+        edited[at] = f"new{rng.randrange(10**9)}"
+    return edited
+
+
+def test_recall_of_candidates_at_the_threshold():
+    rng = random.Random(8)
+    for length, similarity, least in [
+        (200, 0.80, 0.93), (200, 0.85, 0.97), (200, 0.90, 0.99), (200, 0.95, 1), (1000, 0.80, 0.93), (70, 0.80, 0.93),
+    ]:
+        found = 0
+        for _ in range(200):
+            text = list(range(length))
+            other = list(text)
+            for at in rng.sample(range(length), round(length * (1 - similarity))):
+                other[at] = rng.randrange(10**6, 10**9)
+            hashes = nd.mix(np.array(text + other, np.uint64) + np.uint64(rng.randrange(2**60)))
+            _, keys = nd.band_keys(hashes, np.array([0, length]), np.array([length, 2 * length]))
+            found += bool((keys[0] == keys[1]).any())
+        assert found >= least * 200, (length, similarity, found)
+
+
+def test_pairs_at_the_threshold_are_linked(documents):
+    rng = random.Random(9)
+    rows, shares = [], [0.80, 0.85, 0.90, 0.95]
+    for k in range(160):
+        text = words(rng, 200)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(replaced(rng, text, round(200 * (1 - shares[k % 4])))))]
+    groups = groups_of(nd.near_duplicates(documents(rows)))
+    found = [groups.get(2 * k) == {2 * k, 2 * k + 1} for k in range(160)]
+    for part, least in enumerate([36, 38, 40, 40]):
+        assert sum(found[part::4]) >= least, shares[part]
+
+
+def test_short_texts_equal_brute_force(documents):
+    rng = random.Random(10)
+    rows = []
+    for k in range(60):
+        text = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([1, 3, 4, 5, 6, 7, 9, 10, 20, 40, 50]))]
+        rows.append(text)
+        for _ in range(3):
+            edited = list(text)
+            for _ in range(rng.randrange(len(text) // 4 + 2)):
+                at = rng.randrange(len(edited) + 1)
+                edited[at:at + rng.randrange(2)] = rng.choice([[], ["x"], [rng.choice("abcdefgh")]])
+            rows.append(edited or ["a"])
+    label = list(range(len(rows)))
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            most = max(len(a), len(b))
+            if label[i] != label[j] and 5 * abs(len(a) - len(b)) <= most and 5 * slow_distance(a, b) <= most:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    truth = {}
+    for k, x in enumerate(label):
+        truth.setdefault(x, set()).add(k)
+    assert groups_of(nd.near_duplicates(documents([(k, " ".join(t)) for k, t in enumerate(rows)]))) == truth

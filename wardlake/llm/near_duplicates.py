@@ -4,7 +4,15 @@ The k-mers of a text are its runs of ``K`` words, labelled with their occurrence
 repeats count. Each sketch takes the ``ELL`` labelled k-mers that are smallest under its own hash
 and keeps them in text order: two texts share it only if they share those k-mers in the same
 order, which follows edit similarity rather than the mere overlap of sets. ``ROWS`` sketches form a
-band; texts equal in a band are candidates.
+band; texts equal in a band are candidates. An edit changes at most ``K`` k-mers of either side, so
+that long texts of similarity 0.8 share at least 3/7 of all their k-mers wherever the edits lie, and
+are candidates with probability 0.96 or more; more alike ones are with 0.99 and more. What no band
+holds together is not compared: recall among long texts is high, not complete.
+
+Texts of at most ``SHORT`` words have few k-mers, and are candidates by an exact rule among each
+other: two texts within the threshold share so many words, repeats told apart, that one of the
+``n - ceil(SIMILARITY * n) + 1`` rarest of each is common to both. Texts equal in such a word are
+candidates, and no link between two of them is lost.
 
 A candidate pair is a link if the edit similarity of the word sequences, 1 - distance / longer
 length, is at least ``SIMILARITY``. The alignment runs diagonal by diagonal outwards from the main
@@ -16,13 +24,12 @@ No bucket is expanded into all pairs. Texts of equal words are one node from the
 bucket every text is first compared with one representative, twice over (``STAR_ROUNDS``); only
 texts that are still apart from their bucket's representative are then compared with the others
 of the bucket that lie in other components, so a large group of copies costs one comparison per
-text, and no link between different components is lost. Of those others, texts of another length
-and texts with too many words that the other lacks are passed over in the join. What is
-left grows with the square of the number of unlike texts that share a bucket, that is, the same
-k-mers in the same order in every sketch of a band.
+text, and no link between different components is lost within a bucket. Of those others, texts of
+another length and texts with too many words that the other lacks are passed over in the join. What
+is left grows with the square of the number of unlike texts that share a bucket, that is, the same
+k-mers in the same order in every sketch of a band, or a rare word of short texts.
 
-Defined cases: texts of fewer than ``K`` words only match texts of the same words; texts without
-words (also null) are one class if ``wordless`` is set and stay alone otherwise; every row is a
+Defined cases: texts without words (also null) are one class if ``wordless`` is set and stay alone otherwise; every row is a
 document, null and repeated ids too; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -36,14 +43,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.bits import bit_set, may_hold
+from wardlake.llm.bits import ONCE, bit_set, may_hold, rarity
 from wardlake.llm.store import stored
 from wardlake.llm.text import mix, powers, slices, words
 
-K = 5
+K = 2
 ELL = 3
-ROWS = 2
-BANDS = 20
+ROWS = 1
+BANDS = 40
+SHORT = 64  # words; shorter texts are also compared by the exact rule
+RARITY_BITS = 20  # hash buckets counted for the rarity of words of short texts
 SIMILARITY = 0.8
 STAR_ROUNDS = 2
 SALTS = 16
@@ -159,6 +168,34 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each token list, made different by their occurrence number."""
+    for batch in batches:
+        lists = [np.frombuffer(t.as_buffer(), np.uint32) for t in batch.column(2)]
+        text = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+        labelled = label_occurrences(text, mix(np.concatenate([*lists, np.zeros(0, np.uint32)]).astype(np.uint64)))
+        ends = np.cumsum([0, *map(len, lists)])
+        words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(labelled.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], names=["key", "n", "words"])
+
+
+def _short_keys(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """Buckets (``key``, ``n``, ``bucket``) of which two short texts that are alike share one."""
+    short = nodes.where(F.col("n").between(1, SHORT)).select(F.col("node").alias("key"), "n")
+    some = short.join(tokens, "key").select("key", "n", "tokens")
+    words = stored(some.mapInArrow(_labelled_words, "key long, n int, words array<long>"), "short-words")
+    # Rarity is the count of a word's hash bucket: an order like any other, the result is the same.
+    levels = rarity(words.select(F.explode("words").alias("hash")), RARITY_BITS)
+    place = lambda word: F.pmod(word, F.lit(1 << RARITY_BITS)).cast("int")
+    code = lambda word: F.struct(F.get("_levels", place(word)).alias("level"), word.alias("word"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    rarest = F.slice(F.sort_array(F.transform("words", code)), F.lit(1), prefix)
+    entries = words.withColumn("_levels", levels).select("key", "n", F.explode(rarest).alias("entry"))
+    # A word that is alone in its bucket is in no other text.
+    entries = entries.where(F.col("entry.level") > ONCE)
+    return entries.select("key", "n", F.xxhash64(F.lit(-1), "entry.word").alias("bucket"))
+
+
 def least_distance(a: np.ndarray, b: np.ndarray) -> int:
     """A lower bound of the edit distance: words that one side has and the other lacks."""
     values, side = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -298,7 +335,8 @@ def near_duplicates(
 def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     """Verified links between nodes (``node``, ``n``, ``bands``); ``tokens`` by ``key``."""
     banded = nodes.select(F.col("node").alias("key"), "n", F.posexplode("bands").alias("band", "value"))
-    banded = stored(banded.select("key", "n", F.xxhash64("band", "value").alias("bucket")), "bands")
+    banded = banded.select("key", "n", F.xxhash64("band", "value").alias("bucket"))
+    banded = stored(banded.unionByName(_short_keys(nodes, tokens, similarity)), "bands")
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
 
     def beside(members: DataFrame) -> DataFrame:
@@ -387,7 +425,7 @@ def _classified(
     # One node per distinct word sequence; copies are reduced before the shuffle.
     copies = stored(sketches.groupBy("key").agg(F.min("rid").alias("node")), "nodes")
     firsts = copies.select(F.col("node").alias("rid"))
-    nodes = sketches.select("rid", "n", "bands").where(F.size("bands") > 0).join(firsts, "rid", "left_semi")
+    nodes = sketches.select("rid", "n", "bands").where("n > 0").join(firsts, "rid", "left_semi")
     tokens = sketches.select(F.col("rid").alias("key"), "tokens")
     links = _links(nodes.withColumnRenamed("rid", "node"), tokens, similarity)
     labels = components(links).select(F.col("key").alias("node"), "label")
