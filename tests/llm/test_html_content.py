@@ -68,3 +68,29 @@ def test_table(spark, model):
     assert len(rows) == 4 and all(r.n_chars == len(r.text) for r in rows)
     assert sorted(r.n_chars > 0 for r in rows) == [False, False, True, True]
     assert hc.extract(pages.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("tag, marks, hidden", [
+    ('<a href="/the-hidden-cost">', (), False),
+    ("<p title='A hidden gem'>", (), False),
+    ('<p data-hidden="false" x-id=menu>', (), False),
+    ("<a href=/guide?id=menu>", (), False),
+    ('<a href="/guide?id=menu" data-class="ad">', (), False),
+    ('<p title="class=ad role=nav style=display:none">', (), False),
+    ('<p title = "a" hidden>', (), True),
+    ('<p hidden="">', (), True),
+    ('<p HIDDEN class="ad">', ("ad",), True),
+    ("<p title=x aria-hidden=true>", (), True),
+    ('<p style="display: none">', (), True),
+    ("<p class=story id='main' role = navigation/>", ("story", "main", "navigation"), False),
+    ('<p a="1"class="story">', ("story",), False),
+])
+def test_attributes_are_whole_names(tag, marks, hidden):
+    node = hc.parse(tag + "text")[1]
+    assert (node.marks, node.hidden) == (marks, hidden)
+
+
+def test_links_and_paragraphs_about_hidden_things_stay(model):
+    page = ('<article><h1>Costs</h1><p title="A hidden gem">One is here to read.</p><p data-hidden="false">Two is'
+            ' <a href="/the-hidden-cost">linked</a> here.</p></article>')
+    assert hc.main_text(page, model).split("\n\n") == ["Costs", "One is here to read.", "Two is linked here."]

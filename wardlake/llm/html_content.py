@@ -47,7 +47,8 @@ _INLINE = {"a", "b", "i", "em", "strong", "span", "code"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# One attribute, name and optional value: values are passed over whole, names are compared whole.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|=\S*|[\"'/]")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
