@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text alone, one on the same text and on
-toxic text. A window of text is compressed with either; the bytes that the toxic dictionary saves
+Two zstandard dictionaries are used: one trained on ordinary text alone, one of the same content
+and a list of selected toxic words. A window of text is compressed with either; the bytes that the toxic dictionary saves
 are its margin. As windows, single words are taken, each followed by one fixed phrase from the
 ordinary dictionary: the compressor looks for no match in the last bytes of its input and pays for
 its first match, so that short words would show no margin by themselves.
