@@ -5,9 +5,9 @@ repeats count. Each sketch takes the ``ELL`` labelled k-mers that are smallest u
 and keeps them in text order: two texts share it only if they share those k-mers in the same
 order, which follows edit similarity rather than the mere overlap of sets. ``ROWS`` sketches form a
 band; texts equal in a band are candidates. An edit changes at most ``K`` k-mers of either side, so
-that long texts of similarity 0.8 share at least 3/7 of all their k-mers wherever the edits lie, and
-are candidates with probability 0.96 or more; more alike ones are with 0.99 and more. What no band
-holds together is not compared: recall among long texts is high, not complete.
+that long texts of similarity 0.8 share about 3/7 of all their k-mers or more wherever the edits lie,
+and are candidates with probability of about 0.96 (0.85: 0.99) or more, if few words repeat. What no
+band holds together is not compared: recall among long texts is high, not complete.
 
 Texts of at most ``SHORT`` words have few k-mers, and are candidates by an exact rule among each
 other: two texts within the threshold share so many words, repeats told apart, that one of the
