@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardlake.llm import (
     decontaminate,
+    fill_middle,
     html_content,
     line_dedup,
     mixing,
     near_duplicates,
     quotient_filter,
+    repeated_spans,
     secrets,
     sharding,
     toxicity,
@@ -68,9 +71,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op12_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeated_spans.remove_repeats(_table(spark, sf_dir, "documents"))
+    return rows.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return made.withColumns({
+        "output_sha256": F.sha2("output", 256),
+        "restored_sha256": F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256),
+    }).drop("output")
+
+
 _OPERATORS = (
     op1_warc, op2_decontaminate, op3_order_minhash, op4_line_dedup, op5_mixing, op6_toxicity,
     op7_exact_dedup, op8_secrets, op9_html_content, op10_sharding,
+    op12_repeated_spans, op13_fill_middle,
 )
 
 
@@ -148,10 +165,63 @@ WITH d AS (
 SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
+_REPEATED_SQL = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+    SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS s FROM d, unnest(range(0, n - 99)) AS r(i)
+), f AS (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM w
+), e AS (
+    SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new
+    FROM f WHERE nth > 1
+), g AS (
+    SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e
+), runs AS (
+    SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run
+), cut AS (
+    SELECT d.doc_id, coalesce(lag(b) OVER (PARTITION BY d.doc_id ORDER BY a), 0) AS p, a, b, x
+    FROM runs JOIN d USING (doc_id)
+), kept AS (
+    SELECT doc_id, count(*) AS spans, sum(b - a) AS removed, max(b) AS last,
+        string_agg(substr(x, CAST(2 * p + 1 AS BIGINT), CAST(2 * (a - p) AS BIGINT)), '' ORDER BY a) AS y
+    FROM cut GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+    sha256(unhex(coalesce(y || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_FILL_SQL = """
+WITH h AS (
+    SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+        sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents
+), v AS (
+    SELECT *, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (n + 1) AS c2,
+        CAST('0x' || substr(x, 17, 8) AS BIGINT) % 100 AS d3, CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 AS d4
+    FROM h
+), f AS (
+    SELECT *, least(c1, c2) AS lo, greatest(c1, c2) AS hi,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d3 >= 90 THEN 'plain'
+            WHEN d4 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM v
+), p AS (
+    SELECT *, substr(text, 1, lo) AS pre, substr(text, lo + 1, hi - lo) AS mid, substr(text, hi + 1) AS suf FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+        WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM p
+"""
+
 # Where SQL can express the result. The others depend on models, alignments or hashes and are
 # tested against brute force, round trips or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": _WARC_SQL,
     "op2_decontaminate": _DECONTAMINATE_SQL,
     "op7_exact_dedup": _EXACT_SQL,
+    "op12_repeated_spans": _REPEATED_SQL,
+    "op13_fill_middle": _FILL_SQL,
 }
