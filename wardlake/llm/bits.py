@@ -6,6 +6,7 @@ never hold back a row that is wanted; an exact join follows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,12 @@ def rarity(hashes: DataFrame, bits: int) -> Column:
     )
     row = pieces.agg(F.array_sort(F.collect_list(F.struct("piece", "levels"))).alias("all"))
     return stored(row.select(F.flatten("all.levels").alias("levels")), "rarity").scalar()
+
+
+def holds(bits: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys a set of ``2 ** size`` bits (as bytes, lowest bit first) may hold.
+
+    The place of a key is its highest ``size`` bits.
+    """
+    place = (keys >> np.uint64(64 - size)).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.llm import (
+    collocations,
     decontaminate,
     fill_middle,
     html_content,
@@ -71,6 +72,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeated_spans.remove_repeats(_table(spark, sf_dir, "documents"))
     return rows.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
@@ -87,7 +92,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OPERATORS = (
     op1_warc, op2_decontaminate, op3_order_minhash, op4_line_dedup, op5_mixing, op6_toxicity,
     op7_exact_dedup, op8_secrets, op9_html_content, op10_sharding,
-    op12_repeated_spans, op13_fill_middle,
+    op11_collocations, op12_repeated_spans, op13_fill_middle,
 )
 
 
@@ -165,6 +170,40 @@ WITH d AS (
 SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
+_COLLOCATIONS_SQL = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), f AS (
+    SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS f
+    FROM w, unnest(range(1, 6)) AS s(size), unnest(range(1, len(w) - size + 2)) AS r(i) GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+    SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE size >= 2 AND f >= 100
+), inner_ones AS (
+    SELECT lang, array_to_string(w[i : i + short - 1], ' ') AS phrase, max(a) AS longer
+    FROM c, unnest(range(2, size)) AS s(short), unnest(range(1, size - short + 2)) AS r(i) GROUP BY ALL
+), kept AS (
+    SELECT c.* FROM c LEFT JOIN inner_ones USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+), cuts AS (
+    SELECT kept.lang, kept.phrase, w, a, k, l.f AS l, r.f AS r, n,
+        CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM kept) kept
+    JOIN f l ON l.lang = kept.lang AND l.phrase = array_to_string(w[1 : k], ' ')
+    JOIN f r ON r.lang = kept.lang AND r.phrase = array_to_string(w[k + 1 :], ' ')
+    JOIN totals t ON t.lang = kept.lang
+), best AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
 _REPEATED_SQL = """
 WITH d AS (
     SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
@@ -222,6 +261,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_warc": _WARC_SQL,
     "op2_decontaminate": _DECONTAMINATE_SQL,
     "op7_exact_dedup": _EXACT_SQL,
+    "op11_collocations": _COLLOCATIONS_SQL,
     "op12_repeated_spans": _REPEATED_SQL,
     "op13_fill_middle": _FILL_SQL,
 }

@@ -45,6 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlake.llm.bits import holds
 from wardlake.llm.store import stored
 from wardlake.llm.text import (
     _BASE, _BASE_INVERSE, _BYTE_VALUES, cuts, mix, powers, text_bytes,
@@ -250,11 +251,6 @@ def _sets(sizes: Sizes, hot: int):
     return merge
 
 
-def _holds(bits: np.ndarray, size: int, trigger: np.ndarray) -> np.ndarray:
-    place = (trigger >> np.uint64(64 - size)).astype(np.int64)
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-
-
 def _compare(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Whether places of ``one`` come before those of ``two``, and whether they are the same."""
     before, same = np.zeros(len(one[0]), bool), np.ones(len(one[0]), bool)
@@ -349,8 +345,8 @@ def _candidates(repeated, hot, sizes: Sizes, length: int):
             names = [batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in PLACE[:3]]
             for data, bounds, numbers, offsets in _pieces(batch, length):
                 found = parse(data, bounds, length)
-                maybe = _holds(some, sizes.repeated, found.trigger)
-                dealt = maybe & _holds(often, sizes.hot, found.trigger)
+                maybe = holds(some, sizes.repeated, found.trigger)
+                dealt = maybe & holds(often, sizes.hot, found.trigger)
 
                 def places_of(starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
                     local = np.searchsorted(bounds, starts, "right") - 1
