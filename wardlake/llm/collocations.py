@@ -55,7 +55,7 @@ DIGIT = 6  # bits of a trie level
 LEVELS = 8
 BURST = 1 << 15
 TRIE_BYTES = 96 << 20  # held by all tries of a task
-PIECE = 1 << 21
+PIECE = 1 << 20
 SLICE_WORDS = 1 << 17  # words of the corpus per prefix partition
 MOST_BITS = 27
 SALTS = 8

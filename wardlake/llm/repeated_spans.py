@@ -10,11 +10,13 @@ overlap by ``length - 1`` bytes, hence each string lies whole in one phrase, tha
 and equal strings can only lie in phrases of equal triggers.
 
 *Dictionary.* Triggers are counted over the corpus (sorted runs of counted triggers, merged by
-slices of the hash space). Phrases of a trigger that occurs once cannot hold a repeated string and
-never leave their task. The others are shuffled by trigger, each distinct phrase once per task.
+slices of the hash space), with a print of their phrase as long as they have only one. Phrases of a
+trigger that occurs once cannot hold a repeated string and never leave their task. The places of the others are
+shuffled by trigger, each distinct phrase once per task; their bytes go along only where a
+trigger has several phrases. Later places of a phrase are removed whole.
 
 *Suffix order.* Per trigger the distinct phrases are the dictionary and their places in the corpus
-the parse. Later places of a phrase are removed whole. The suffixes of the distinct phrases are
+the parse. The suffixes of the distinct phrases are
 sorted by prefix doubling (8, 16, 32, 64, then ``length`` bytes); suffixes that agree on all
 ``length`` bytes are neighbours in that order, and all but the first place in the corpus are removed.
 As phrases overlap, no suffix has to be compared beyond its phrase.
@@ -23,14 +25,15 @@ A trigger with very many different phrases (``HOT``) would make one large group.
 out one by one instead, by a hash of the whole string together with the trigger's, so such a group spreads over
 all tasks; each task sends a string once. Both ways give the same result.
 
-The driver holds two bit sets of at most 16 and 2 MiB, whatever the corpus. With more repeated
+The driver holds three bit sets of at most 16, 16 and 2 MiB, whatever the corpus. With more repeated
 triggers than they can tell apart, more phrases are shuffled; the result stays the same.
 
 Defined cases: null counts as the empty text; texts shorter than ``length`` are kept whole; a null
 id comes after all others; rows with equal ids are ordered by a hash of their texts; of rows equal in
 id and text one stays as it is, and the others are removed whole if they have ``length`` bytes; extra
 columns are ignored; an empty table gives no rows. Very long texts are parsed piece by piece.
-Phrases are taken as equal within a task if two 64-bit hashes agree, else by all their bytes.
+Phrases are taken as equal within a task if two 64-bit hashes agree, those of a trigger without a second
+phrase by 48 bits each of its and of their hash, all others by all their bytes.
 """
 
 from __future__ import annotations
@@ -54,20 +57,21 @@ from wardlake.llm.text import (
 LENGTH = 100
 WIDTH = 32
 HOT = 4096  # different phrases of a trigger, above which its strings are dealt out one by one
-PIECE = 1 << 21  # bytes parsed at a time
+PIECE = 1 << 19  # bytes parsed at a time
 SLICE_BYTES = 4 << 20  # text per slice of the hash space
 SEEN = 1 << 20  # phrases that a task remembers
 RUN = 1 << 21  # triggers that a task counts before it sends them on
 MOST_BITS = 27
 KEY_BITS = 48
 
-PHRASE, SPAN, STRING = 0, 1, 2
+PHRASE, SPAN, STRING, WHOLE = 0, 1, 2, 3
 PLACE = ("no_id", "id", "h", "start")
 _ROWS = pa.schema([
     ("kind", pa.int32()), ("key", pa.int64()), ("no_id", pa.int32()), ("id", pa.int64()),
     ("h", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("phrase", pa.binary()),
 ])
 ROWS = "kind int, key long, no_id int, id long, h long, start long, stop long, phrase binary"
+SETS = ("repeated", "several", "hot")
 SPANS = "no_id int, id long, h long, start long, stop long"
 
 
@@ -141,32 +145,48 @@ def _pieces(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np
             yield part, np.array([0, len(part)]), rows, np.array([offset])
 
 
-def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with the sums of their counts."""
+# Counted triggers: keys, prints of their only phrase (0: several), numbers of phrases.
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _counted(keys: np.ndarray, prints: np.ndarray, counts: np.ndarray) -> Counted:
+    """Distinct keys in order, with the print that all their entries share and the sums of their counts."""
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    keys, prints, counts = keys[order], prints[order], counts[order]
     begins = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)) != 0)
-    return keys[begins], np.add.reduceat(counts, begins) if len(begins) else counts
+    if not len(begins):
+        return keys, prints, counts
+    least, most = (each.reduceat(prints, begins) for each in (np.minimum, np.maximum))
+    return keys[begins], np.where(least == most, least, np.uint64(0)), np.add.reduceat(counts, begins)
+
+
+def _merged(parts: list[Counted]) -> Counted:
+    return _counted(*(np.concatenate(side) for side in zip(*parts)))
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """A sorted run: byte planes of the keys, then the counts above one with their places."""
-    planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BITS // 8].T
+_PLANES = KEY_BITS // 8
+
+
+def _pack(keys: np.ndarray, prints: np.ndarray, counts: np.ndarray) -> bytes:
+    """A sorted run: byte planes of keys and prints, then the counts above one with their places."""
+    planes = [side.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PLANES].T for side in (keys, prints)]
     more = np.flatnonzero(counts > 1)
     head = np.array([len(keys), len(more)], "<i8")
     return b"".join(np.ascontiguousarray(part).tobytes() for part in
-                    (head, planes, more.astype("<i4"), counts[more].astype("<i4")))
+                    (head, *planes, more.astype("<i4"), counts[more].astype("<i4")))
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(raw: bytes) -> Counted:
     n, m = np.frombuffer(raw, "<i8", 2).tolist()
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :KEY_BITS // 8] = np.frombuffer(raw, np.uint8, n * KEY_BITS // 8, 16).reshape(-1, n).T
-    at = 16 + n * KEY_BITS // 8
+    wide = np.zeros((2, n, 8), np.uint8)
+    planes = np.frombuffer(raw, np.uint8, 2 * n * _PLANES, 16).reshape(2, _PLANES, n)
+    wide[:, :, :_PLANES] = planes.transpose(0, 2, 1)
+    at = 16 + 2 * n * _PLANES
     counts = np.ones(n, np.int64)
     if m:
         counts[np.frombuffer(raw, "<i4", m, at)] = np.frombuffer(raw, "<i4", m, at + 4 * m)
-    return wide.reshape(-1).view("<u8").astype(np.uint64), counts
+    keys, prints = wide.view("<u8").reshape(2, n).astype(np.uint64)
+    return keys, prints, counts
 
 
 @dataclass(frozen=True)
@@ -189,11 +209,11 @@ def _runs(sizes: Sizes, length: int):
     """Counted triggers of a task as sorted runs, one per slice."""
     shift = np.uint64(KEY_BITS - sizes.slices)
 
-    def emit(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        own = (keys >> shift).astype(np.int64)
+    def emit(counted: Counted) -> Iterator[pa.RecordBatch]:
+        own = (counted[0] >> shift).astype(np.int64)
         edges = np.flatnonzero(np.diff(own)) + 1
-        parts = list(zip(np.split(keys, edges), np.split(counts, edges))) if len(keys) else []
-        names = [own[0], *own[edges]] if len(keys) else []
+        parts = list(zip(*(np.split(side, edges) for side in counted))) if len(own) else []
+        names = [own[0], *own[edges]] if len(own) else []
         yield pa.RecordBatch.from_arrays(
             [pa.array(names, pa.int64()), pa.array([_pack(*part) for part in parts], pa.binary())],
             ["slice", "run"],
@@ -215,17 +235,21 @@ def _runs(sizes: Sizes, length: int):
                     continue
                 # Different phrases here, and two at least where the trigger occurs again.
                 many = np.diff(begins, append=len(order)) > 1
-                counts = np.maximum(np.add.reduceat(other.astype(np.int64), begins), 1 + many)
-                kept.append(_counted(trigger[begins] >> np.uint64(64 - KEY_BITS), counts))
+                phrases = np.add.reduceat(other.astype(np.int64), begins)
+                prints = np.maximum(phrase[begins] >> np.uint64(64 - KEY_BITS), np.uint64(1))
+                kept.append((
+                    trigger[begins] >> np.uint64(64 - KEY_BITS), np.where(phrases == 1, prints, np.uint64(0)),
+                    np.maximum(phrases, 1 + many),
+                ))
                 size += len(begins)
-            if size > RUN:
-                kept = [_counted(*(np.concatenate(side) for side in zip(*kept)))]
-                size = len(kept[0][0])
-                if size > RUN // 2:
-                    yield from emit(*kept[0])
-                    kept, size = [], 0
+                if size > RUN:
+                    kept = [_merged(kept)]
+                    size = len(kept[0][0])
+                    if size > RUN // 2:
+                        yield from emit(kept[0])
+                        kept, size = [], 0
         if kept:
-            yield from emit(*_counted(*(np.concatenate(side) for side in zip(*kept))))
+            yield from emit(_merged(kept))
 
     return count
 
@@ -237,16 +261,19 @@ def _bits(places: np.ndarray, size: int) -> bytes:
 
 
 def _sets(sizes: Sizes, hot: int):
-    """Merges the runs of a slice into its part of the two bit sets."""
+    """Merges the runs of a slice into its part of the three bit sets."""
 
     def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _counted(*(np.concatenate(side) for side in zip(*map(_unpack, group["run"]))))
+        keys, prints, counts = _merged([_unpack(run) for run in group["run"]])
+        several = (counts > 1) & (prints == 0)
         parts = []
-        for bits, wanted in ((sizes.repeated, counts > 1), (sizes.hot, counts > hot)):
+        for bits, wanted in (
+            (sizes.repeated, counts > 1), (sizes.repeated, several), (sizes.hot, several & (counts > hot))
+        ):
             places = keys[wanted] >> np.uint64(KEY_BITS - bits)
             size = 1 << (bits - sizes.slices)
             parts.append(_bits((places & np.uint64(size - 1)).astype(np.int64), size))
-        return pd.DataFrame({"slice": [key[0]], "repeated": [parts[0]], "hot": [parts[1]]})
+        return pd.DataFrame({"slice": [key[0]], **{name: [part] for name, part in zip(SETS, parts)}})
 
     return merge
 
@@ -328,7 +355,7 @@ def _take(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def _candidates(repeated, hot, sizes: Sizes, length: int):
+def _candidates(shared: dict, sizes: Sizes, length: int):
     """Phrases whose trigger may occur again, strings of hot triggers, and spans known to be repeats."""
 
     def rows(kind: int, key, places, stop, phrases=None) -> pa.RecordBatch:
@@ -339,14 +366,15 @@ def _candidates(repeated, hot, sizes: Sizes, length: int):
         return pa.RecordBatch.from_arrays(arrays, schema=_ROWS)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, often = np.frombuffer(repeated.value, np.uint8), np.frombuffer(hot.value, np.uint8)
+        some, several, often = (np.frombuffer(shared[name].value, np.uint8) for name in SETS)
         phrases_seen, strings_seen = Seen(), Seen()
         for batch in batches:
             names = [batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in PLACE[:3]]
             for data, bounds, numbers, offsets in _pieces(batch, length):
                 found = parse(data, bounds, length)
                 maybe = holds(some, sizes.repeated, found.trigger)
-                dealt = maybe & holds(often, sizes.hot, found.trigger)
+                many = maybe & holds(several, sizes.repeated, found.trigger)
+                dealt = many & holds(often, sizes.hot, found.trigger)
 
                 def places_of(starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
                     local = np.searchsorted(bounds, starts, "right") - 1
@@ -359,6 +387,9 @@ def _candidates(repeated, hot, sizes: Sizes, length: int):
                 stop = places[3] + found.last[at] - found.first[at] + length
                 send, later = phrases_seen.check(mix(found.trigger[at] ^ mix(found.phrase[at])), places)
                 spans.append((local[later], places[3][later], stop[later]))
+                whole = send & ~many[at]
+                yield rows(WHOLE, found.trigger[at[whole]], [p[whole] for p in places], stop[whole])
+                send &= many[at]
                 starts = found.first[at[send]]
                 count = found.last[at[send]] - starts + length
                 raw = _take(data, starts, count)
@@ -445,6 +476,10 @@ def _repeats(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
     later = at[_firsts(group, [p[at] for p in places])[1]]
     yield spans(later, places[3][later], places[3][later] + length)
 
+    at = np.flatnonzero(kind == WHOLE)
+    later = at[_firsts(key[at], [p[at] for p in places])[1]]
+    yield spans(later, places[3][later], stop[later])
+
     # Dictionary: a phrase is its key and its bytes.
     at = np.flatnonzero(kind == PHRASE)
     if not len(at):
@@ -518,13 +553,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sizes = Sizes.of(size)
     runs = rows.select("text").mapInArrow(_runs(sizes, length), "slice long, run binary")
-    sets = runs.groupBy("slice").applyInPandas(_sets(sizes, hot), "slice long, repeated binary, hot binary")
-    bits = {"repeated": bytearray(1 << (sizes.repeated - 3)), "hot": bytearray(1 << (sizes.hot - 3))}
+    columns = ", ".join(f"{name} binary" for name in SETS)
+    sets = runs.groupBy("slice").applyInPandas(_sets(sizes, hot), f"slice long, {columns}")
+    bits = {name: bytearray(1 << ((sizes.hot if name == "hot" else sizes.repeated) - 3)) for name in SETS}
     for part in sets.toLocalIterator():
         for name, whole in bits.items():
             whole[part.slice * len(part[name]):(part.slice + 1) * len(part[name])] = part[name]
     shared = {name: spark.sparkContext.broadcast(bytes(whole)) for name, whole in bits.items()}
-    found = rows.mapInArrow(_candidates(shared["repeated"], shared["hot"], sizes, length), ROWS)
+    found = rows.mapInArrow(_candidates(shared, sizes, length), ROWS)
     dealt = found.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_resolve(length), SPANS)
 
