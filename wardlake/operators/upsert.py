@@ -41,6 +41,7 @@ def upsert(
     update: list[str] | None = None,
     keep_old_when_null: bool = False,
     on_null_key: str = "insert",
+    partitions: int = 0,
 ) -> DataFrame:
     """``target`` after merging ``source`` into it, as a lazy frame.
 
@@ -49,6 +50,9 @@ def upsert(
     Unmatched source rows are inserted by column name. A row with a NULL in its
     key never matches: such target rows stay, such source rows are inserted or,
     with ``on_null_key="reject"``, left out.
+
+    ``partitions`` says that the target is stored in so many buckets by hash of the keys, which its
+    rows have in full: then only the source is shuffled, to the same buckets.
     """
     if on_null_key not in ("insert", "reject"):
         raise ValueError(f"on_null_key must be 'insert' or 'reject', not {on_null_key!r}")
@@ -58,18 +62,28 @@ def upsert(
 
     if on_null_key == "reject":
         source = source.where(all_present(keys))
+    elif partitions:
+        raise ValueError("rows without a key have no bucket; reject them")
+    types = {field.name: field.dataType for field in target.schema}
 
     # Rows without a full key cannot match. They go through the same join, so that each input is
     # read once, but with a value of their own beside the key, which deals them out over the tasks.
     def spread(df: DataFrame) -> Column:
-        return F.when(~all_present(keys), F.xxhash64(*df.columns)).otherwise(F.lit(0)).alias(_SPREAD)
-
+        return F.when(~all_present(keys), F.xxhash64(*df.columns)).otherwise(F.lit(0))
+
+    on = keys if partitions else [*keys, _SPREAD]
+    if partitions:
+        source = source.withColumns({key: F.col(key).cast(types[key]) for key in keys})
+        source = unique_by(source.repartition(partitions, *keys), keys)
+    else:
+        target = target.withColumn(_SPREAD, spread(target))
+        source = unique_by(source.withColumn(_SPREAD, spread(source)), keys, _SPREAD)
     old = target.select(
-        *keys, spread(target), *(F.col(name).alias(f"_old_{name}") for name in values),
+        *on, *(F.col(name).alias(f"_old_{name}") for name in values),
         F.lit(True).alias(_TARGET),
     )
-    new = unique_by(source.withColumn(_SPREAD, spread(source)), keys, _SPREAD).select(
-        *keys, _SPREAD, *(F.col(name).alias(f"_new_{name}") for name in values if name in given),
+    new = source.select(
+        *on, *(F.col(name).alias(f"_new_{name}") for name in values if name in given),
         F.lit(True).alias(_SOURCE),
     )
 
@@ -90,10 +104,9 @@ def upsert(
             .otherwise(after)
         )
 
-    types = {field.name: field.dataType for field in target.schema}
-    return old.join(new, [*keys, _SPREAD], "full_outer").select(
+    return old.join(new, on, "full_outer").select(
         *(
-            (F.col(name) if name in keys else merged(name)).cast(types[name]).alias(name)
-            for name in target.columns
+            (F.col(name) if name in keys else merged(name)).cast(kind).alias(name)
+            for name, kind in types.items()
         )
     )

@@ -7,7 +7,6 @@ only the rows of the finished panel are left to collect.
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +40,8 @@ def _month_edge(gold: Gold, edge) -> Column:
 
     A stored table's partition column serves where there is one, else the day.
     """
+    if gold.months is not None:
+        return gold.months.agg(edge("month").alias("month")).scalar()
     stored = "month" in gold.daily.columns
     value = edge("month") if stored else month_of(edge("workdate"))
     return gold.daily.agg(value.alias("month")).scalar()
@@ -55,7 +56,7 @@ def _only_month(gold: Gold, month: date | None, latest_of: Gold | None = None) -
     kept = (day >= latest) & (day < F.add_months(latest, 1))
     if "month" in gold.daily.columns:
         kept = kept & (F.col("month") == latest)
-    return replace(gold, daily=gold.daily.where(kept))
+    return gold.cut(kept, F.col("month") == latest)
 
 
 def _edge_months(gold: Gold) -> Gold:
@@ -65,14 +66,14 @@ def _edge_months(gold: Gold) -> Gold:
     kept = (day < F.add_months(first, 1)) | (day >= last)
     if "month" in gold.daily.columns:
         kept = kept & F.col("month").isin(first, last)
-    return replace(gold, daily=gold.daily.where(kept))
+    return gold.cut(kept, F.col("month").isin(first, last))
 
 
 # --- selection boxes --------------------------------------------------------
 
 def states(gold: Gold) -> DataFrame:
     """All known states in order."""
-    return gold.daily.select("state").where(F.col("state").isNotNull()).distinct().orderBy("state")
+    return gold.month_keys().select("state").where(F.col("state").isNotNull()).distinct().orderBy("state")
 
 
 def default_states(gold: Gold) -> DataFrame:
@@ -82,7 +83,7 @@ def default_states(gold: Gold) -> DataFrame:
 
 def facilities(gold: Gold, selected: list[str] | None = None) -> DataFrame:
     """Facilities of the states in name order, with the label shown for each."""
-    pairs = gold.daily.where(in_or_all("state", selected)).select("ccn", "state").distinct()
+    pairs = gold.month_keys().where(in_or_all("state", selected)).select("ccn", "state").distinct()
     return (
         pairs.join(gold.about(), "ccn", "left")
         .select("ccn", "provider_name", "state")
@@ -104,10 +105,7 @@ def month_bounds(gold: Gold) -> DataFrame:
     """
     today = F.current_date()
     return (
-        gold.daily.agg(
-            month_of(F.min("workdate")).alias("min_month"),
-            month_of(F.max("workdate")).alias("max_month"),
-        )
+        gold.month_keys().agg(F.min("month").alias("min_month"), F.max("month").alias("max_month"))
         .select(
             F.coalesce("min_month", month_begins_back(today, DEFAULT_MONTHS_BACK)).alias("min_month"),
             F.when(F.col("min_month").isNull(), today).otherwise(F.col("max_month")).alias("max_month"),
@@ -191,7 +189,7 @@ def state_hours_mom(gold: Gold, selection: Selection = EVERYTHING) -> DataFrame:
     The previous month is the state's previous row within the selected months.
     """
     chosen = Selection(states=selection.states, start=selection.start, end=selection.end)
-    months = views.facility_months(gold.where(chosen).daily)
+    months = gold.where(chosen).rolled_up()
     known = F.col("state").isNotNull() & F.col("month").isNotNull()
     per_state = months.groupBy("state", "month").agg(
         F.sum("total_hours_direct").cast(views.HOURS).alias("total_hours_direct"),
@@ -268,7 +266,7 @@ def state_hours_change(gold: Gold, selection: Selection = EVERYTHING) -> DataFra
     """
     chosen = Selection(states=selection.states, start=selection.start, end=selection.end)
     cut = gold.where(chosen)
-    edges = views.facility_months(_edge_months(cut).daily).groupBy("state", "month").agg(
+    edges = _edge_months(cut).rolled_up().groupBy("state", "month").agg(
         F.sum("total_hours_direct").cast(views.HOURS).alias("total_hours_direct"),
         F.count("ccn").alias("n_facilities"),
     )
@@ -315,7 +313,7 @@ def perm_contract_months(gold: Gold, selection: Selection = EVERYTHING) -> DataF
     """Months that can be picked for the states; a facility choice does not matter here."""
     chosen = Selection(states=selection.states, start=selection.start, end=selection.end)
     return (
-        gold.where(chosen).daily.select(month_of("workdate").alias("month"))
+        gold.where(chosen).month_keys().select("month")
         .where(F.col("month").isNotNull())
         .distinct()
         .orderBy("month")
@@ -500,7 +498,7 @@ def bed_util_map_center(gold: Gold, selection: Selection = EVERYTHING) -> DataFr
 def staffing_occupancy_months(gold: Gold, selection: Selection = EVERYTHING) -> DataFrame:
     """Months that can be picked for the states and facilities."""
     return (
-        gold.where(selection).daily.select(month_of("workdate").alias("month"))
+        gold.where(selection).month_keys().select("month")
         .where(F.col("month").isNotNull())
         .distinct()
         .orderBy("month")
@@ -518,7 +516,7 @@ def staffing_vs_occupancy(
     keyed = Selection(states=selection.states, ccns=selection.ccns)
     one = _only_month(gold, month, gold.where(selection))
     beds = views.bed_utilization_monthly(one.where(keyed))
-    hours = views.facility_months(one.where(Selection(ccns=selection.ccns)).daily).select(
+    hours = one.where(Selection(ccns=selection.ccns)).rolled_up().select(
         "ccn", "month", "total_hours_direct"
     )
     days = F.col("resident_days").cast("decimal(18,4)")

@@ -1,6 +1,7 @@
 """Gold views as lazy frames over the facts and the dimension.
 
-All monthly views start from one roll-up to facility months. It combines on the
+All views start from one roll-up to facility months, which a lake keeps up to date month by
+month (``Gold.months``); without it they compute it from the daily fact. It combines on the
 map side, so a shuffle carries at most one row per facility month and task, and
 the optimizer drops the sums a view does not use. Distinct days within a month
 are kept as one bit per day: unlike COUNT(DISTINCT) this is combined before the
@@ -25,11 +26,12 @@ DAYS = "decimal(38,4)"
 
 @dataclass(frozen=True)
 class Gold:
-    """The three gold tables."""
+    """The three gold tables, and the facility months of the daily fact where they are stored."""
 
     daily: DataFrame
     quarterly: DataFrame
     facilities: DataFrame
+    months: DataFrame | None = None
 
     def where(self, selection: Selection) -> Gold:
         """The daily fact cut down before any aggregation.
@@ -37,17 +39,34 @@ class Gold:
         States, facilities and months are grouping keys of every view, so this
         equals filtering the finished views.
         """
-        kept = selection.keys() & selection.workdays(self.daily)
-        return replace(self, daily=self.daily.where(kept))
+        return self.cut(
+            selection.keys() & selection.workdays(self.daily), selection.keys() & selection.month_between()
+        )
+
+    def cut(self, days: Column, months: Column) -> Gold:
+        """Only some months or keys, told as a test of the days and as one of the facility months."""
+        kept = None if self.months is None else self.months.where(months)
+        return replace(self, daily=self.daily.where(days), months=kept)
+
+    def rolled_up(self) -> DataFrame:
+        """Facility months, stored or computed."""
+        return facility_months(self.daily) if self.months is None else self.months
+
+    def month_keys(self) -> DataFrame:
+        """Month, state and facility of rows that hold every such triple at least once."""
+        if self.months is not None:
+            return self.months.select("month", "state", "ccn")
+        return self.daily.select(month_of("workdate").alias("month"), "state", "ccn")
 
     @contextmanager
     def reused(self) -> Iterator[Gold]:
         """Keep the tables while several panels are computed from the same selection."""
-        kept = Gold(self.daily.persist(), self.quarterly.persist(), self.facilities.persist())
+        tables = [table for table in (self.daily, self.quarterly, self.facilities, self.months) if table is not None]
+        kept = Gold(*(table.persist() for table in tables))
         try:
             yield kept
         finally:
-            for table in (kept.daily, kept.quarterly, kept.facilities):
+            for table in tables:
                 table.unpersist()
 
     def about(self, *columns: str) -> DataFrame:
@@ -106,7 +125,7 @@ def facility_months(daily: DataFrame) -> DataFrame:
 
 def hours_facility_monthly(gold: Gold) -> DataFrame:
     """Total direct-care hours per facility and month."""
-    months = facility_months(gold.daily).select("month", "state", "ccn", "total_hours_direct")
+    months = gold.rolled_up().select("month", "state", "ccn", "total_hours_direct")
     return months.join(gold.about(), "ccn", "left").select(
         "month", "state", "ccn", "provider_name", "total_hours_direct"
     )
@@ -114,6 +133,9 @@ def hours_facility_monthly(gold: Gold) -> DataFrame:
 
 def hours_state_monthly(gold: Gold) -> DataFrame:
     """Total direct-care hours per state and month."""
+    if gold.months is not None:
+        hours = F.sum("total_hours_direct").cast(HOURS).alias("total_hours_direct")
+        return gold.months.groupBy("month", "state").agg(hours).select("month", "state", "total_hours_direct")
     return (
         gold.daily.groupBy(month_of("workdate").alias("month"), "state")
         .agg(*_sums(*DIRECT))
@@ -124,7 +146,7 @@ def hours_state_monthly(gold: Gold) -> DataFrame:
 def perm_vs_contract_monthly(gold: Gold) -> DataFrame:
     """Employee and contract hours and the employee share per facility and month."""
     both = (F.col("emp_hours") + F.col("ctr_hours")).cast("decimal(18,6)")
-    return facility_months(gold.daily).select(
+    return gold.rolled_up().select(
         "month", "state", "ccn", "emp_hours", "ctr_hours",
         ratio(F.col("emp_hours").cast("decimal(18,2)"), both, 6).alias("perm_share"),
     )
@@ -136,7 +158,7 @@ def bed_utilization_monthly(gold: Gold, *facility_columns: str) -> DataFrame:
     A facility whose bed count differs between quarters has one row per count.
     Further facility columns can be had from the same look-up as the name.
     """
-    return _bed_utilization(gold, facility_months(gold.daily), (), facility_columns)
+    return _bed_utilization(gold, gold.rolled_up(), (), facility_columns)
 
 
 def _bed_utilization(
@@ -170,11 +192,10 @@ def _hprd(hours: Column | str) -> Column:
     return ratio(column.cast("decimal(38,6)"), F.col("resident_days").cast("decimal(38,0)"), 6)
 
 
-def _facility_hprd(daily: DataFrame) -> DataFrame:
+def _facility_hprd(months: DataFrame) -> DataFrame:
     added = ("rn_hours", "lpn_hours", "cna_hours", "resident_days")
     return (
-        facility_months(daily)
-        .groupBy("ccn", "state")
+        months.groupBy("ccn", "state")
         .agg(
             F.sum(_day_count("resident_days_seen")).alias("days_with_residents"),
             F.min("first_day").alias("start_date"),
@@ -193,7 +214,7 @@ def _facility_hprd(daily: DataFrame) -> DataFrame:
 
 def hprd_by_facility(gold: Gold) -> DataFrame:
     """Hours per resident day of each facility over all its days, weighted by residents."""
-    return _facility_hprd(gold.daily).join(gold.about(), "ccn", "left").select(
+    return _facility_hprd(gold.rolled_up()).join(gold.about(), "ccn", "left").select(
         "ccn", "provider_name", "state", "days_with_residents", "start_date", "end_date",
         "hprd_weighted", "rn_hprd", "lpn_hprd", "cna_hprd",
     )
@@ -201,6 +222,14 @@ def hprd_by_facility(gold: Gold) -> DataFrame:
 
 def hprd_by_state(gold: Gold) -> DataFrame:
     """Hours per resident day of each state over all its days, weighted by residents."""
+    if gold.months is not None:
+        months = gold.months.groupBy("state").agg(
+            F.min("first_day").alias("start_date"),
+            F.max("last_day").alias("end_date"),
+            F.sum("resident_days").alias("resident_days"),
+            F.sum("total_hours_direct").cast(HOURS).alias("total_hours_direct"),
+        )
+        return months.select("state", "start_date", "end_date", _hprd("total_hours_direct").alias("hprd_weighted"))
     return (
         gold.daily.groupBy("state")
         .agg(
@@ -220,7 +249,7 @@ def staffing_vs_occupancy(gold: Gold) -> DataFrame:
     rolled up once. A facility has one row per month there.
     """
     facility = Window.partitionBy("ccn", "state")
-    months = facility_months(gold.daily)
+    months = gold.rolled_up()
     hours = F.sum("total_hours_direct").over(facility).cast("decimal(38,6)")
     residents = F.sum("resident_days").over(facility).cast("decimal(38,0)")
     # Without a key no overall rate can be looked up.

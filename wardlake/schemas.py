@@ -175,5 +175,18 @@ FILE_LOG = table(
     (TEXT, "status"), (TIMESTAMP, "processed_ts"),
 )
 
-# Which generation of each slice of a stored table is the visible one.
-SLICE_LOG = table((TEXT, "slice"), (INT, "generation"))
+# The ledger's snapshot; the last two columns are folders.
+FILE_SNAPSHOT = table(
+    (TEXT, "dataset s3_path"), (TIMESTAMP, "modified first_seen_ts processed_ts"),
+    (TEXT, "status"), (DATE, "day"),
+)
+
+# Facility months: all sums the views need.
+FACILITY_MONTHS = table(
+    (DATE, "month"),
+    (TEXT, "state ccn"),
+    (T.DecimalType(38, 2), "total_hours_direct rn_hours lpn_hours cna_hours emp_hours ctr_hours"),
+    (T.LongType(), "resident_days"),
+    (INT, "days resident_days_seen"),
+    (DATE, "first_day last_day"),
+)

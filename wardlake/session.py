@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution sizes shuffles, picks broadcast joins from measured sizes
 # and splits skewed partitions, so no partition count is fixed here.
@@ -50,6 +50,21 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def delete_scratch(df: DataFrame) -> None:
+    """Remove the files of a frame that ``written`` has returned."""
+    spark = df.sparkSession
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` once as Parquet into the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Compute ``df`` once into reliable storage and cut its lineage there."""
     shared_folder(df.sparkSession)
