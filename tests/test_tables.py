@@ -1,3 +1,4 @@
+import threading
 from datetime import date
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from small import day
 
 from wardlake.functions.measures import month_of
+from wardlake.operators.upsert import upsert
 from wardlake.schemas import GOLD_DAILY, GOLD_FACILITY_DIM
 from wardlake.sources.export import export_csv
 from wardlake.sources.tables import LakeTable, merge_into_catalog
@@ -104,3 +106,144 @@ def test_csv_export(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     with pytest.raises(AnalysisException):
         export_csv(df, f"{tmp_path}/out")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_bucketed_merge_shuffles_the_source_only(spark, tmp_path):
+    """No exchange above the stored rows, and the rows of an unbucketed merge."""
+    plain, dealt = daily_table(spark, tmp_path / "a"), daily_table(spark, tmp_path / "b", buckets=4)
+    first = [day("2024-04-%02d" % (n % 28 + 1), "AL", str(n), rn=n) for n in range(60)]
+    second = [day("2024-04-01", "GA", "0", rn=70), day("2024-04-30", "AL", "x", rn=71), day("2024-05-01", "AL", "1", rn=3)]
+    for table in (plain, dealt):
+        for rows in (first, second):
+            table.merge(fact(spark, *rows))
+    assert sorted(dealt.read().collect(), key=str) == sorted(plain.read().collect(), key=str)
+    names = [path.rsplit("/", 1)[1] for path in dealt.read(["2024-04-01"]).inputFiles()]
+    assert len({name.split("_")[1][:5] for name in names}) == 4  # a file for each bucket
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with dealt.in_buckets() as target:
+            merged = upsert(target, fact(spark, *second), ["ccn", "workdate"], on_null_key="reject", partitions=4)
+            plan = plan_of(merged)
+            assert merged.count() == 62
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    stored, arriving = plan.split("FileScan")[0], plan.split("FileScan")[1]
+    assert "Exchange" not in stored and "Bucketed: true" in arriving and arriving.count("Exchange") == 1
+
+
+def test_buckets_need_rejected_null_keys(spark):
+    rows = fact(spark, day("2024-04-01", "AL", "1", rn=1))
+    with pytest.raises(ValueError, match="no bucket"):
+        upsert(rows, rows, ["ccn", "workdate"], partitions=2)
+
+
+@pytest.mark.parametrize("buckets", [0, 2])
+def test_concurrent_loads_of_one_month_both_show(spark, tmp_path, buckets):
+    table = daily_table(spark, tmp_path, buckets=buckets)
+    table.merge(fact(spark, day("2024-04-01", "AL", "0", rn=1)))
+    failures = []
+
+    def load(ccn):
+        try:
+            table.merge(fact(spark, day("2024-04-01", "AL", ccn, rn=2), day(f"2024-0{ccn}-01", "AL", ccn, rn=3)))
+        except Exception as problem:  # shown by the assertion below
+            failures.append(problem)
+
+    loads = [threading.Thread(target=load, args=(str(n),)) for n in range(5, 8)]
+    for thread in loads:
+        thread.start()
+    for thread in loads:
+        thread.join()
+    assert failures == []
+    assert hours(table) == {("0", "2024-04-01", "AL"): 1} | {
+        (str(n), f"2024-0{month}-01", "AL"): rn for n in range(5, 8) for month, rn in ((4, 2), (n, 3))
+    }
+
+
+def test_a_merge_is_computed_again_if_its_slice_changed(spark, tmp_path, monkeypatch):
+    table = daily_table(spark, tmp_path)
+    table.merge(fact(spark, day("2024-04-01", "AL", "0", rn=1)))
+    computed, inner = [], LakeTable._merged
+
+    def interrupted(self, current, slices, source, rules):
+        computed.append(slices)
+        if len(computed) == 1:
+            table.merge(fact(spark, day("2024-04-02", "AL", "other", rn=5), day("2024-06-01", "AL", "other", rn=6)))
+        return inner(self, current, slices, source, rules)
+
+    monkeypatch.setattr(LakeTable, "_merged", interrupted)
+    table.merge(fact(spark, day("2024-04-01", "AL", "0", rn=2)))
+    assert hours(table) == {
+        ("0", "2024-04-01", "AL"): 2, ("other", "2024-04-02", "AL"): 5, ("other", "2024-06-01", "AL"): 6,
+    }
+    assert computed == [["2024-04-01"], ["2024-04-01", "2024-06-01"], ["2024-04-01"]]
+
+
+def test_another_slice_is_no_conflict(spark, tmp_path, monkeypatch):
+    table = daily_table(spark, tmp_path)
+    computed, inner = [], LakeTable._merged
+
+    def interrupted(self, current, slices, source, rules):
+        computed.append(slices)
+        if len(computed) == 1:
+            table.merge(fact(spark, day("2024-06-01", "AL", "other", rn=6)))
+        return inner(self, current, slices, source, rules)
+
+    monkeypatch.setattr(LakeTable, "_merged", interrupted)
+    table.merge(fact(spark, day("2024-04-01", "AL", "0", rn=2)))
+    assert computed == [["2024-04-01"], ["2024-06-01"]]
+    assert len(hours(table)) == 2
+
+
+def test_expiry_keeps_what_readers_hold(spark, tmp_path):
+    table = daily_table(spark, tmp_path, buckets=2)
+    for rn in (1, 2):
+        table.merge(fact(spark, day("2024-04-01", "AL", "0", rn=rn), day("2024-05-01", "AL", "0", rn=9 * rn)))
+    with table.held() as rows:
+        for rn in (3, 4):
+            table.merge(fact(spark, day("2024-04-01", "AL", "0", rn=rn)))
+        gone = table.expire(keep=1, seconds=0)
+        # The first write and the April of the third are needed by nobody.
+        assert len(gone) == 2
+        assert sorted(int(row.hrs_rn) for row in rows.collect()) == [2, 18]
+    assert sorted(hours(table).values()) == [4, 18]
+    assert [name.split("/")[1] for name in table.expire(keep=1, seconds=0)] == ["month=2024-04-01"]
+    assert sorted(hours(table).values()) == [4, 18]
+    assert table.expire(keep=1, seconds=0) == []
+
+
+def test_expiry_leaves_young_folders_of_unfinished_writes(spark, tmp_path):
+    table = daily_table(spark, tmp_path)
+    table.merge(fact(spark, day("2024-04-01", "AL", "0", rn=1)))
+    lost = fact(spark, day("2024-04-01", "AL", "0", rn=2)).withColumn("month", F.lit(date(2024, 4, 1)))
+    lost.write.partitionBy("month").parquet(f"{tmp_path}/data/write=lost")
+    assert table.expire(keep=1, seconds=3600) == []
+    assert table.expire(keep=1, seconds=0) == ["write=lost"]
+    assert sorted(hours(table).values()) == [1]
+
+
+def test_rows_as_of_a_commit(spark, tmp_path):
+    table = daily_table(spark, tmp_path)
+    for rn in (1, 2):
+        table.merge(fact(spark, day("2024-04-01", "AL", "0", rn=rn)))
+    assert [int(row.hrs_rn) for row in table.read(number=1).collect()] == [1]
+
+
+@pytest.mark.parametrize("layout", [{}, {"buckets": 2}])
+def test_a_table_in_the_catalog(spark, tmp_path, layout):
+    """Other sessions of the catalog read it; dropping the entry leaves the files."""
+    table = daily_table(spark, tmp_path, **layout)
+    table.merge(fact(spark, day("2024-04-01", "AL", "0", rn=1), day("2024-05-01", "AL", "0", rn=2)))
+    table.define("lake_daily")
+    other = spark.newSession()
+    assert other.sql("SELECT sum(hrs_rn) AS h FROM lake_daily WHERE month = DATE'2024-05-01'").first().h == 2
+    table.merge(fact(spark, day("2024-05-01", "AL", "0", rn=7)))
+    table.define("lake_daily")
+    assert other.sql("SELECT sum(hrs_rn) AS h FROM lake_daily").first().h == 8
+    spark.sql("DROP TABLE lake_daily")
+    assert len(hours(table)) == 2
