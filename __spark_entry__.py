@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import lake_queries  # noqa: E402
 import oracles  # noqa: E402
 from wardlake.functions.clean import coerce_datetime, coerce_numeric  # noqa: E402
 from wardlake.functions.measures import month_of  # noqa: E402
@@ -384,7 +385,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {
         **{name: over_gold(build) for name, build in (GOLD_QUERIES | FILTERED_QUERIES).items()},
-        **{name: over_tables(build) for name, build in TABLE_QUERIES.items()},
+        **{name: over_tables(build) for name, build in (TABLE_QUERIES | lake_queries.QUERIES).items()},
         **(llm_queries.QUERIES | {"pipeline": corpus_pipeline.run} if llm_queries else {}),
     }
 
