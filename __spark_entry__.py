@@ -7,7 +7,7 @@ import sys
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,7 +27,7 @@ from wardlake.sources.bronze import (  # noqa: E402
     BRONZE_VIEWS, SOURCE_PATH, read_bronze_pbj, read_bronze_providerinfo, register_bronze,
 )
 from wardlake.sources.events import PREFIXES, route_events  # noqa: E402
-from wardlake.sources.export import export_csv  # noqa: E402
+from wardlake.sources.export import export_csv, export_ordered  # noqa: E402
 from wardlake.sources.ledger import log_pending, mark_done  # noqa: E402
 from wardlake.sources.tables import write_partitioned  # noqa: E402
 from wardlake.streaming.ingest import Lake, run_ingest  # noqa: E402
@@ -161,9 +161,7 @@ def _coerce_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _coerce_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = _both(sample.bronze_pbj, spark, sf_dir)
     raw = first.unionByName(second).select("PROVNUM", "WorkDate")
-    # Dates without separators are left to the silver step.
-    dashed = raw.withColumn("WorkDate", F.when(F.col("WorkDate").contains("-"), F.col("WorkDate")))
-    return coerce_datetime(dashed, ["WorkDate", "no_such_column"]).toDF("provnum", "workdate")
+    return coerce_datetime(raw, ["WorkDate", "no_such_column"]).toDF("provnum", "workdate")
 
 
 def _register_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +228,23 @@ def _export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(result.schema).option("header", True).csv(path)
 
 
+def _export_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an ordered export with their places: all part files joined in the order of their names."""
+    path = scratch_path(spark, "export")
+    result = dashboard.facility_hprd(sample.gold(spark, sf_dir))
+    export_ordered(result, path, *FACILITY_ORDER)
+    lines = spark.read.text(path).select("value", "_metadata.file_name")
+    # A part's lines are read in their order; before them come those of the parts named before it.
+    lines = lines.withColumn("nth", F.monotonically_increasing_id())
+    files = lines.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file_name", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("file_name").orderBy("nth"))
+    return lines.withColumn("nth", nth).join(files, "file_name").select(
+        (F.col("before") + F.col("nth") - 1).alias("place"), F.col("value").alias("line")
+    )
+
+
 def _view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     views.register(sample.gold(spark, sf_dir))
     return spark.sql(
@@ -343,6 +358,9 @@ GOLD_QUERIES: dict[str, Callable[[views.Gold], DataFrame]] = {
     "bed_util_histogram": lambda g: stats.histogram(dashboard.bed_util_rows(g), "utilization"),
     "bed_util_boxplot": lambda g: stats.boxplot(dashboard.bed_util_rows(g), "utilization"),
     "bed_util_outliers": lambda g: stats.outliers(dashboard.bed_util_rows(g), "utilization"),
+    "quantiles_by_state": lambda g: stats.grouped_quantiles(
+        views.hours_facility_monthly(g), ["state"], "total_hours_direct", {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    ),
     "bed_util_map_points": _map_points,
     "bed_util_map_center": dashboard.bed_util_map_center,
     # staffing against occupancy
@@ -370,6 +388,7 @@ TABLE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "partitioned_table": _partitioned_table,
     "partitioned_table_month_state": _partitioned_month_state,
     "export_csv": _export_csv,
+    "export_ordered": _export_ordered,
     "view_sql": _view_sql,
 }
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import oracles
+from wardlake.operators.selection import Selection
 from wardlake.plans import catalog, gold, silver, views
 from wardlake.schemas import GOLD_DAILY
 from wardlake.session import scratch_path
@@ -22,6 +25,7 @@ from wardlake.sources.ledger import FileLedger
 from wardlake.sources.tables import empty
 from wardlake.streaming.ingest import Lake, follow_events, follow_landing, landed_files
 
+CHOSEN_START, CHOSEN_END = date.fromisoformat(oracles.CHOSEN_START), date.fromisoformat(oracles.CHOSEN_END)
 PIECES = 3  # files per dataset and round
 ROUNDS = (False, True)
 RAW = {"pbj": sample.bronze_pbj, "providerinfo": sample.bronze_providerinfo}
@@ -104,7 +108,7 @@ def follow_landing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         if second is not None:
             _land(spark, sf_dir, landing, second)
         follow_landing(lake, landing).awaitTermination()
-    return _hours_and_ledger(lake)
+    return views.hours_state_monthly(lake.gold())
 
 
 def bucketed_merge_pbj(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +176,14 @@ def maintained_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def facilities_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct facilities over a range of months, by state and over all, without the daily fact."""
+    lake = _daily_in_two_loads(spark, sf_dir)
+    chosen = Selection(start=CHOSEN_START, end=CHOSEN_END)
+    by_state = lake.facility_counts(chosen)
+    return by_state.unionByName(lake.facility_counts(chosen, ()).withColumn("state", F.lit("all")))
+
+
 def from_months(view: Callable[[views.Gold], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """A view read from stored facility months; there is no daily fact to read."""
 
@@ -237,6 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "concurrent_loads": concurrent_loads,
     "compacted_ledger": compacted_ledger,
     "maintained_months": maintained_months,
+    "facilities_in_range": facilities_in_range,
     **{f"from_months_{view.__name__}": from_months(view) for view in views.VIEWS.values()},
     "catalog_views": catalog_views,
     "catalog_bronze": catalog_bronze,

@@ -1,6 +1,8 @@
 from datetime import date, datetime
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from wardlake.functions import clean
 from wardlake.plans.silver import silver_pbj, silver_providerinfo
 from wardlake.schemas import (
@@ -89,3 +91,18 @@ def test_silver_provider_types(spark):
     row = rows.first()
     assert (row.ccn, row.latitude, row.longitude) == ("455009", None, Decimal("-87.1235"))
     assert (row.city, row.number_of_fines) == ("Mobile", 2)
+
+
+def test_dates_in_mixed_forms(spark):
+    texts = {
+        "2024-04-01": datetime(2024, 4, 1), "20240401": datetime(2024, 4, 1), " 04/15/2024 ": datetime(2024, 4, 15),
+        "2024-04-01 13:05:00": datetime(2024, 4, 1, 13, 5), "2024-04-01T13:05:00": datetime(2024, 4, 1, 13, 5),
+        "04/15/2024 08:30:00": datetime(2024, 4, 15, 8, 30), "2024/04/01": datetime(2024, 4, 1),
+        "15-Apr-2024": datetime(2024, 4, 15), "20241301": None, "not a date": None, "": None, "2024": None, "99/99/2024": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(text,) for text in texts], "a string")
+    found = {row.raw: row.a for row in clean.coerce_datetime(df.withColumn("raw", F.col("a")), ["a"]).collect()}
+    assert found == texts
+    day = spark.createDataFrame([(date(2024, 4, 1),)], "a date")
+    assert clean.coerce_datetime(day, ["a"]).first().a == datetime(2024, 4, 1)

@@ -110,3 +110,33 @@ def test_boxplot_of_many_values_and_of_none(spark):
     assert (row.q1, row.median, row.q3) == pytest.approx(tuple(np.quantile(values, [0.25, 0.5, 0.75])))
     assert tuple(stats.boxplot(frame(spark, [None]), "v").first()) == (None, None, None, None, None, 0)
     assert stats.outliers(frame(spark, []), "v").count() == 0
+
+
+def test_grouped_quantiles_equal_percentiles(spark):
+    probs = {"low": 0.1, "median": 0.5, "high": 0.9, "least": 0.0, "most": 1.0}
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 == 7, F.lit(None)).otherwise(F.concat(F.lit("g"), F.col("id") % 40)).alias("g"),
+        F.when(F.col("id") % 11 != 3, (F.col("id") * 7919 % 501).cast("decimal(18,2)") / 4).alias("v"),
+    )
+    rows = rows.unionByName(spark.createDataFrame([("empty", None), ("one", 5)], "g string, v int"))
+    found = {row.g: [row[name] for name in probs] for row in stats.grouped_quantiles(rows, ["g"], "v", probs).collect()}
+    exact = rows.where("v IS NOT NULL").groupBy("g").agg(
+        *(F.percentile("v", F.lit(prob)).alias(name) for name, prob in probs.items()))
+    assert set(found) == {row.g for row in exact.collect()} and "empty" not in found and None in found
+    for row in exact.collect():
+        assert found[row.g] == pytest.approx([row[name] for name in probs])
+
+
+def test_a_hot_group_fills_several_ranges(spark):
+    """Most rows are of one group; its values are sorted into many ranges."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 20 != 0, 1).otherwise(2).alias("g"), F.col("id").alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counted = rows.groupBy("g", F.col("v").alias("value")).agg(F.count("v").alias("n"))
+        ranges = SortedRanges(counted, [F.col("g"), F.col("value")], F.col("n"))
+        assert ranges.rows.where("g = 1").select("_part").distinct().count() >= 3
+        found = stats.grouped_quantiles(rows, ["g"], "v", {"median": 0.5}).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {row.g: row.median for row in found} == {1: 10_000.0, 2: 9_990.0}

@@ -9,7 +9,7 @@ from small import day
 from wardlake.functions.measures import month_of
 from wardlake.operators.upsert import upsert
 from wardlake.schemas import GOLD_DAILY, GOLD_FACILITY_DIM
-from wardlake.sources.export import export_csv
+from wardlake.sources.export import export_csv, export_ordered
 from wardlake.sources.tables import LakeTable, merge_into_catalog
 
 
@@ -247,3 +247,31 @@ def test_a_table_in_the_catalog(spark, tmp_path, layout):
     assert other.sql("SELECT sum(hrs_rn) AS h FROM lake_daily").first().h == 8
     spark.sql("DROP TABLE lake_daily")
     assert len(hours(table)) == 2
+
+
+def joined(folder):
+    return b"".join(path.read_bytes() for path in sorted(folder.glob("part-*")))
+
+
+def test_an_ordered_export_is_one_file_in_pieces(spark, tmp_path):
+    rows = [(n * 7919 % 1000, f'say "{n}", or\\ {n % 3}' if n % 5 else None, n % 7 or None) for n in range(1000)]
+    df = spark.createDataFrame(rows, "x long, `the name` string, n int").repartition(8)
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesced)
+    spark.conf.set(coalesced, "false")  # so little data would go into one part
+    try:
+        export_ordered(df, f"{tmp_path}/out", "-n", "x")
+    finally:
+        spark.conf.set(coalesced, before)
+    one = df.orderBy(F.desc_nulls_last("n"), "x").coalesce(1)
+    one.write.option("header", True).csv(f"{tmp_path}/one")
+    assert len(list((tmp_path / "out").glob("part-*"))) > 2
+    assert joined(tmp_path / "out") == joined(tmp_path / "one")
+    assert joined(tmp_path / "out").count(b"the name") == 1
+    with pytest.raises(AnalysisException):
+        export_ordered(df, f"{tmp_path}/out", "x")
+
+
+def test_an_ordered_export_of_nothing_is_a_header(spark, tmp_path):
+    export_ordered(spark.createDataFrame([], "x long, y string"), f"{tmp_path}/out", "x")
+    assert joined(tmp_path / "out") == b"x,y\n"

@@ -51,6 +51,30 @@ def coerce_numeric(df: DataFrame, names: list[str]) -> DataFrame:
     return _coerce(df, names, "double")
 
 
+# Written forms of a date that are tried one after the other, after Spark's own cast.
+DATE_FORMS = ("yyyyMMdd", "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "yyyy/MM/dd", "dd-MMM-yyyy")
+
+
+def any_timestamp(name: str) -> Column:
+    """The time a text stands for, in the first form that reads it; NULL when none does.
+
+    Runs of eight digits are dates and not years, so the compact form comes before the cast.
+    """
+    raw = text(name)
+    forms = [F.try_to_timestamp(raw, F.lit(form)) for form in DATE_FORMS]
+    compact = F.when(raw.rlike("^[0-9]{8}$"), forms[0])
+    plain = F.when(~raw.rlike("^[0-9]+$"), raw.try_cast("timestamp"))
+    return F.coalesce(compact, plain, *forms[1:])
+
+
 def coerce_datetime(df: DataFrame, names: list[str]) -> DataFrame:
-    """Turn the named columns that exist into timestamps, unparsable values into NULL."""
-    return _coerce(df, names, "timestamp")
+    """Turn the named columns that exist into timestamps, unparsable values into NULL.
+
+    Texts may be written in any of the common forms, also mixed within a column.
+    """
+    present = [name for name in names if name in df.columns]
+    kinds = dict(df.dtypes)
+    return df.withColumns({
+        name: any_timestamp(name) if kinds[name] == "string" else F.col(name).try_cast("timestamp")
+        for name in present
+    })

@@ -36,7 +36,8 @@ class Selection:
         return cls(start=month, end=month, **others)
 
     def keys(self) -> Column:
-        return in_or_all("state", self.states) & in_or_all("ccn", self.ccns)
+        kept = in_or_all("state", self.states)
+        return kept & in_or_all("ccn", self.ccns) if self.ccns else kept
 
     def month_between(self, name: str = "month") -> Column:
         """Test on a finished view's month column."""

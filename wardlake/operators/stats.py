@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from math import floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlake.functions.measures import mean
-from wardlake.operators.ranges import SortedRanges
+from wardlake.operators.ranges import PART, SortedRanges
 from wardlake.session import materialize
 
 BOX_EXTENT = 1.5
@@ -53,6 +53,44 @@ class ValueCounts:
         return results
 
 
+def grouped_quantiles(df: DataFrame, groups: list[str], column: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles of the non-NULL values of each group, one column per name in ``probs``.
+
+    Equal to ``percentile`` with linear interpolation, but no task holds a group: (group, value,
+    count) is sorted into ranges, of which a large group fills many, and each range knows how many values
+    of its groups come before it. Groups without values are left out.
+    """
+    counted = (
+        df.where(F.col(column).isNotNull())
+        .groupBy(*groups, F.col(column).alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    rows = SortedRanges(counted, [*(F.col(name) for name in groups), F.col("value")], F.col("n")).rows
+    whole = Window.partitionBy(*groups)
+    before = F.sum("here").over(whole.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
+    # One row per group and range that it reaches into.
+    parts = rows.groupBy(PART, *groups).agg(F.sum("n").alias("here")).select(
+        *(F.col(name).alias(f"_of_{name}") for name in (PART, *groups)),
+        F.coalesce(before, F.lit(0)).alias("before"), F.sum("here").over(whole).alias("total"),
+    )
+    same = [F.col(name).eqNullSafe(F.col(f"_of_{name}")) for name in (PART, *groups)]
+    running = Window.partitionBy(PART, *groups).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(parts, same).withColumn("upto", F.col("before") + F.sum("n").over(running))
+    value, found = F.col("value").cast("double"), []
+    for name, prob in probs.items():
+        place = F.lit(prob) * (F.col("total") - 1)
+        for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
+            found.append(F.min(F.when(F.col("upto") > rank, value)).alias(f"_{name}_{side}"))
+    rest = {name: F.lit(prob) * (F.col("_total") - 1) % 1 for name, prob in probs.items()}
+    return (
+        placed.groupBy(*groups).agg(F.first("total").alias("_total"), *found)
+        .select(*groups, *(
+            (F.col(f"_{name}_low") + rest[name] * (F.col(f"_{name}_high") - F.col(f"_{name}_low"))).alias(name)
+            for name in probs
+        ))
+    )
+
+
 def _weighted_mean() -> Column:
     return F.try_divide(
         F.sum(F.col("value") * F.col("n")).cast("double"), F.sum("n").cast("double")

@@ -52,7 +52,7 @@ FROM {db}.gold_facility_months""",
 SELECT f.ccn, d.provider_name, f.state, f.days_with_residents, f.start_date, f.end_date,
   f.hprd_weighted, f.rn_hprd, f.lpn_hprd, f.cna_hprd
 FROM (
-  SELECT ccn, state, sum(bit_count(resident_days_seen)) AS days_with_residents,
+  SELECT ccn, state, sum(coalesce(bit_count(resident_days_seen), 0)) AS days_with_residents,
     min(first_day) AS start_date, max(last_day) AS end_date,
     {_hprd("sum(rn_hours) + sum(lpn_hours) + sum(cna_hours)")} AS hprd_weighted,
     {_hprd("sum(rn_hours)")} AS rn_hprd, {_hprd("sum(lpn_hours)")} AS lpn_hprd, {_hprd("sum(cna_hours)")} AS cna_hprd

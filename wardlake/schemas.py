@@ -181,6 +181,10 @@ FILE_SNAPSHOT = table(
     (TEXT, "status"), (DATE, "day"),
 )
 
+# Numbers of facilities, and bitmaps of them by state and month.
+FACILITY_NUMBERS = table((TEXT, "ccn"), (T.LongType(), "number"))
+FACILITY_BITMAPS = table((DATE, "month"), (TEXT, "state"), (T.LongType(), "bucket"), (T.BinaryType(), "bits"))
+
 # Facility months: all sums the views need.
 FACILITY_MONTHS = table(
     (DATE, "month"),

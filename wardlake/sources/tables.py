@@ -15,7 +15,7 @@ On a catalog with row-level operations, ``merge_into_catalog`` does the same wor
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -212,20 +212,31 @@ class LakeTable:
         """
         if slices is None:
             slices = self.slices_of(source.dropna(subset=list(self.keys)))
-        if not slices:
-            return slices
+        if slices:
+            self._rebuild(slices, lambda current: self._merged(current, slices, source, rules))
+        return slices
+
+    def append(self, build: Callable[[DataFrame], DataFrame]) -> None:
+        """Add the rows that ``build`` derives from those there are, to a table of one slice."""
+
+        def whole(current: dict[str, str]) -> str:
+            rows = self.rows(current).select(*self.schema.names)
+            return self._written(rows.unionByName(build(rows)))
+
+        self._rebuild([WHOLE], whole)
+
+    def _rebuild(self, slices: list[str], build: Callable[[dict[str, str]], str]) -> None:
+        """Commit slices that ``build`` has written from the given state of the table."""
         made: dict[str, object] = {}
 
         def change(_: int, state: dict) -> dict:
             current = state.get("slices", {})
             read = {name: current.get(name) for name in slices}
             if made.get("read") != read:  # first, or another writer has replaced one of them
-                made["folder"] = self._merged(current, slices, source, rules)
-                made["read"] = read
+                made["folder"], made["read"] = build(current), read
             return self._after(state, slices, made["folder"])
 
         self.commits.commit(change)
-        return slices
 
     def _merged(self, current: dict[str, str], slices: list[str], source: DataFrame, rules: dict) -> str:
         if not self.buckets or not set(slices) & set(current):

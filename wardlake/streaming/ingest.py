@@ -29,6 +29,8 @@ from pyspark.sql.types import StringType
 
 from wardlake import schemas
 from wardlake.functions.measures import month_of
+from wardlake.operators import distinct
+from wardlake.operators.selection import Selection
 from wardlake.plans import gold as gold_layer
 from wardlake.plans import silver as silver_layer
 from wardlake.plans import views
@@ -109,6 +111,19 @@ class Lake:
             cluster_by=("state", "ccn"), slice_name="month", slice_of=F.col("month"),
         )
 
+    @property
+    def numbers(self) -> LakeTable:
+        """A number for every facility of the daily fact, given once and for all."""
+        return LakeTable(self.spark, f"{self.path}/facility_numbers", schemas.FACILITY_NUMBERS, ("ccn",))
+
+    @property
+    def bitmaps(self) -> LakeTable:
+        """Facilities of each state and month, as bitmaps of their numbers."""
+        return LakeTable(
+            self.spark, f"{self.path}/facility_bitmaps", schemas.FACILITY_BITMAPS, ("month", "state", "bucket"),
+            cluster_by=("state", "bucket"), slice_name="month", slice_of=F.col("month"),
+        )
+
     @property
     def ledger(self) -> FileLedger:
         return FileLedger(self.spark, f"{self.path}/file_log")
@@ -125,8 +140,33 @@ class Lake:
         if stale:
             months = views.facility_months(self.daily.rows(daily, stale))
             self.months.replace(months, stale, made_from={month: daily[month] for month in stale})
+        self._number_facilities()
         return stale
 
+    def _number_facilities(self) -> None:
+        """Make the bitmaps again for those months whose roll-up has changed since."""
+        made = self.months.current()
+        noted = self.bitmaps.commits.latest()[1].get("made_from", {})
+        stale = sorted(month for month, folder in made.items() if noted.get(month) != folder)
+        if stale:
+            months = self.months.rows(made, stale)
+            self.numbers.append(lambda known: distinct.numbered(known, months, "ccn"))
+            cells = months.select("month", "state", "ccn").join(self.numbers.read(), "ccn")
+            self.bitmaps.replace(
+                distinct.bitmaps(cells, ["month", "state"]), stale,
+                made_from={month: made[month] for month in stale},
+            )
+
+    def facility_counts(self, selection: Selection = Selection(), by: tuple[str, ...] = ("state",)) -> DataFrame:
+        """Distinct facilities over the selected states and months, from bitmaps alone.
+
+        A choice of facilities is not in the bitmaps, so it is not allowed here.
+        """
+        if selection.ccns:
+            raise ValueError("bitmaps tell states and months apart, not facilities")
+        maps = self.bitmaps.read().where(selection.keys() & selection.month_between())
+        return distinct.distinct_count(maps, list(by), "facilities")
+
     def gold(self) -> Gold:
         """The gold tables as they are now. Months that await their roll-up are aggregated when read."""
         daily, stale = self._stale_months()
@@ -142,6 +182,7 @@ class Lake:
             "silver_pbj_daily": self.silver_pbj, "silver_providerinfo": self.silver_providerinfo,
             "gold_daily_staffing_fact": self.daily, "gold_quarterly_provider_fact": self.quarterly,
             "gold_facility_dim": self.facilities, "gold_facility_months": self.months,
+            "gold_facility_numbers": self.numbers, "gold_facility_bitmaps": self.bitmaps,
         }
 
     def expire(self, **rules) -> None:
