@@ -1,23 +1,29 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are used: one trained on ordinary text alone, one of the same content
-and a list of selected toxic words. A window of text is compressed with either; the bytes that the toxic dictionary saves
-are its margin. As windows, single words are taken, each followed by one fixed phrase from the
-ordinary dictionary: the compressor looks for no match in the last bytes of its input and pays for
-its first match, so that short words would show no margin by themselves.
-
-The toxic part is chosen as the COVER method chooses dictionary content, but by contrast: byte runs
-that are much more frequent in toxic than in ordinary training texts get a weight, and words are
-added that cover the most weight per byte not covered yet. Windows that hold such runs are kept out
-of the ordinary part.
-
-Per text the margins of all its windows are counted above rising thresholds; a logistic regression
-on these counts, fitted on the same training rows, sets the thresholds' worth and gives a score
-from 0 to 1. It sees nothing but the margins and the number of windows.
+Separate zstandard dictionaries are trained, one on ordinary text and others on the toxic passages of toxic
+texts: a strict choice of passages and a wide one. Windows of 2 and of 8 words, each half a window apart, are
+compressed with the ordinary dictionary alone and together with a toxic one; the bytes that the toxic one
+saves are the window's margin. Short windows tell words well, long ones phrases. It tells toxic words and also
+toxic phrases of ordinary words: the ordinary dictionary knows each word of a phrase, the toxic one the
+whole phrase, which costs one match instead of several.
+
+Toxic passages are found by contrast, as the two classes share most of their text: byte runs of the
+lengths ``RUNS`` that more toxic texts hold than the ordinary texts that hold them explain (a binomial tail
+below ``CHANCES``, one for each choice). Short runs find words and
+parts of words, long ones phrases. Of runs that overlap, those count that are at least half as frequent
+as the others. A passage is a stretch of such runs, also over a few bytes between them if it comes
+again. Rare runs count as soon as they are unlikely to be chance.
+
+The dictionaries overfit the texts they are trained on, so the margins that calibrate the thresholds come
+from ``PARTS`` dictionaries, each trained without the texts that it is applied to. Per text the
+windows are counted whose margin reaches rising thresholds; a logistic regression on these
+counts, on the same training rows, sets the thresholds' worth and gives a score from 0 to 1. It
+sees nothing but the margins and the number of windows.
 
 Training takes a bounded sample in one task: ``TRAIN_ROWS`` labelled rows of at most
-``TRAIN_BYTES`` bytes each, by hash of their id. Scoring covers every whole text; distinct words of
-a slice of the batch are compressed once.
+``TRAIN_BYTES`` bytes each, by hash of their id. Scoring covers every whole text. A window that
+shares no run of ``RUN`` bytes with the toxic dictionary has nothing to be saved, and its margin is 0
+without compression.
 
 Defined cases: null and wordless texts have no windows and get the score of no margin; labels
 without a document, and null labels, are left out; rows with equal ids all count; without any
@@ -38,29 +44,32 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.text import cuts, words
+from wardlake.llm.text import _BASE, _BASE_INVERSE, _BYTE_VALUES, Words, cuts, mix, powers, words
 
 FOLDS = 5
 TRAIN_ROWS = 6000
 TRAIN_BYTES = 32 << 10
-RUN = 6  # bytes of a run
-MIN_SHARE = 0.02  # of toxic texts that a run must occur in
-MIN_LOG_RATIO = 1.5  # log of a run's share in toxic over its share in ordinary texts
-TOXIC_BYTES = 2048
-ORDINARY_BYTES = 8192
+WINDOWS = (2, 8)  # words of short and of long windows, which start half a window apart
+ODDS = 4  # times as many toxic as ordinary texts must hold a run, measured by the size of the classes
+CHANCES = (1e-6, 1e-2)  # of a run being as toxic as it looks without any bearing on toxicity
+RUNS = (6, 12, 20)  # bytes of the runs that are counted; the first is the shortest match
+RUN = RUNS[0]
+COPY_RUN = 40  # bytes of the runs by which near copies are told
+COPY_HASHES = 6
+GAP = 8  # bytes that a passage may run over
+PARTS = 3
+TOXIC_BYTES = 64 << 10
+ORDINARY_BYTES = 16 << 10
 ORDINARY_SAMPLES = 40_000
-THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
-SLICE_BYTES = 4 << 20
-
-
-def _runs(word: bytes) -> set[bytes]:
-    padded = b" " + word + b" "
-    return {padded[k:k + RUN] for k in range(len(padded) - RUN + 1)} or {padded}
+SAMPLE_BYTES = 48
+THRESHOLDS = (2, 3, 4, 5, 6, 8, 10, 13)
+RIDGE = 10.0
+SLICE_BYTES = 1 << 20
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     settings = zstandard.ZstdCompressionParameters.from_level(
-        12, window_log=16, hash_log=16, chain_log=16, min_match=4,
+        9, window_log=18, hash_log=16, chain_log=16, min_match=RUN,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -68,143 +77,308 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=trained, compression_params=settings)
 
 
+def _run_codes(data: np.ndarray) -> np.ndarray:
+    """Every run of ``RUN`` bytes as a number."""
+    n = max(0, len(data) - RUN + 1)
+    code = np.zeros(n, np.uint64)
+    for at in range(RUN):
+        code = (code << np.uint64(8)) | data[at:at + n].astype(np.uint64)
+    return code
+
+
+@dataclass
+class Windows:
+    """Windows of some texts: their bytes, and how many each text has."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    text_ends: np.ndarray
+
+
+def _windows(found: Words, width: int = 8) -> Windows:
+    """Windows of ``width`` words, joined by one blank and with a blank on either side."""
+    sizes = found.ends - found.starts
+    at = np.cumsum(sizes + 1) - sizes  # the first byte of each word, after its blank
+    data = np.full(int(sizes.sum()) + len(sizes) + 1, 32, np.uint8)
+    places = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    data[places + np.repeat(at, sizes)] = found.data[places + np.repeat(found.starts, sizes)]
+    n = np.diff(found.text_ends, prepend=0)
+    step = width // 2
+    count = np.where(n > 0, np.maximum(1, -(-(n - step) // step)), 0)
+    begin = np.repeat(found.text_ends - n, count)
+    begin += (np.arange(len(begin)) - np.repeat(np.cumsum(count) - count, count)) * step
+    end = np.minimum(begin + width, np.repeat(found.text_ends, count)) - 1
+    return Windows(data, at[begin] - 1, at[end] + sizes[end] + 1, np.cumsum(count))
+
+
+def _total(values: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of each text's values."""
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return sums[ends] - sums[ends - n]
+
+
 @dataclass
 class Model:
     """Dictionary contents, feature scaling and regression weights; small and picklable."""
 
-    toxic: bytes
+    toxic: list[bytes]  # from the strictest choice of passages to the widest
     ordinary: bytes
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
-    def _margins(self, names: list[bytes]) -> np.ndarray:
-        if "_compressors" not in self.__dict__:
-            self._compressors = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
-        plain, toxic = self._compressors
-        anchor = self.ordinary[-24:]
-        windows = [b" " + name + b" " + anchor for name in names]
-        return np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in windows], np.int64)
+    def _prepare(self) -> None:
+        if "_plain" not in self.__dict__:
+            self._plain = _compressor(self.ordinary)
+            self._toxic = []
+            for content in self.toxic:
+                runs = np.unique(_run_codes(np.frombuffer(content, np.uint8)))
+                marks = np.zeros(1 << 20, bool)
+                marks[(mix(runs) >> np.uint64(44)).astype(np.int64)] = True
+                self._toxic.append((_compressor(content + self.ordinary), runs, marks))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_compressors"}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def margins(self, found: Windows) -> np.ndarray:
+        """Bytes that each toxic dictionary saves in each window; a row per dictionary."""
+        self._prepare()
+        margins = np.zeros((len(self.toxic), len(found.starts)), np.int64)
+        codes, raw = _run_codes(found.data), found.data.tobytes()
+        # No match is looked for in the last bytes of an input, and the first one costs extra.
+        anchor, size = self.ordinary[-24:], {}
+        for row, (compressor, runs, marks) in enumerate(self._toxic):
+            at = np.flatnonzero(marks[(mix(codes) >> np.uint64(44)).astype(np.int64)])
+            at = at[np.isin(codes[at], runs)]
+            shared = np.searchsorted(at, found.starts) < np.searchsorted(at, found.ends - RUN, "right")
+            for window in np.flatnonzero(shared).tolist():
+                content = raw[found.starts[window]:found.ends[window]] + anchor
+                if window not in size:
+                    size[window] = len(self._plain.compress(content))
+                margins[row, window] = size[window] - len(compressor.compress(content))
+        return margins
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Counts of margins above each threshold and their summary, a row per text."""
+        """Counts of margins from each threshold on and their summary, a row per text."""
         found = words(texts)
-        _, first, code = np.unique(found.hashes, return_index=True, return_inverse=True)
-        blob, ends = found.names(first)
-        begins = np.concatenate([[0], ends[:-1]]).astype(int) if len(ends) else ends
-        margins = self._margins([blob[b:e] for b, e in zip(begins, ends, strict=True)])[code]
-        n = np.diff(found.text_ends, prepend=0)
-
-        def total(values: np.ndarray) -> np.ndarray:
-            sums = np.concatenate([[0], np.cumsum(values)])
-            return sums[found.text_ends] - sums[found.text_ends - n]
-
-        most = np.zeros(len(n))
-        some = np.flatnonzero(n)
-        if len(some):
-            most[some] = np.maximum.reduceat(margins, (found.text_ends - n)[some])
-        counts = [total(margins >= k) for k in THRESHOLDS]
-        return np.stack(
-            [most]
-            + [np.log1p(c) for c in counts]
-            + [np.log((c + 0.3) / (n + 10)) for c in counts]
-            + [total(margins) / np.maximum(n, 1), total(np.maximum(margins, 0)) / np.maximum(n, 1),
-               np.log1p(n)],
-            axis=1,
-        )
+        columns = [np.log1p(np.diff(found.text_ends, prepend=0))]
+        for width in WINDOWS:
+            windows = _windows(found, width)
+            ends = windows.text_ends
+            n = np.diff(ends, prepend=0)
+            some = np.flatnonzero(n)
+            for margins in self.margins(windows):
+                most = np.zeros(len(n))
+                if len(some):
+                    most[some] = np.maximum.reduceat(margins, (ends - n)[some])
+                counts = [_total(margins >= k, n, ends) for k in THRESHOLDS]
+                columns += [most, *(np.log1p(c) for c in counts), *(np.log((c + 0.3) / (n + 10)) for c in counts)]
+                columns.append(_total(np.maximum(margins, 0), n, ends) / np.maximum(n, 1))
+        return np.stack(columns, axis=1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         scaled = (self.features(texts) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(scaled @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
+FEATURES = len(WINDOWS) * len(CHANCES) * (2 * len(THRESHOLDS) + 2) + 1
+
+
+def _rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the run of ``width`` bytes from each place on."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * powers(_BASE, len(data)), out=sums[1:])
+    n = max(0, len(data) - width + 1)
+    return mix((sums[width:width + n] - sums[:n]) * powers(_BASE_INVERSE, len(data))[:n])
+
+
+def _inner(text: np.ndarray, width: int) -> np.ndarray:
+    """Places whose run of ``width`` bytes lies in one text."""
+    n = max(0, len(text) - width + 1)
+    return np.flatnonzero(text[:n] == text[width - 1:width - 1 + n])
+
+
+def _groups(texts: list[bytes], label: np.ndarray) -> np.ndarray:
+    """Number of the group of each text: texts of a class that share a least hash of ``COPY_RUN`` bytes.
+
+    Near copies would count as independent witnesses for whatever they share.
+    """
+    head = np.arange(len(texts))
+
+    def root(at: int) -> int:
+        while head[at] != at:
+            head[at] = head[head[at]]
+            at = int(head[at])
+        return at
+
+    first: dict[tuple, int] = {}
+    for at, (text, own) in enumerate(zip(texts, label.tolist())):
+        hashes = _rolling(np.frombuffer(text, np.uint8), COPY_RUN) if len(text) >= COPY_RUN else np.zeros(0, np.uint64)
+        for seed in range(COPY_HASHES if len(hashes) else 0):
+            least = int(mix(hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)).min())
+            other = first.setdefault((own, seed, least), at)
+            head[root(at)] = root(other)
+    _, group = np.unique([root(at) for at in range(len(texts))], return_inverse=True)
+    return group
+
+
 @dataclass
 class Sample:
-    """Training texts as codes of their distinct words."""
+    """Distinct training texts (words joined by one blank) and the runs of bytes that toxic ones hold.
+
+    Texts are counted by groups of near copies.
+    """
 
-    names: list[bytes]
-    texts: list[np.ndarray]
+    texts: list[bytes]
     toxic: np.ndarray
+    group: np.ndarray
+    data: np.ndarray  # bytes of the toxic texts, and which text they are of
+    owner: np.ndarray
+    codes: list[np.ndarray]  # by length of run: number of the run at each place of ``data``, or -1
+    held: list[tuple[np.ndarray, np.ndarray]]  # by length: run and group, for every group that holds it
 
     @classmethod
     def of(cls, texts: pa.Array, toxic: np.ndarray) -> Sample:
-        places: dict[bytes, int] = {}
-        coded: list[np.ndarray] = []
+        plain: dict[tuple[bytes, int], None] = {}  # copies count once
         for begin, size in cuts(texts, SLICE_BYTES):
-            found = words(texts.slice(begin, size))
-            _, first, code = np.unique(found.hashes, return_index=True, return_inverse=True)
-            blob, ends = found.names(first)
-            names = [blob[b:e] for b, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
-            own = np.array([places.setdefault(n, len(places)) for n in names], np.int32)
-            coded += np.split(own[code] if len(own) else own, found.text_ends[:-1])
-        return cls(list(places), coded, toxic)
-
-
-def _toxic_words(sample: Sample) -> tuple[bytes, set[bytes]]:
-    """Dictionary content that covers what is much more frequent in toxic texts, and those runs."""
-    distinct: tuple[dict, dict] = ({}, {})  # copies count once
-    for text, label in zip(sample.texts, sample.toxic.tolist(), strict=True):
-        own = np.unique(text)
-        distinct[label][own.tobytes()] = own
-    rows = [len(texts) for texts in distinct]
-    frequent: Counter = Counter()
-    for own in distinct[1].values():
-        frequent.update(set().union(*(_runs(sample.names[code]) for code in own.tolist())) if len(own) else ())
-    least = max(2, MIN_SHARE * rows[1])
-    frequent = Counter({run: n for run, n in frequent.items() if n >= least})
-    # Only runs that are frequent in toxic texts are counted in ordinary ones.
-    within = {code: r for code, name in enumerate(sample.names) if (r := _runs(name) & frequent.keys())}
-    ordinary: Counter = Counter()
-    for own in distinct[0].values():
-        ordinary.update(set().union(*(within[code] for code in own.tolist() if code in within)))
-    weights = {}
-    for run, n in frequent.items():
-        ratio = np.log((n + 0.5) / rows[1]) - np.log((ordinary[run] + 0.5) / max(1, rows[0]))
-        if ratio > MIN_LOG_RATIO:
-            weights[run] = ratio * n
-    runs = set(weights)
-    common: Counter = Counter()
-    for own in distinct[1].values():
-        common.update(code for code in own.tolist() if code in within)
-    open_words = {sample.names[c]: r for c, n in common.items() if n > 1 and (r := within[c] & runs)}
-    chosen, size = [], 0
-    while open_words and size < TOXIC_BYTES:
-        gains = {w: sum(weights.get(x, 0) for x in r) / (len(w) + 1) for w, r in open_words.items()}
-        best = max(gains, key=lambda w: (gains[w], w))
-        if gains[best] <= 0:
-            break
-        chosen.append(best)
-        size += len(best) + 1
-        for run in open_words.pop(best):
-            weights.pop(run, None)
-    return b" " + b" ".join(reversed(chosen)) + b" ", runs
-
-
-def _ordinary_words(sample: Sample, runs: set[bytes]) -> bytes:
-    places = [
-        (k, i) for k, (text, label) in enumerate(zip(sample.texts, sample.toxic.tolist(), strict=True))
-        if not label for i in range(0, len(text), 6)
-    ]
-    order = np.random.default_rng(0).permutation(len(places))[:ORDINARY_SAMPLES]
-    samples = []
-    for k, i in (places[at] for at in order):
-        window = b" " + b" ".join(sample.names[c] for c in sample.texts[k][i:i + 6].tolist()) + b" "
-        if not any(window[at:at + RUN] in runs for at in range(len(window) - RUN + 1)):
-            samples.append(window)
+            found = _windows(words(texts.slice(begin, size)))
+            raw, last = found.data.tobytes(), 0
+            for at, end in enumerate(found.text_ends.tolist()):
+                own = raw[found.starts[last]:found.ends[end - 1]] if end > last else b""
+                plain[own, int(toxic[begin + at])] = None
+                last = end
+        rows, label = [own for own, _ in plain], np.array([label for _, label in plain])
+        order = np.argsort(-label, kind="stable")  # toxic texts first
+        rows, label = [rows[at] for at in order.tolist()], label[order]
+        group = _groups(rows, label)
+        n, many = int(label.sum()), int(group.max()) + 1
+        data = np.frombuffer(b"".join(rows[:n]), np.uint8)
+        owner = np.repeat(np.arange(n), [len(own) for own in rows[:n]])
+        codes, held = [], []
+        for width in RUNS:
+            at = _inner(owner, width)
+            values, code = np.unique(_rolling(data, width)[at], return_inverse=True)
+            pairs = np.unique(code.astype(np.int64) * many + group[owner[at]])
+            # A run of one toxic group alone tells nothing.
+            often = np.bincount(pairs // many, minlength=len(values)) > 1
+            number = np.where(often, np.cumsum(often) - 1, -1)
+            place = np.full(len(data), -1, np.int64)
+            place[at] = number[code]
+            codes.append(place)
+            pairs = pairs[often[pairs // many]]
+            run, whose = [number[pairs // many].astype(np.int32)], [(pairs % many).astype(np.int32)]
+            wanted = values[often]
+            marks = np.zeros(1 << 22, bool)
+            marks[(wanted >> np.uint64(42)).astype(np.int64)] = True
+            begin = n
+            while begin < len(rows) and len(wanted):
+                end, size = begin, 0
+                while end < len(rows) and size < SLICE_BYTES:
+                    size += len(rows[end])
+                    end += 1
+                part = np.frombuffer(b"".join(rows[begin:end]), np.uint8)
+                text = np.repeat(np.arange(begin, end), [len(own) for own in rows[begin:end]])
+                at = _inner(text, width)
+                hashes = _rolling(part, width)[at]
+                likely = np.flatnonzero(marks[(hashes >> np.uint64(42)).astype(np.int64)])
+                found = np.minimum(np.searchsorted(wanted, hashes[likely]), len(wanted) - 1)
+                same = wanted[found] == hashes[likely]
+                pairs = np.unique(found[same].astype(np.int64) * many + group[text[at[likely[same]]]])
+                run.append((pairs // many).astype(np.int32))
+                whose.append((pairs % many).astype(np.int32))
+                begin = end
+            pairs = np.unique(np.concatenate(run).astype(np.int64) * many + np.concatenate(whose))
+            held.append(((pairs // many).astype(np.int32), (pairs % many).astype(np.int32)))
+        return cls(rows, label, group, data, owner, codes, held)
+
+    def passages(self, chosen: np.ndarray, chance: float) -> list[bytes]:
+        """Stretches of the chosen toxic texts in runs that are toxic by contrast."""
+        used, label = np.zeros((2, int(self.group.max()) + 1), bool)
+        used[self.group[chosen]] = True
+        label[self.group[self.toxic == 1]] = True
+        share = label[used].mean()
+        marked, inside = np.zeros(len(self.data), bool), used[self.group[self.owner]]
+        known = np.zeros(len(self.data), np.int64)  # bytes of the telling run that starts here
+        for width, place, (run, text) in zip(RUNS, self.codes, self.held):
+            if not len(run):
+                continue
+            n = int(run.max()) + 1
+            own = used[text]
+            both = np.bincount(run[own], minlength=n)
+            toxic = np.bincount(run[own & label[text]], minlength=n)
+            ratio = (toxic + 0.5) / (both - toxic + 0.5) * (1 - share) / share
+            telling = (_tail(toxic, both, share) < chance) & (ratio >= ODDS)
+            at = np.flatnonzero((place >= 0) & inside)
+            at = at[telling[place[at]]]
+            # Runs that hold a shorter telling one say nothing new.
+            short = np.zeros(len(at), bool)
+            for step in range(width - RUN + 1):
+                size = known[np.minimum(at + step, len(known) - 1)]
+                short |= (size > 0) & (size <= width - step)
+            known[at[~short]] = width
+            at = at[~short]
+            # A run that reaches beyond a passage is rarer than those within it.
+            times = np.zeros(len(place) + 2 * width, np.int64)
+            times[at + width] = toxic[place[at]]
+            most = np.max([times[at + width + step] for step in range(1 - width, width)], axis=0, initial=0)
+            at = at[2 * toxic[place[at]] >= most]
+            for step in range(width):
+                marked[at + step] = True
+        places = np.flatnonzero(marked)
+        step, other = np.diff(places), np.diff(self.owner[places]) != 0
+        joined = np.split(places, np.flatnonzero((step > GAP) | other) + 1) if len(places) else []
+        raw, found = self.data.tobytes(), []
+        times = Counter(raw[part[0]:part[-1] + 1] for part in joined)
+        for part in joined:
+            whole = times[raw[part[0]:part[-1] + 1]] > 1
+            for each in [part] if whole else np.split(part, np.flatnonzero(np.diff(part) > 1) + 1):
+                found.append(raw[each[0]:each[-1] + 1])
+        return found
+
+
+def _tail(hits: np.ndarray, trials: np.ndarray, share: float) -> np.ndarray:
+    """Chernoff bound of the chance of so many hits in so many trials."""
+    rate = np.clip(hits / np.maximum(trials, 1), 1e-12, 1 - 1e-12)
+    distance = rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share))
+    return np.where(rate > share, np.exp(-trials * distance), 1.0)
+
+
+def _trained(samples: list[bytes], most: int, segment: int) -> bytes:
+    """Content of a zstandard dictionary trained on samples in segments of so many bytes."""
+    size = min(most, max(256, sum(map(len, samples))))
     try:
-        trained = zstandard.train_dictionary(ORDINARY_BYTES, samples, k=40, d=8).as_bytes()
-        return trained[-ORDINARY_BYTES * 9 // 10:]  # without the tables in front
+        return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little text to train on
-        return (b" the and of to in is that for " * 2 + b"".join(samples))[-ORDINARY_BYTES:]
+        return b""
+
+
+def _toxic_dictionary(passages: list[bytes]) -> bytes:
+    """A dictionary trained on the passages, and in front of it those that the training has left out.
+
+    The training covers frequent byte runs first. Passages that are not in it whole follow by their
+    number, as far as ``TOXIC_BYTES`` go.
+    """
+    trained = _trained(passages, TOXIC_BYTES // 2, 16)
+    rest = [passage for passage, _ in Counter(passages).most_common() if passage not in trained]
+    return b"".join(reversed(rest))[-(TOXIC_BYTES - len(trained)):] + trained
+
+
+def _dictionaries(sample: Sample, chosen: np.ndarray) -> tuple[list[bytes], bytes]:
+    """The toxic dictionaries and the ordinary one from the chosen texts of the sample."""
+    toxic = [_toxic_dictionary(sample.passages(chosen, chance)) for chance in CHANCES]
+    ordinary = [sample.texts[at] for at in chosen.tolist() if not sample.toxic[at]]
+    places = [(at, begin) for at, text in enumerate(ordinary) for begin in range(0, len(text), SAMPLE_BYTES)]
+    order = np.random.default_rng(0).permutation(len(places))[:ORDINARY_SAMPLES]
+    windows = [ordinary[at][begin:begin + SAMPLE_BYTES] for at, begin in (places[place] for place in order)]
+    ordinary = _trained(windows, ORDINARY_BYTES, 40) or b"".join(windows)[-ORDINARY_BYTES:]
+    return toxic, ordinary.rjust(32)
 
 
 def _fit(features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the intercept."""
     x = np.column_stack([features, np.ones(len(features))])
-    ridge = np.ones(x.shape[1])
+    ridge = RIDGE * np.ones(x.shape[1])
     ridge[-1] = 1e-3
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -223,18 +397,26 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     labels = np.array(toxic, dtype=np.int64)
     array = pa.array(texts, pa.string())
     if not labels.any() or labels.all():
-        n = 2 * len(THRESHOLDS) + 4
-        weights = np.zeros(n + 1)
+        weights = np.zeros(FEATURES + 1)
         weights[-1] = -np.inf
-        return Model(b"", b" the and of to in is that for ", np.zeros(n), np.ones(n), weights)
+        return Model([b""] * len(CHANCES), b" " * 32, np.zeros(FEATURES), np.ones(FEATURES), weights)
     sample = Sample.of(array, labels)
-    toxic_part, runs = _toxic_words(sample)
-    model = Model(toxic_part, _ordinary_words(sample, runs), 0, 1, np.zeros(0))
-    del sample
-    features = np.concatenate([model.features(array.slice(b, n)) for b, n in cuts(array, SLICE_BYTES)])
-    model.mean, model.scale = features.mean(axis=0), features.std(axis=0) + 1e-9
-    model.weights = _fit((features - model.mean) / model.scale, labels)
-    return model
+    # Groups of near copies take turns, class by class, so that every part has some of both.
+    part = np.zeros(len(sample.texts), np.int64)
+    for label in (0, 1):
+        own = np.flatnonzero(sample.toxic == label)
+        part[own] = np.unique(sample.group[own], return_inverse=True)[1] % PARTS
+    spelled = pa.array([own.decode("utf-8", "replace") for own in sample.texts], pa.string())
+    features = np.zeros((len(sample.texts), FEATURES))
+    for number in range(PARTS):
+        apart, rest = np.flatnonzero(part == number), np.flatnonzero(part != number)
+        if len(apart) and 0 < sample.toxic[rest].sum() < len(rest):
+            model = Model(*_dictionaries(sample, rest), 0, 1, np.zeros(0))
+            own = spelled.take(pa.array(apart))
+            features[apart] = np.concatenate([model.features(own.slice(b, n)) for b, n in cuts(own, SLICE_BYTES)])
+    mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-9
+    weights = _fit((features - mean) / scale, sample.toxic)
+    return Model(*_dictionaries(sample, np.arange(len(sample.texts))), mean, scale, weights)
 
 
 def fold(doc_id: Column) -> Column:
