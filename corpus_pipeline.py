@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wardlake.llm import decontaminate, mixing, near_duplicates, sharding, toxicity
 from wardlake.llm.ship import ship_package
+from wardlake.llm.store import release, scope
 from wardlake.session import scratch_path
 
 
@@ -15,32 +17,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scratch: list[str] = []  # tables that earlier stages have stored on their way
+
+
+def _stage(build: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage that begins by deleting what stages before it have stored, but for what ``docs`` still reads.
+
+    The result of a stage is written and read again before the next one, so nothing asks for them then.
+    """
+
+    @wraps(build)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        _scratch[:] = release(spark, _scratch, docs)
+        with scope() as made:
+            result = build(spark, docs, sf_dir)
+        _scratch.extend(made)
+        return result
+
+    return run_stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance classifier does not reject."""
-    ship_package(spark)
     return toxicity.without_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    ship_package(spark)
     return near_duplicates.without_near_duplicates(docs)
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    ship_package(spark)
     return decontaminate.remove_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_rows(docs)
 
 
+@_stage
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their shard and slot of the reproducible shuffle."""
-    ship_package(spark)
     return sharding.sharded(docs)
 
 
@@ -58,9 +82,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, each reading what the one before has written."""
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark, before, docs)
+        before = [path]
     return docs

@@ -88,3 +88,21 @@ def test_proximity_against_brute_force(spark, documents, within):
     index = dc.build_index(documents(docs))
     found = dc.find_near(index, spark.createDataFrame(items, "item_id long, text string"), within)
     assert {tuple(r) for r in found.collect()} == expected
+
+
+def test_item_ids_of_text_and_columns_with_dots(spark, documents):
+    phrase = " ".join(f"w{k}" for k in range(12))
+    docs = documents([(1, f"so {phrase} it", "x"), (2, "clean", "y")], ", `a.b` string")
+    items = spark.createDataFrame([("q/10", phrase), ("q/9", phrase), (None, phrase)], "item_id string, text string")
+    kept = dc.remove_contaminated(docs, items)
+    assert kept.columns == docs.columns and [r["a.b"] for r in kept.collect()] == ["y"]
+    found = {r.doc_id: r for r in dc.contamination_report(docs, items).collect()}
+    digest = hashlib.sha256(b"q/10,q/9").hexdigest()
+    assert (found[1].n_items, found[1].items_sha256, found[2].n_items) == (2, digest, 0)
+    near = dc.find_near(dc.build_index(docs), items, 20).collect()
+    assert {r.item_id for r in near} == {"q/10", "q/9", None}
+
+
+def test_chunks_are_bounded_by_short_items_too(spark):
+    items = spark.createDataFrame([(k, "a") for k in range(50)], "item_id long, text string")
+    assert len(list(dc.item_chunks(items, "item_id", "text", 10))) == 5

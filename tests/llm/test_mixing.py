@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -77,11 +78,23 @@ def test_nulls_empty_texts_repeats_and_extra_columns(spark):
     assert len(found) == 5 and all(r.taken <= 3 * r.size for r in found)
     mixed = mixing.mixed_rows(df)
     assert mixed.columns == df.columns
-    assert mixed.count() == sum(r.taken // r.size for r in found if r.size)
+    assert mixed.count() == sum(r.times for r in found) and all(r.taken == r.times * r.size for r in found)
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     assert mixing.mixed_rows(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_documents_without_words_are_mixed_like_others(spark):
+    rows = [(k, "a", "w " * 30) for k in range(40)] + [(100 + k, "a", None if k % 2 else " ") for k in range(40)]
+    rows += [(200 + k, "b", "w " * 3) for k in range(40)]
+    df = spark.createDataFrame(rows, DOCS)
+    counts = Counter(r.doc_id for r in mixing.mixed_rows(df).collect())
+    plan = {r.doc_id: r.times for r in mixing.mix(df).collect()}
+    assert all(counts[i] == n for i, n in plan.items())
+    # Source b is taken three times over, source a about nine tenths of it, with or without words.
+    assert all(plan[200 + k] == 3 for k in range(40))
+    assert 25 <= sum(plan[100 + k] for k in range(40)) <= 40
+
+
 def test_spaces_are_those_of_the_contract(spark):
     df = spark.createDataFrame([(1, "a", "x y z\x1cw v\r\nq")], DOCS)
     assert mixing.mix(df).first().size == 3  # blanks and control spaces part words, others do not

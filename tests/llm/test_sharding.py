@@ -44,3 +44,18 @@ def test_nulls_empty_tables_and_clashing_columns(spark, documents):
     whole = sh.sharded(docs)
     assert whole.columns == [*docs.columns, "shard", "slot"] and whole.count() == 4
     assert sh.assign(documents([])).count() == 0
+
+
+def test_columns_named_like_the_result_give_way(documents):
+    docs = documents([(k, "t", 7, 8, k) for k in range(20)], ", Shard int, slot int, `a.b` int")
+    whole = sh.sharded(docs)
+    assert whole.columns == ["doc_id", "text", "a.b", "shard", "slot"]
+    rows = whole.collect()
+    assert {(r.shard, r.slot) for r in rows} == {(k % 8, k // 8) for k in range(20)}
+    assert all(r["a.b"] == r.doc_id for r in rows)
+
+
+def test_rows_equal_in_id_and_text_keep_their_places(documents):
+    docs = documents([(1, "same", k % 5) for k in range(30)], ", other int")
+    one = sorted(map(tuple, sh.sharded(docs).collect()))
+    assert sorted(map(tuple, sh.sharded(docs.repartition(4).orderBy("other")).collect())) == one

@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from wardlake.llm import warc
 
@@ -98,3 +99,14 @@ def test_corrupt_payload_is_noticed():
 def test_listing_finds_archives_by_path(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([(1, "u", "h")], PAGES), f"{tmp_path}/w")
     assert warc.read_archives(warc.list_archives(spark, f"{tmp_path}/w")).first().page_id == 1
+
+
+def test_many_ranges_are_read_by_many_tasks(spark, tmp_path):
+    """Adaptive execution does not put the rows that describe ranges into one task."""
+    pages = [(k, f"u{k}", os.urandom(40).hex()) for k in range(300)]
+    manifest = warc.write_archives(spark.createDataFrame(pages, PAGES).coalesce(2), f"file://{tmp_path}/w")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    size = manifest.agg({"bytes": "sum"}).first()[0]
+    records = warc.read_archives(manifest, split_bytes=size // 100)
+    tasks = records.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) >= 8 and sum(row["count"] for row in tasks) >= 300

@@ -11,7 +11,8 @@ Items are searched in bounded chunks (``chunk_words``), so neither the driver no
 more than one chunk, however large the benchmark is; each chunk is one pass over the index.
 
 Defined cases: a null or wordless text has no words and no matches; an item without words matches
-nothing; items with a null id mark words but are not listed; every row of the corpus is a document
+nothing; items with a null id mark words but are not listed, and ids of items may be of any type that text
+can be cast back to; ids of documents are integers; every row of the corpus is a document
 of its own, also with a null or repeated id; extra columns are ignored; empty tables give no rows
 or no matches. Terms are looked up by a 64-bit hash and then compared byte by byte.
 """
@@ -27,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlake.llm.store import new_path
 from wardlake.llm.text import slices, words
-from wardlake.session import scratch_path
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -163,7 +164,7 @@ def build_index(
                 yield pa.RecordBatch.from_pylist([row], schema=_INDEX_ARROW)
 
     spark = docs.sparkSession
-    path = path or scratch_path(spark, "positions")
+    path = path or new_path(spark, "positions")
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chosen.mapInArrow(blocks, INDEX).write.parquet(path)
     return spark.read.schema(INDEX).parquet(path)
@@ -200,11 +201,11 @@ def item_chunks(
 ) -> Iterator[Items]:
     """Items in chunks of about ``chunk_words`` words; the driver holds one at a time."""
     ids, texts, size = [], [], 0
-    chosen = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    chosen = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     for row in chosen.where("t is not null").toLocalIterator():
         ids.append(row.i)
         texts.append(row.t)
-        size += len(row.t) // 5
+        size += 1 + len(row.t) // 5
         if size >= chunk_words:
             yield Items(ids, texts)
             ids, texts, size = [], [], 0
@@ -214,7 +215,7 @@ def item_chunks(
 
 _DOC_HITS = (
     "block string, row int, doc_id bigint, n_words bigint,"
-    " spans array<struct<begin: int, end: int>>, items array<bigint>"
+    " spans array<struct<begin: int, end: int>>, items array<string>"
 )
 
 
@@ -258,7 +259,7 @@ def _phrase_hits(chunk: Items | None, window: int):
                     pa.array(block.doc_ends - doc_begins, pa.int64()),
                     pa.array([spans.get(d, []) for d in range(n)],
                              pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
-                    pa.array([items.get(d, []) for d in range(n)], pa.list_(pa.int64())),
+                    pa.array([items.get(d, []) for d in range(n)], pa.list_(pa.string())),
                 ], names=["block", "row", "doc_id", "n_words", "spans", "items"])
 
     return search
@@ -286,7 +287,7 @@ def find_phrases(
     A window is ``window`` consecutive words of an item; an item of fewer words is one window.
     """
     spark = index.sparkSession
-    path = scratch_path(spark, "phrase-hits")
+    path = new_path(spark, "phrase-hits")
     searched = False
     for chunk in item_chunks(items, id_col, text_col, chunk_words):
         hits = index.mapInArrow(_phrase_hits(chunk, window), _DOC_HITS)
@@ -303,11 +304,12 @@ def find_phrases(
     )
     return merged.select(
         "doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "spans",
-        F.array_sort(F.array_distinct("items")).alias("items"),
+        F.array_sort(F.transform(F.array_distinct("items"), lambda i: i.cast(items.schema[id_col].dataType)))
+        .alias("items"),
     )
 
 
-_NEAR_HITS = "doc_id bigint, item_id bigint, begin int, end int"
+_NEAR_HITS = "doc_id bigint, item_id string, begin int, end int"
 
 
 def find_near(
@@ -321,7 +323,7 @@ def find_near(
     every shortest range (no proper part of it holds all terms), with word places in the document.
     """
     chunks = item_chunks(items, id_col, text_col, chunk_words)
-    spark, path, searched = index.sparkSession, scratch_path(index.sparkSession, "near-hits"), False
+    spark, path, searched = index.sparkSession, new_path(index.sparkSession, "near-hits"), False
 
     def searcher(chunk: Items):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,19 +338,18 @@ def find_near(
                         if terms[0] >= 0:
                             rows += _nearby(block, terms, within, chunk.ids[item])
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
-                        ("doc_id", pa.int64()), ("item_id", pa.int64()),
+                        ("doc_id", pa.int64()), ("item_id", pa.string()),
                         ("begin", pa.int32()), ("end", pa.int32())]))
         return search
 
     for chunk in chunks:
         index.mapInArrow(searcher(chunk), _NEAR_HITS).write.mode("append").parquet(path)
         searched = True
-    if not searched:
-        return spark.createDataFrame([], _NEAR_HITS)
-    return spark.read.schema(_NEAR_HITS).parquet(path)
+    found = spark.read.schema(_NEAR_HITS).parquet(path) if searched else spark.createDataFrame([], _NEAR_HITS)
+    return found.withColumn("item_id", F.col("item_id").cast(items.schema[id_col].dataType))
 
 
-def _nearby(block: Block, terms: np.ndarray, within: int, item_id: int | None) -> list[dict]:
+def _nearby(block: Block, terms: np.ndarray, within: int, item_id: str | None) -> list[dict]:
     lists = sorted(
         (block.positions[block.list_ends[t] - block.counts[t]:block.list_ends[t]] for t in terms),
         key=len,
@@ -388,8 +389,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW)
     """
     index = build_index(docs.select(F.xxhash64("text").alias("key"), "text"), "key")
     hit = find_phrases(index, items, window).where("n_hit > 0").select("doc_id").distinct()
-    kept = docs.join(hit, F.xxhash64(docs["text"]) == hit["doc_id"], "left_anti")
-    return kept.select(*docs.columns)
+    return docs.join(hit, F.xxhash64(docs["text"]) == hit["doc_id"], "left_anti")
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -149,17 +149,18 @@ def _hash() -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEAT) -> DataFrame:
-    """Per document: size, its source's size and target, and the words the mix takes from it."""
+    """Per document: size, its source's size and target, the words the mix takes from it, and how often."""
     items = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash().alias("hash"))
     items = stored(items, "mix-items")
     plan = mixing_plan(items, weights, cap)
     return items.alias("i").join(plan.alias("p"), _same_source("i", "p")).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * _times(cap)).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * _times(cap)).alias("taken"),
+        _times(cap).alias("times"),
     )
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPEAT) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken (texts of no words never).
+    """The mix itself: rows of ``docs``, each as often as it is taken, texts without words like all others.
 
     All columns of ``docs`` are kept, whatever their names are.
     """
@@ -168,7 +169,5 @@ def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MAX
     whole = docs.select(F.struct("*").alias("row"), "source", _hash().alias("hash"),
                         n_words(F.col("text")).alias("size"))
     chosen = whole.alias("i").join(plan.alias("p"), _same_source("i", "p"))
-    repeated = chosen.where(F.col("size") > 0).select(
-        "row", F.explode(F.array_repeat(F.lit(True), _times(cap)))
-    )
+    repeated = chosen.select("row", F.explode(F.array_repeat(F.lit(True), _times(cap))))
     return repeated.select("row.*")

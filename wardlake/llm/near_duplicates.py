@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.bits import ONCE, bit_set, may_hold, rarity
-from wardlake.llm.store import stored
+from wardlake.llm.store import discard, stored
 from wardlake.llm.text import mix, powers, slices, words
 
 K = 2
@@ -314,29 +314,19 @@ def components(links: DataFrame) -> DataFrame:
             ),
             "labels",
         )
+        discard(labels)
         labels = after.select("key", "label")
         if after.where("moved").isEmpty():
+            discard(both)
             return labels
 
 
-def near_duplicates(
-    docs: DataFrame, similarity: float = SIMILARITY, wordless: bool = False
-) -> DataFrame:
-    """Per row: the smallest id of its class, the class's number of rows, and whether it stays.
-
-    ``rid`` numbers the rows; of each class the row with the smallest id (then number) stays.
-    """
-    chosen = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text"
-    )
-    return _classes(stored(chosen.mapInArrow(_sketch, SKETCHED), "sketches"), similarity, wordless)
-
-
 def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     """Verified links between nodes (``node``, ``n``, ``bands``); ``tokens`` by ``key``."""
     banded = nodes.select(F.col("node").alias("key"), "n", F.posexplode("bands").alias("band", "value"))
     banded = banded.select("key", "n", F.xxhash64("band", "value").alias("bucket"))
-    banded = stored(banded.unionByName(_short_keys(nodes, tokens, similarity)), "bands")
+    short = stored(_short_keys(nodes, tokens, similarity), "short-keys")
+    banded = banded.unionByName(short)
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
 
     def beside(members: DataFrame) -> DataFrame:
@@ -347,16 +337,18 @@ def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
         reps = members.groupBy("bucket").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
         reps = reps.where("size > 1").select("bucket", "rep", F.explode(salts).alias("salt"))
         salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-        return stored(salted.join(reps, ["bucket", "salt"]).drop("salt"), "beside")
+        return salted.join(reps, ["bucket", "salt"]).drop("salt")
 
     # Texts of a bucket whose lengths differ too much are parted: each is in two length classes, and
     # two texts that may be similar share one of them.
+    # Buckets of one member go before anything is written.
     shared = beside(banded).select("key", "n", "bucket")
     lowest = F.floor(F.log(F.greatest("n", F.lit(1))) / (log(1 / similarity) + 1e-6))
     length = F.explode(F.array(lowest, lowest + 1))
     shared = shared.withColumn("length", length)
     shared = stored(shared.select("key", "n", F.xxhash64("bucket", "length").alias("bucket")), "classes")
-    live = beside(shared)
+    discard(short)
+    live = stored(beside(shared), "beside")
     wanted = live.select("key").distinct()
     some = may_hold(bit_set(wanted.select(F.xxhash64("key").alias("hash"))), F.xxhash64("key"))
     tokens = stored(tokens.where(some).join(wanted, "key", "left_semi"), "tokens")
@@ -370,10 +362,10 @@ def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
             linked = found.select(F.col("a").alias("key"), F.col("b").alias("rep"))
             aparts = live.where("key <> rep").join(linked, ["key", "rep"], "left_anti").drop("rep")
             aparts = stored(aparts, "apart")
+            discard(live)
             if aparts.isEmpty():
                 return links
-        if number + 1 < STAR_ROUNDS:
-            live = beside(aparts)
+            live = stored(beside(aparts), "beside")
 
     labels = components(links)
     label = F.coalesce("label", "key")
@@ -399,8 +391,9 @@ def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
         (F.col("l.bucket") == F.col("r.bucket")) & (F.col("a_label") != F.col("b_label")) & close,
     )
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = verified(rest, tokens, similarity).where("linked").select("a", "b")
-    return links.unionByName(stored(found, "more-links"))
+    found = stored(verified(rest, tokens, similarity).where("linked").select("a", "b"), "more-links")
+    discard(shared, live, aparts, words, tokens)
+    return links.unionByName(found)
 
 
 def near_duplicates(
@@ -435,6 +428,7 @@ def _classified(
     if not wordless:
         rows = rows.withColumn("label", F.when(F.col("n") == 0, F.col("rid")).otherwise(F.col("label")))
     rows = stored(rows.select("rid", "doc_id", "n", "label"), "placed")
+    discard(sketches, copies)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     classes = rows.groupBy("label").agg(first.alias("first"), F.count("*").alias("class_size"))
     classes = classes.select("label", "first.doc_id", F.col("first.rid").alias("first_rid"), "class_size")

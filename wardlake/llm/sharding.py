@@ -14,7 +14,8 @@ rows share a range partition only as far as their spread allows: the last sort k
 apart, and as such rows are equal, any order among them gives the same result.
 
 Defined cases: a null text has size 1 and checksum 0; null and repeated ids are rows of their own;
-an empty table gives no rows; extra columns are kept by ``sharded`` and ignored by ``assign``.
+an empty table gives no rows; extra columns are kept by ``sharded``, but for ``shard`` and ``slot``, and
+ignored by ``assign``.
 """
 
 from __future__ import annotations
@@ -103,8 +104,8 @@ def numbered(rows: DataFrame, *order: Column | str) -> tuple[DataFrame, int]:
     return result.withColumn("number", F.col("_begin") + place).drop("_part", "_begin", "_id"), total
 
 
-def _assigned(rows: DataFrame, shards: int, seed: int) -> DataFrame:
-    order = [F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "text_hash"]
+def _assigned(rows: DataFrame, shards: int, seed: int, *also: str) -> DataFrame:
+    order = [F.col("doc_id").asc_nulls_first(), "text_crc32", "size", "text_hash", *also]
     rows, total = numbered(rows, *order)
     rows = rows.withColumn("place", _permuted(F.col("number"), total, seed))
     return rows.withColumn("shard", (F.col("place") % shards).cast("int")).withColumn(
@@ -135,8 +136,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
 def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """All rows and columns of ``docs`` with their ``shard`` and ``slot``.
 
-    Rows equal in id and text are told apart by their number among equals only.
+    Columns of ``docs`` with these two names are left out for the new ones. Rows equal in id and text are
+    ordered by a hash of all their columns, so reruns agree; only rows equal in all are told apart
+    by their number among equals.
     """
     keyed = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    rows = _assigned(_narrow(keyed, "row"), shards, seed)
-    return rows.select("row.*", "shard", "slot")
+    keyed = keyed.withColumn("row_hash", F.xxhash64(F.to_json("row")))
+    rows = _assigned(_narrow(keyed, "row", "row_hash"), shards, seed, "row_hash")
+    kept = [F.col("row").getField(name).alias(name) for name in docs.columns if name.lower() not in ("shard", "slot")]
+    return rows.select(*kept, "shard", "slot")

@@ -2,9 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from wardlake.session import scratch_path
+from pyspark.sql import DataFrame, SparkSession
+
+from wardlake.session import delete_scratch, scratch_path
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Have Spark delete the shuffle files of a query when it ends, where it can do so.
+
+    What is written is read from its files from then on, so nothing asks for them again.
+    """
+    if not spark.conf.isModifiable(_CLEANUP):
+        yield
+        return
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+_SCOPES: list[list[str]] = []  # paths made in each open ``scope``
+
+
+def new_path(spark: SparkSession, purpose: str) -> str:
+    """A path in the shared folder that nothing has used yet; an open ``scope`` knows of it."""
+    path = scratch_path(spark, purpose)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Collects the paths of all tables that are stored in the block."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
+def release(spark: SparkSession, paths: list[str], needed: DataFrame) -> list[str]:
+    """Delete the given tables but for those that ``needed`` reads; returns the paths that are left."""
+    read = {file.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for file in needed.inputFiles()}
+    left = []
+    for path in paths:
+        plain = path.split(":", 1)[-1].lstrip("/")
+        if any(folder == plain or folder.startswith(f"{plain}/") for folder in read):
+            left.append(path)
+        else:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    return left
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -13,6 +70,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     This cuts the lineage at files that outlive executors, and lets Spark plan with the true size:
     a small table is broadcast only where it is known to be below the session's threshold.
     """
-    path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, purpose)
+    with _shuffles_cleaned(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that later stored ones have replaced; frames made from them cannot be run again."""
+    for table in tables:
+        delete_scratch(table)

@@ -42,6 +42,7 @@ from wardlake.session import scratch_path
 
 MIN_REVISIT = 0  # payloads of fewer bytes are always stored whole
 SPLIT_BYTES = 4 << 20
+RANGES_PER_TASK = 8
 ARCHIVE_BYTES = 256 << 20  # a task begins another archive beyond this
 SALTS = 16
 MAGIC = b"\x1f\x8b\x08"
@@ -291,7 +292,10 @@ def read_archives(
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(split_bytes).cast("long"))).alias("begin")
     )
     text_ids = RECORD.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
-    dealt = ranges.repartition(F.xxhash64("path", "begin"))
+    # Rows that describe ranges are tiny, so the number of tasks is told by the bytes behind them.
+    wanted = F.ceil(F.greatest(F.col("bytes"), F.lit(1)) / split_bytes)
+    number = archives.agg(F.sum(wanted)).first()[0] or 1
+    dealt = ranges.repartition(-(-int(number) // RANGES_PER_TASK), F.xxhash64("path", "begin"))
     records = dealt.mapInPandas(read, text_ids)
     return records.withColumn("page_id", F.col("page_id").cast("long")).withColumn(
         "refers_to", F.col("refers_to").cast("long")
