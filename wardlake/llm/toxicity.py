@@ -22,8 +22,8 @@ sees nothing but the margins and the number of windows.
 
 Training takes a bounded sample in one task: ``TRAIN_ROWS`` labelled rows of at most
 ``TRAIN_BYTES`` bytes each, by hash of their id. Scoring covers every whole text. A window that
-shares no run of ``RUN`` bytes with the toxic dictionary has nothing to be saved, and its margin is 0
-without compression.
+shares no run of ``SHARED`` bytes with a toxic dictionary has next to nothing to be saved there, and its
+margin is 0 without compression.
 
 Defined cases: null and wordless texts have no windows and get the score of no margin; labels
 without a document, and null labels, are left out; rows with equal ids all count; without any
@@ -51,6 +51,7 @@ TRAIN_ROWS = 6000
 TRAIN_BYTES = 32 << 10
 WINDOWS = (2, 8)  # words of short and of long windows, which start half a window apart
 ODDS = 4  # times as many toxic as ordinary texts must hold a run, measured by the size of the classes
+SHARED = (6, 8)  # bytes in a row that a window must share with the dictionary of either choice
 CHANCES = (1e-6, 1e-2)  # of a run being as toxic as it looks without any bearing on toxicity
 RUNS = (6, 12, 20)  # bytes of the runs that are counted; the first is the shortest match
 RUN = RUNS[0]
@@ -77,11 +78,11 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=trained, compression_params=settings)
 
 
-def _run_codes(data: np.ndarray) -> np.ndarray:
-    """Every run of ``RUN`` bytes as a number."""
-    n = max(0, len(data) - RUN + 1)
+def _run_codes(data: np.ndarray, width: int) -> np.ndarray:
+    """Every run of ``width`` bytes, eight at most, as a number."""
+    n = max(0, len(data) - width + 1)
     code = np.zeros(n, np.uint64)
-    for at in range(RUN):
+    for at in range(width):
         code = (code << np.uint64(8)) | data[at:at + n].astype(np.uint64)
     return code
 
@@ -132,8 +133,8 @@ class Model:
         if "_plain" not in self.__dict__:
             self._plain = _compressor(self.ordinary)
             self._toxic = []
-            for content in self.toxic:
-                runs = np.unique(_run_codes(np.frombuffer(content, np.uint8)))
+            for content, width in zip(self.toxic, SHARED):
+                runs = np.unique(_run_codes(np.frombuffer(content, np.uint8), width))
                 marks = np.zeros(1 << 20, bool)
                 marks[(mix(runs) >> np.uint64(44)).astype(np.int64)] = True
                 self._toxic.append((_compressor(content + self.ordinary), runs, marks))
@@ -145,18 +146,24 @@ class Model:
         """Bytes that each toxic dictionary saves in each window; a row per dictionary."""
         self._prepare()
         margins = np.zeros((len(self.toxic), len(found.starts)), np.int64)
-        codes, raw = _run_codes(found.data), found.data.tobytes()
+        raw = found.data.tobytes()
         # No match is looked for in the last bytes of an input, and the first one costs extra.
-        anchor, size = self.ordinary[-24:], {}
-        for row, (compressor, runs, marks) in enumerate(self._toxic):
+        anchor, sizes = self.ordinary[-24:], {}
+        for row, ((compressor, runs, marks), width) in enumerate(zip(self._toxic, SHARED)):
+            codes = _run_codes(found.data, width)
             at = np.flatnonzero(marks[(mix(codes) >> np.uint64(44)).astype(np.int64)])
             at = at[np.isin(codes[at], runs)]
-            shared = np.searchsorted(at, found.starts) < np.searchsorted(at, found.ends - RUN, "right")
+            shared = np.searchsorted(at, found.starts) < np.searchsorted(at, found.ends - width, "right")
+            saved: dict[bytes, int] = {}
             for window in np.flatnonzero(shared).tolist():
-                content = raw[found.starts[window]:found.ends[window]] + anchor
-                if window not in size:
-                    size[window] = len(self._plain.compress(content))
-                margins[row, window] = size[window] - len(compressor.compress(content))
+                content = raw[found.starts[window]:found.ends[window]]
+                margin = saved.get(content)
+                if margin is None:
+                    whole = content + anchor
+                    if content not in sizes:
+                        sizes[content] = len(self._plain.compress(whole))
+                    margin = saved[content] = sizes[content] - len(compressor.compress(whole))
+                margins[row, window] = margin
         return margins
 
     def features(self, texts: pa.Array) -> np.ndarray:
