@@ -1,7 +1,12 @@
 import hashlib
+import math
+import random
 import re
+import string
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from wardlake.llm import secrets as sc
 
@@ -59,3 +64,82 @@ def test_masking_and_odd_tables(documents):
     texts = sorted(repr(r.text) for r in sc.masked(docs).collect())
     assert texts == ["'a [secret]\" b'", "None", "None"] and sc.masked(docs).columns == docs.columns
     assert sc.secret_report(docs).count() == 3 and sc.secret_report(documents([])).count() == 0
+
+
+def span_price(text, rest, ranks):
+    """The cheapest way to guess a whole span other than by brute force; ``rest`` is all from its begin on."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    prices = [math.inf]
+    plain = low.translate(sc._LEET)
+    rank = ranks.get(low) or ranks.get(plain)
+    if rank and 3 <= len(text) <= sc.LONGEST:
+        upper = sum(map(str.isupper, text))
+        forms = 1 if not upper else 2 if upper in (1, len(text)) else 2 ** min(upper, len(text) - upper)
+        prices.append(math.log10(rank * forms * (1 if low in ranks else 4) + 1))
+    date = sc._DATE.match(rest)  # taken in its longest form
+    if date and date.end() == len(text):
+        prices.append(math.log10(120 if len(text) == 4 else 365 * 120 * (4 if date[1] or date[2] else 1)))
+    if len(text) >= 3 and len(set(low)) == 1:
+        prices.append(math.log10(sc._alphabet(text[-1]) * len(text)))
+    if len(text) >= 3 and all(map(sc._beside, low, low[1:])):
+        steps = list(map(sc._step, low, low[1:]))
+        prices.append(math.log10(47 * len(text)) + 0.5 * sum(a != b for a, b in zip(steps, steps[1:])))
+    return min(prices)
+
+
+def cheapest(value, ranks):
+    """Every way to cut a value into spans, each guessed as cheaply as can be."""
+    best = math.inf
+    for cuts in range(1 << max(0, len(value) - 1)):
+        total, begin = 0.0, 0
+        for end in range(1, len(value) + 1):
+            if end == len(value) or cuts >> (end - 1) & 1:
+                span = value[begin:end]
+                brute = sum(math.log10(sc._alphabet(c)) for c in span)
+                other = span_price(span, value[begin:], ranks)
+                total += min(brute, other + (math.log10(2) if begin else 0))
+                begin = end
+        best = min(best, total)
+    return best if value else 0.0
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.one_of(
+    st.text(alphabet="aA4@sp0oedwqr123!é", max_size=9),
+    st.lists(st.sampled_from(["pass", "Word", "p4ss", "aaa", "qwe", "fds", "2024", "x", "7", "$", "abc", "wor"]), max_size=3).map("".join),
+))
+def test_guess_cost_against_all_segmentations(value):
+    if len(value) > 12:
+        return
+    ranks = {"pass": 1, "word": 2, "password": 3, "sword": 40, "ass": 500, "are": 7, "deed": 90}
+    assert sc.guess_cost(value, ranks) == pytest.approx(cheapest(value, ranks))
+
+
+def test_words_of_the_corpus_are_no_secrets(documents):
+    rng = random.Random(5)
+    words = "documentation mountainview elephant harbour settlement".split()
+    rows = [(k, " ".join(rng.choice(words) for _ in range(30))) for k in range(40)]
+    rows += [(100 + k, f"the password is {word} here, and secret is {word}") for k, word in enumerate(words)]
+    planted = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(16)) for _ in range(5)]
+    # One value many times: being a credential makes it no word.
+    rows += [(200 + k, f"my passphrase is {planted[k % 5]} ok") for k in range(50)]
+    found = {r.doc_id: r.spans for r in sc.find_secrets(documents(rows)).collect()}
+    assert not any(found[k] for k in range(40)) and not any(found[100 + k] for k in range(len(words)))
+    for k in range(50):
+        (span,) = found[200 + k]
+        assert rows[40 + len(words) + k][1][span.begin:span.end] == planted[k % 5]
+
+
+def test_learnt_ranks(documents):
+    docs = documents([(1, "Often often often. rare ab " + "x" * 30), (2, "often twice twice"), (3, None)])
+    ranks = sc.learn_words(docs, least=2)
+    known = len(sc.COMMON_WORDS)
+    assert {word: rank for word, rank in ranks.items() if rank > known} == {"often": known + 1, "twice": known + 2}
+    assert len(sc.learn_words(docs, most=1, least=1)) == known + 1
+    assert sc.learn_words(documents([])) == sc._RANK
+
+
+def test_letters_that_change_their_length(documents):
+    text = "password is İİİİq9$Kx2!vT7zW end"
+    ((kind, begin, end, _),) = [(k, b, e, g) for b, e, k, g in sc.find_spans(text)]
+    assert kind == "guess" and text[begin:end] == "İİİİq9$Kx2!vT7zW"

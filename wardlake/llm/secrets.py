@@ -7,9 +7,14 @@ and brute-force spans so that the product of the spans' guesses is least, and a
 ``MIN_GUESSES`` (log10) on. ``changeme2024`` costs little, ``x9$Kq2!vT`` much. The cost of base
 assignments' values is returned as well.
 
-Each text is one row's work and its spans are its only result; nothing is shuffled. The program
-takes time in proportion to the value's length, as no span but brute force and repeats is longer
-than ``LONGEST``.
+Words are ranked by their frequency in the corpus itself (``learn_words``): letters that stand outside of
+credential values are counted over all whole texts, combined in the task and before the shuffle. The list
+that goes to the tasks holds the ``WORDS`` most frequent words that occur at least ``LEAST`` times, after a
+few that are common in passwords everywhere; other words are priced like random letters.
+
+Each text is one row's work and its spans are its only result; nothing but word counts is shuffled. The
+program takes time in proportion to the value's length, as no span but brute force is longer
+than ``LONGEST``, and a longer repeat or walk only begins where it begins.
 
 Defined cases: null is empty and has no spans; positions are code points, ends exclusive; spans of
 one kind never overlap, spans of different kinds may; rows with equal ids are scanned each; an
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +35,10 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "guess")
 MIN_GUESSES = 8.0
 LONGEST = 24
+SHORTEST = 3  # characters of a word, a repeat or a walk
+WORDS = 50_000
+LEAST = 5
+TASK_WORDS = 1 << 20  # distinct words that a task counts before it sends them on
 
 ASSIGN = re.compile(
     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII
@@ -60,6 +70,8 @@ COMMON_WORDS = (
     " happy money family music apple orange banana coffee house home work office company"
 ).split()
 _RANK = {word: rank for rank, word in enumerate(COMMON_WORDS, 1)}
+_LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
+_LETTERS = re.compile(r"[a-z]+")
 # Substitutions undone before words are looked up, and rows of a keyboard.
 _LEET = str.maketrans("@4301!$57", "aaeoiissT".lower())
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -88,59 +100,69 @@ def _beside(a: str, b: str) -> bool:
     return False
 
 
-def guess_cost(value: str) -> float:
+def _word_price(text: str, rank: int, undone: bool) -> float:
+    upper = sum(c.isupper() for c in text)
+    forms = 1 if not upper else 2 if upper in (1, len(text)) else 2 ** min(upper, len(text) - upper)
+    return math.log10(rank * forms * (4 if undone else 1) + 1)
+
+
+def _step(a: str, b: str):
+    """Direction from one key to the next, in the alphabet or on the keyboard."""
+    step = ord(b) - ord(a)
+    if abs(step) != 1 and a in _PLACE and b in _PLACE:
+        return (_PLACE[b][0] - _PLACE[a][0], _PLACE[b][1] - _PLACE[a][1])
+    return step
+
+
+def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
     """log10 of the guesses that the cheapest segmentation needs.
 
     The segments' guesses multiply; each segment but the first doubles them, for the attacker has
-    to find the split too.
+    to find the split too. Characters guessed by brute force multiply theirs without such a price.
     """
-    n, low = len(value), value.lower()
+    n, low = len(value), value.translate(_LOWER)  # A-Z only: every character keeps its place
     plain = low.translate(_LEET)
+    another = math.log10(2)
     best = [0.0] + [math.inf] * n
-    walk = repeat = 0  # begins of the running walk and repeat that end at i
+    # Begins of the repeat and of the walk that run up to each character, and turns of the walk so far.
+    repeat, walk, turns = 0, 0, [0] * n
     for i in range(n):
-        start = best[i] + (math.log10(2) if i else 0)
-        # Brute force, one character at a time without a new segment's price.
-        best[i + 1] = min(best[i + 1], best[i] + math.log10(_alphabet(value[i])))
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = _RANK.get(low[i:j])
-            undone = rank is None and (rank := _RANK.get(plain[i:j])) is not None
-            if rank is not None:
-                upper = sum(c.isupper() for c in value[i:j])
-                forms = 1 if not upper else 2 if upper in (1, j - i) else 2 ** min(upper, j - i - upper)
-                best[j] = min(best[j], start + math.log10(rank * forms * (4 if undone else 1) + 1))
-        found = _DATE.match(value, i)
-        if found:
-            days = 120 if found.end() - i == 4 else 365 * 120 * (4 if found[1] or found[2] else 1)
-            best[found.end()] = min(best[found.end()], start + math.log10(days))
         if i and low[i] != low[i - 1]:
             repeat = i
         if i and not _beside(low[i - 1], low[i]):
             walk = i
-        # Runs may be entered anywhere; the longest one up to here is the cheapest.
-        if i - repeat >= 2:
-            price = math.log10(_alphabet(value[i]) * (i - repeat + 1))
-            best[i + 1] = min(best[i + 1], best[repeat] + (math.log10(2) if repeat else 0) + price)
-        if i - walk >= 2:
-            length = i - walk + 1
-            price = math.log10(47 * length) + 0.5 * _turns(low, walk, i)
-            best[i + 1] = min(best[i + 1], best[walk] + (math.log10(2) if walk else 0) + price)
+        if i >= 2:
+            turns[i - 1] = turns[i - 2] + (_step(low[i - 1], low[i]) != _step(low[i - 2], low[i - 1]))
+        for end, price in _ends(value, low, plain, i, ranks):
+            best[end] = min(best[end], best[i] + (another if i else 0) + price)
+        best[i + 1] = min(best[i + 1], best[i] + math.log10(_alphabet(value[i])))
+        for begin, per in ((repeat, False), (walk, True)):
+            last = i - SHORTEST + 1
+            near = range(max(begin, i - LONGEST + 1), last + 1)
+            for j in (near if begin in near or begin > last else (begin, *near)):
+                size = i - j + 1
+                if per:
+                    price = math.log10(47 * size) + 0.5 * (turns[i - 1] - turns[j])
+                else:
+                    price = math.log10(_alphabet(value[i]) * size)
+                best[i + 1] = min(best[i + 1], best[j] + (another if j else 0) + price)
     return best[n]
 
 
-def _turns(low: str, begin: int, end: int) -> int:
-    """Changes of direction within a walk."""
-    turns, before = 0, None
-    for k in range(max(begin, end - LONGEST), end):
-        step = ord(low[k + 1]) - ord(low[k])
-        if abs(step) != 1 and low[k] in _PLACE and low[k + 1] in _PLACE:
-            step = (_PLACE[low[k + 1]][0] - _PLACE[low[k]][0], _PLACE[low[k + 1]][1] - _PLACE[low[k]][1])
-        turns += before is not None and step != before
-        before = step
-    return turns
+def _ends(value: str, low: str, plain: str, i: int, ranks: dict[str, int]) -> Iterator[tuple[int, float]]:
+    """Ends and prices of the words and the date that begin at a place."""
+    for j in range(i + SHORTEST, min(len(value), i + LONGEST) + 1):
+        rank = ranks.get(low[i:j])
+        undone = rank is None and (rank := ranks.get(plain[i:j])) is not None
+        if rank is not None:
+            yield j, _word_price(value[i:j], rank, undone)
+    found = _DATE.match(value, i)
+    if found:
+        days = 120 if found.end() - i == 4 else 365 * 120 * (4 if found[1] or found[2] else 1)
+        yield found.end(), math.log10(days)
 
 
-def find_spans(text: str) -> list[tuple[int, int, str, float | None]]:
+def find_spans(text: str, ranks: dict[str, int] = _RANK) -> list[tuple[int, int, str, float | None]]:
     """Spans of a text in order: start, end, kind, and the value's guess cost in a context."""
     spans = []
     base: set[tuple[int, int]] = set()
@@ -148,7 +170,7 @@ def find_spans(text: str) -> list[tuple[int, int, str, float | None]]:
     credentials = any(sign in low for sign in _SIGNS)
     for found in ASSIGN.finditer(text) if credentials else ():
         if found.end(1) - found.start(1) >= 6:
-            spans.append((found.start(), found.end(), "assign", guess_cost(found[1])))
+            spans.append((found.start(), found.end(), "assign", guess_cost(found[1], ranks)))
             base.add(found.span(1))
     spans += [(*found.span(), "access", None) for found in ACCESS.finditer(text)]
     spans += [(*found.span(), "hex", None) for found in HEX.finditer(text)]
@@ -157,7 +179,7 @@ def find_spans(text: str) -> list[tuple[int, int, str, float | None]]:
         start, end = found.start(1), found.start(1) + len(value)
         if len(value) < 6 or any(b <= start and end <= e for b, e in base):
             continue  # what a base assignment already holds
-        cost = guess_cost(value)
+        cost = guess_cost(value, ranks)
         if cost >= MIN_GUESSES:
             spans.append((start, end, "guess", cost))
     return sorted(spans, key=lambda span: (span[0], KINDS.index(span[2]), span[1]))
@@ -168,13 +190,51 @@ _SPANS = pa.list_(pa.struct([
 ]))
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id`` and its ``spans`` in order, with the guess cost where there is one."""
+def learn_words(docs: DataFrame, most: int = WORDS, least: int = LEAST) -> dict[str, int]:
+    """Ranks of the corpus's words, which follow those of ``COMMON_WORDS``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            rows = [(word, n) for word, n in counts.items() if SHORTEST <= len(word) <= LONGEST]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([row[0] for row in rows], pa.string()), pa.array([row[1] for row in rows], pa.int64())],
+                ["word", "n"],
+            )
+
+        for batch in batches:
+            for text in batch.column(0):
+                low = (text.as_py() or "").lower()
+                if any(sign in low for sign in _SIGNS):
+                    # What may be a credential is no word of the language.
+                    low = CONTEXT.sub(" ", ASSIGN.sub(" ", low))
+                counts.update(_LETTERS.findall(low))
+                if len(counts) > TASK_WORDS:
+                    yield flush()
+        yield flush()
+
+    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    chosen = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).select("word").collect()
+    ranks = dict(_RANK)
+    for row in chosen:
+        ranks.setdefault(row.word, len(ranks) + 1)
+    return ranks
+
+
+def find_secrets(docs: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
+    """Per row: ``doc_id`` and its ``spans`` in order, with the guess cost where there is one.
+
+    Words are ranked by ``docs`` unless ``ranks`` are given.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(learn_words(docs) if ranks is None else ranks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = [
-                [{"kind": k, "begin": b, "end": e, "guesses": g} for b, e, k, g in find_spans(t.as_py() or "")]
+                [{"kind": k, "begin": b, "end": e, "guesses": g}
+                 for b, e, k, g in find_spans(t.as_py() or "", ranks.value)]
                 for t in batch.column(1)
             ]
             yield pa.RecordBatch.from_arrays(
@@ -206,19 +266,23 @@ def secret_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def masked(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def masked(docs: DataFrame, mark: str = "[secret]", ranks: dict[str, int] | None = None) -> DataFrame:
     """Rows of ``docs`` with every span of the text replaced by ``mark``; all columns are kept."""
+    ranks = docs.sparkSession.sparkContext.broadcast(learn_words(docs) if ranks is None else ranks)
 
-    @F.udf("string")
-    def mask(text: str | None) -> str | None:
+    def hidden(text: str | None) -> str | None:
         if text is None:
             return None
         parts, at = [], 0
-        for begin, end, _, _ in find_spans(text):
+        for begin, end, _, _ in find_spans(text, ranks.value):
             if end > at:
                 if begin >= at:
                     parts += [text[at:begin], mark]
                 at = end
         return "".join([*parts, text[at:]])
 
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
+        return pa.array([hidden(text.as_py()) for text in texts], pa.string())
+
     return docs.withColumn("text", mask("text"))
