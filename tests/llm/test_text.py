@@ -1,9 +1,11 @@
 import re
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from wardlake.llm import text
 from wardlake.llm.text import cuts, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -34,3 +36,12 @@ def test_cuts_cover_all_rows_and_keep_long_ones_whole():
     texts = pa.array(["a" * 5, None, "b" * 100, "c", "d" * 9])
     assert list(cuts(texts, 10)) == [(0, 2), (2, 1), (3, 2)]
     assert list(cuts(pa.array([], pa.string()), 10)) == []
+
+
+def test_powers_are_kept_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(text, "_KEPT", 1 << 12)
+    monkeypatch.setattr(text, "_POWERS", {})
+    for size in (1, 5, 3000, 4096, 5000):
+        found = text.powers(np.uint64(3), size)
+        assert len(found) == size and all(int(found[at]) == pow(3, at, 2**64) for at in {0, size // 2, size - 1})
+    assert [len(kept) for kept in text._POWERS.values()] == [1 << 12]

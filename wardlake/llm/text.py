@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +31,24 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
-@cache
-def _powers(base: int, size: int) -> np.ndarray:
+_KEPT = 1 << 22  # powers that a worker keeps of each base: 32 MiB
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _steps(base: int, size: int) -> np.ndarray:
     steps = np.full(size, base, dtype=np.uint64)
     steps[0] = 1
     return np.cumprod(steps, dtype=np.uint64)
 
 
 def powers(base: np.uint64, size: int) -> np.ndarray:
-    """``base ** 0 .. base ** (size - 1)`` modulo 2**64; sizes are rounded up and kept."""
-    return _powers(int(base), 1 << max(10, int(size - 1).bit_length()))[:size]
+    """``base ** 0 .. base ** (size - 1)`` modulo 2**64; a bounded number of them is kept."""
+    if size > _KEPT:
+        return _steps(int(base), size)
+    kept = _POWERS.get(int(base))
+    if kept is None or len(kept) < size:
+        kept = _POWERS[int(base)] = _steps(int(base), 1 << max(10, int(size - 1).bit_length()))
+    return kept[:size]
 
 
 @dataclass
