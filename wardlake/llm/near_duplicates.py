@@ -56,7 +56,7 @@ RARITY_BITS = 20  # hash buckets counted for the rarity of words of short texts
 SIMILARITY = 0.8
 STAR_ROUNDS = 2
 SALTS = 16
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _NONE = np.uint64(2**64 - 1)
 
@@ -373,17 +373,21 @@ def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     near = shared.join(aparts.select("bucket").distinct(), "bucket", "left_semi")
     some = tokens.select("key", "tokens").join(near.select("key").distinct(), "key", "left_semi")
     words = stored(some.mapInArrow(_vocabulary, "key long, words array<int>"), "words")
-    left = aparts.join(labels, "key", "left").join(words, "key").select(
-        "bucket", F.col("key").alias("a"), F.col("n").alias("a_n"), label.alias("a_label"),
-        F.col("words").alias("a_words"),
-    )
-    right = near.join(labels, "key", "left").join(words, "key").select(
-        "bucket", F.col("key").alias("b"), F.col("n").alias("b_n"), label.alias("b_label"),
-        F.col("words").alias("b_words"),
-    )
+    def side(members: DataFrame, name: str) -> DataFrame:
+        """Members with their words and all their buckets here, at most two for each sketch or rare word."""
+        buckets = members.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
+        whole = members.join(buckets.join(labels, "key", "left").join(words, "key"), "key")
+        return whole.select(
+            "bucket", F.col("key").alias(name), F.col("n").alias(f"{name}_n"), label.alias(f"{name}_label"),
+            F.col("words").alias(f"{name}_words"), F.col("buckets").alias(f"{name}_buckets"),
+        )
+
+    left, right = side(aparts, "a"), side(near, "b")
     # Each distinct word that the other text lacks is an edit, whatever else differs.
     most = (1 - similarity) * F.greatest("a_n", "b_n") + 1e-9
     close = F.abs(F.col("a_n") - F.col("b_n")) <= most
+    # A pair that shares several buckets is looked at in the first of them only.
+    close = close & (F.array_min(F.array_intersect("a_buckets", "b_buckets")) == F.col("l.bucket"))
     for one, other in (("a_words", "b_words"), ("b_words", "a_words")):
         close = close & (F.size(F.array_except(one, other)) <= most)
     rest = left.alias("l").join(
