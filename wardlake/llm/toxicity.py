@@ -237,13 +237,14 @@ class Sample:
     Texts are counted by groups of near copies.
     """
 
-    texts: list[bytes]
+    texts: list[bytes]  # toxic ones first, and group by group
     toxic: np.ndarray
     group: np.ndarray
+    part: np.ndarray  # of each text; groups take turns, class by class
     data: np.ndarray  # bytes of the toxic texts, and which text they are of
     owner: np.ndarray
     codes: list[np.ndarray]  # by length of run: number of the run at each place of ``data``, or -1
-    held: list[tuple[np.ndarray, np.ndarray]]  # by length: run and group, for every group that holds it
+    counts: list[np.ndarray]  # by length: groups that hold a run, by class and part
 
     @classmethod
     def of(cls, texts: pa.Array, toxic: np.ndarray) -> Sample:
@@ -256,66 +257,51 @@ class Sample:
                 plain[own, int(toxic[begin + at])] = None
                 last = end
         rows, label = [own for own, _ in plain], np.array([label for _, label in plain])
-        order = np.argsort(-label, kind="stable")  # toxic texts first
-        rows, label = [rows[at] for at in order.tolist()], label[order]
         group = _groups(rows, label)
-        n, many = int(label.sum()), int(group.max()) + 1
+        order = np.lexsort((group, -label))
+        rows, label, group = [rows[at] for at in order.tolist()], label[order], group[order]
+        first = np.flatnonzero(np.diff(group, prepend=-1) != 0)
+        turn = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
+        part = (turn - np.where(label == 1, 0, int((label[first] == 1).sum()))) % PARTS
+        n = int(label.sum())
         data = np.frombuffer(b"".join(rows[:n]), np.uint8)
-        owner = np.repeat(np.arange(n), [len(own) for own in rows[:n]])
-        codes, held = [], []
+        owner = np.repeat(np.arange(n, dtype=np.int32), [len(own) for own in rows[:n]])
+        codes, counts = [], []
         for width in RUNS:
             at = _inner(owner, width)
             values, code = np.unique(_rolling(data, width)[at], return_inverse=True)
-            pairs = np.unique(code.astype(np.int64) * many + group[owner[at]])
+            pairs = np.unique(code.astype(np.int64) * (turn[-1] + 1) + turn[owner[at]])
+            run, whose = np.divmod(pairs, turn[-1] + 1)
             # A run of one toxic group alone tells nothing.
-            often = np.bincount(pairs // many, minlength=len(values)) > 1
+            often = np.bincount(run, minlength=len(values)) > 1
             number = np.where(often, np.cumsum(often) - 1, -1)
-            place = np.full(len(data), -1, np.int64)
+            place = np.full(len(data), -1, np.int32)
             place[at] = number[code]
             codes.append(place)
-            pairs = pairs[often[pairs // many]]
-            run, whose = [number[pairs // many].astype(np.int32)], [(pairs % many).astype(np.int32)]
             wanted = values[often]
-            marks = np.zeros(1 << 22, bool)
-            marks[(wanted >> np.uint64(42)).astype(np.int64)] = True
-            begin = n
-            while begin < len(rows) and len(wanted):
-                end, size = begin, 0
-                while end < len(rows) and size < SLICE_BYTES:
-                    size += len(rows[end])
-                    end += 1
-                part = np.frombuffer(b"".join(rows[begin:end]), np.uint8)
-                text = np.repeat(np.arange(begin, end), [len(own) for own in rows[begin:end]])
-                at = _inner(text, width)
-                hashes = _rolling(part, width)[at]
-                likely = np.flatnonzero(marks[(hashes >> np.uint64(42)).astype(np.int64)])
-                found = np.minimum(np.searchsorted(wanted, hashes[likely]), len(wanted) - 1)
-                same = wanted[found] == hashes[likely]
-                pairs = np.unique(found[same].astype(np.int64) * many + group[text[at[likely[same]]]])
-                run.append((pairs // many).astype(np.int32))
-                whose.append((pairs % many).astype(np.int32))
-                begin = end
-            pairs = np.unique(np.concatenate(run).astype(np.int64) * many + np.concatenate(whose))
-            held.append(((pairs // many).astype(np.int32), (pairs % many).astype(np.int32)))
-        return cls(rows, label, group, data, owner, codes, held)
-
-    def passages(self, chosen: np.ndarray, chance: float) -> list[bytes]:
-        """Stretches of the chosen toxic texts in runs that are toxic by contrast."""
-        used, label = np.zeros((2, int(self.group.max()) + 1), bool)
-        used[self.group[chosen]] = True
-        label[self.group[self.toxic == 1]] = True
-        share = label[used].mean()
-        marked, inside = np.zeros(len(self.data), bool), used[self.group[self.owner]]
-        known = np.zeros(len(self.data), np.int64)  # bytes of the telling run that starts here
-        for width, place, (run, text) in zip(RUNS, self.codes, self.held):
-            if not len(run):
+            held = np.zeros((2, PARTS, len(wanted)), np.int64)
+            kept = often[run]
+            np.add.at(held, (1, part[first[whose[kept]]], number[run[kept]]), 1)
+            for begin, end in _runs_of_groups(rows, turn, n):
+                found, text = _occurrences(rows, begin, end, width, wanted)
+                pairs = np.unique(found * (turn[-1] + 1) + turn[text])
+                run, whose = np.divmod(pairs, turn[-1] + 1)
+                np.add.at(held, (0, part[first[whose]], run), 1)
+            counts.append(held)
+        return cls(rows, label, group, part, data, owner, codes, counts)
+
+    def passages(self, parts: list[int], chance: float) -> list[bytes]:
+        """Stretches of the toxic texts of some parts in runs that are toxic by contrast."""
+        used = np.isin(self.part, parts)
+        share = len(set(self.group[used & (self.toxic == 1)])) / max(1, len(set(self.group[used])))
+        marked, inside = np.zeros(len(self.data), bool), used[self.owner]
+        known = np.zeros(len(self.data), np.int8)  # bytes of the telling run that starts here
+        for width, place, held in zip(RUNS, self.codes, self.counts):
+            if not held.shape[2]:
                 continue
-            n = int(run.max()) + 1
-            own = used[text]
-            both = np.bincount(run[own], minlength=n)
-            toxic = np.bincount(run[own & label[text]], minlength=n)
-            ratio = (toxic + 0.5) / (both - toxic + 0.5) * (1 - share) / share
-            telling = (_tail(toxic, both, share) < chance) & (ratio >= ODDS)
+            ordinary, toxic = held[:, parts].sum(axis=1)
+            ratio = (toxic + 0.5) / (ordinary + 0.5) * (1 - share) / share
+            telling = (_tail(toxic, ordinary + toxic, share) < chance) & (ratio >= ODDS)
             at = np.flatnonzero((place >= 0) & inside)
             at = at[telling[place[at]]]
             # Runs that hold a shorter telling one say nothing new.
@@ -344,6 +330,31 @@ class Sample:
         return found
 
 
+def _runs_of_groups(rows: list[bytes], turn: np.ndarray, begin: int) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about ``SLICE_BYTES`` from a place on, each of whole groups."""
+    size, start = 0, begin
+    for at in range(begin, len(rows)):
+        size += len(rows[at])
+        if at + 1 == len(rows) or (size >= SLICE_BYTES and turn[at + 1] != turn[at]):
+            yield start, at + 1
+            size, start = 0, at + 1
+
+
+def _occurrences(
+    rows: list[bytes], begin: int, end: int, width: int, wanted: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted hashes of runs (sorted) in some texts: which hash, and which text."""
+    if not len(wanted):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    data = np.frombuffer(b"".join(rows[begin:end]), np.uint8)
+    text = np.repeat(np.arange(begin, end), [len(own) for own in rows[begin:end]])
+    at = _inner(text, width)
+    hashes = _rolling(data, width)[at]
+    found = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+    same = wanted[found] == hashes
+    return found[same].astype(np.int64), text[at[same]]
+
+
 def _tail(hits: np.ndarray, trials: np.ndarray, share: float) -> np.ndarray:
     """Chernoff bound of the chance of so many hits in so many trials."""
     rate = np.clip(hits / np.maximum(trials, 1), 1e-12, 1 - 1e-12)
@@ -371,10 +382,11 @@ def _toxic_dictionary(passages: list[bytes]) -> bytes:
     return b"".join(reversed(rest))[-(TOXIC_BYTES - len(trained)):] + trained
 
 
-def _dictionaries(sample: Sample, chosen: np.ndarray) -> tuple[list[bytes], bytes]:
-    """The toxic dictionaries and the ordinary one from the chosen texts of the sample."""
-    toxic = [_toxic_dictionary(sample.passages(chosen, chance)) for chance in CHANCES]
-    ordinary = [sample.texts[at] for at in chosen.tolist() if not sample.toxic[at]]
+def _dictionaries(sample: Sample, parts: list[int]) -> tuple[list[bytes], bytes]:
+    """The toxic dictionaries and the ordinary one from some parts of the sample."""
+    toxic = [_toxic_dictionary(sample.passages(parts, chance)) for chance in CHANCES]
+    chosen = np.flatnonzero(np.isin(sample.part, parts) & (sample.toxic == 0))
+    ordinary = [sample.texts[at] for at in chosen.tolist()]
     places = [(at, begin) for at, text in enumerate(ordinary) for begin in range(0, len(text), SAMPLE_BYTES)]
     order = np.random.default_rng(0).permutation(len(places))[:ORDINARY_SAMPLES]
     windows = [ordinary[at][begin:begin + SAMPLE_BYTES] for at, begin in (places[place] for place in order)]
@@ -408,22 +420,16 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         weights[-1] = -np.inf
         return Model([b""] * len(CHANCES), b" " * 32, np.zeros(FEATURES), np.ones(FEATURES), weights)
     sample = Sample.of(array, labels)
-    # Groups of near copies take turns, class by class, so that every part has some of both.
-    part = np.zeros(len(sample.texts), np.int64)
-    for label in (0, 1):
-        own = np.flatnonzero(sample.toxic == label)
-        part[own] = np.unique(sample.group[own], return_inverse=True)[1] % PARTS
-    spelled = pa.array([own.decode("utf-8", "replace") for own in sample.texts], pa.string())
     features = np.zeros((len(sample.texts), FEATURES))
     for number in range(PARTS):
-        apart, rest = np.flatnonzero(part == number), np.flatnonzero(part != number)
-        if len(apart) and 0 < sample.toxic[rest].sum() < len(rest):
-            model = Model(*_dictionaries(sample, rest), 0, 1, np.zeros(0))
-            own = spelled.take(pa.array(apart))
+        apart, rest = np.flatnonzero(sample.part == number), sample.toxic[sample.part != number]
+        if len(apart) and 0 < rest.sum() < len(rest):
+            model = Model(*_dictionaries(sample, [other for other in range(PARTS) if other != number]), 0, 1, np.zeros(0))
+            own = pa.array([sample.texts[at].decode("utf-8", "replace") for at in apart.tolist()], pa.string())
             features[apart] = np.concatenate([model.features(own.slice(b, n)) for b, n in cuts(own, SLICE_BYTES)])
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-9
     weights = _fit((features - mean) / scale, sample.toxic)
-    return Model(*_dictionaries(sample, np.arange(len(sample.texts))), mean, scale, weights)
+    return Model(*_dictionaries(sample, list(range(PARTS))), mean, scale, weights)
 
 
 def fold(doc_id: Column) -> Column:
