@@ -339,3 +339,20 @@ def test_ingest_of_nothing(spark, tmp_path):
     lake = Lake(spark, str(tmp_path))
     assert ingest(lake, arrivals(spark)) == [] and retry(lake) == []
     assert lake.gold().months.count() == 0 and lake.facility_counts().count() == 0
+
+
+def test_expiry_of_a_lake(spark, tmp_path):
+    landing = tmp_path / "landing"
+    lake = Lake(spark, str(tmp_path / "lake"))
+    for n in range(3):
+        pbj(landing, f"{n}.csv", worked("1", "2024-04-01", str(n)))
+        run_ingest(lake, str(landing))
+    folders = Folder(spark, f"{lake.path}/gold_daily_staffing_fact/data")
+    assert len(folders.names()) == 3
+    lake.expire(keep=1, seconds=0)
+    assert len(folders.names()) == 1
+    assert [int(r.hrs_rn) for r in lake.daily.read().collect()] == [2] and lake.gold().months.count() == 1
+    pbj(landing, "3.csv", worked("1", "2024-04-01", "3"))
+    run_ingest(lake, str(landing))
+    assert [int(r.hrs_rn) for r in lake.daily.read().collect()] == [3]
+    assert len(ledger(lake)) == 4

@@ -11,7 +11,7 @@ from wardlake.operators import stats
 from wardlake.operators.selection import Selection
 from wardlake.plans import dashboard, views
 from wardlake.plans.views import Gold
-from wardlake.session import materialize
+from wardlake.session import written
 from wardlake.sources import sample
 from wardlake.sources.tables import write_partitioned
 
@@ -140,16 +140,16 @@ def test_filtered_units_prune_months_at_the_scan(stored, name):
 def test_kpi_with_extras_reads_the_fact_once(spark, stored):
     seen = []
 
-    def counted(df):
+    def counted(df, purpose):
         seen.append(len([line for line in plan(df).splitlines() if "FileScan" in line and "residents" in line]))
-        return materialize(df)
+        return written(df, purpose)
 
-    original = stats.materialize
-    stats.materialize = counted
+    original = stats.written
+    stats.written = counted
     try:
         row = dashboard.bed_util_kpi(stored)
     finally:
-        stats.materialize = original
+        stats.written = original
     assert seen == [1] and "residents" not in plan(row) and row.count() == 1
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wardlake.functions.measures import mean
 from wardlake.operators.ranges import PART, SortedRanges
-from wardlake.session import materialize
+from wardlake.session import written
 
 BOX_EXTENT = 1.5
 
@@ -124,7 +124,7 @@ def kpi(
             *named,
         )
     if extra:
-        df = materialize(df)
+        df = written(df, "kpi")
     counts = ValueCounts(df, column)
     median, p90 = (F.lit(value).cast("double") for value in counts.quantiles([0.5, 0.9]))
     row = counts.rows.agg(
@@ -218,6 +218,6 @@ def boxplot(df: DataFrame, column: str) -> DataFrame:
 
 def outliers(df: DataFrame, column: str) -> DataFrame:
     """The rows whose value lies beyond the whiskers of ``boxplot``."""
-    kept = materialize(df)
+    kept = written(df, "outliers")
     _, inside = _box(ValueCounts(kept, column))
     return kept.withColumn("value", F.col(column)).where(~inside).select(*df.columns)

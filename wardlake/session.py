@@ -64,8 +64,3 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def materialize(df):
-    """Compute ``df`` once into reliable storage and cut its lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
