@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,10 +53,10 @@ def scope() -> Iterator[list[str]]:
 
 def release(spark: SparkSession, paths: list[str], needed: DataFrame) -> list[str]:
     """Delete the given tables but for those that ``needed`` reads; returns the paths that are left."""
-    read = {file.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for file in needed.inputFiles()}
+    read = {urlparse(file).path.rsplit("/", 1)[0] for file in needed.inputFiles()}
     left = []
     for path in paths:
-        plain = path.split(":", 1)[-1].lstrip("/")
+        plain = urlparse(path).path
         if any(folder == plain or folder.startswith(f"{plain}/") for folder in read):
             left.append(path)
         else:
