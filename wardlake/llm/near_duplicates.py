@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from wardlake.llm.bits import ONCE, bit_set, may_hold, rarity
 from wardlake.llm.store import discard, stored
-from wardlake.llm.text import mix, powers, slices, words
+from wardlake.llm.text import give_back, mix, powers, slices, words
 
 K = 2
 ELL = 3
@@ -157,6 +157,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(bands, pa.list_(pa.int64())),
                 pa.array([tokens[b:e].tobytes() for b, e in zip(begins, ends, strict=True)], pa.binary()),
             ], schema=_SKETCHED_ARROW)
+    give_back()
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,6 +281,8 @@ def _verify(similarity: float):
                 [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
                 names=["a", "b", "linked"],
             )
+        give_back()
+
     return verify
 
 

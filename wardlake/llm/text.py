@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +52,14 @@ def powers(base: np.uint64, size: int) -> np.ndarray:
     return kept[:size]
 
 
+def give_back() -> None:
+    """Return memory that a worker no longer uses to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 @dataclass
 class Words:
     """Words of some consecutive texts: byte ranges in ``data``, hashes, and each text's range."""

@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.text import _BASE, _BASE_INVERSE, _BYTE_VALUES, Words, cuts, mix, powers, words
+from wardlake.llm.text import _BASE, _BASE_INVERSE, _BYTE_VALUES, Words, cuts, give_back, mix, powers, words
 
 FOLDS = 5
 TRAIN_ROWS = 6000
@@ -420,6 +420,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         weights[-1] = -np.inf
         return Model([b""] * len(CHANCES), b" " * 32, np.zeros(FEATURES), np.ones(FEATURES), weights)
     sample = Sample.of(array, labels)
+    give_back()
     features = np.zeros((len(sample.texts), FEATURES))
     for number in range(PARTS):
         apart, rest = np.flatnonzero(sample.part == number), sample.toxic[sample.part != number]
@@ -457,6 +458,8 @@ def train_on(docs: DataFrame, labels: DataFrame) -> Model:
             texts += batch.column(0).to_pylist()
             toxic += batch.column(1).to_pylist()
         model = pickle.dumps(train(texts, toxic))
+        texts.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     fitted = training_rows(docs, labels).coalesce(1).mapInArrow(fit, "model binary").collect()
@@ -470,6 +473,7 @@ def toxicity(text: Column, model: Model) -> Column:
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         parts = [model.scores(texts.slice(b, n)) for b, n in cuts(texts, SLICE_BYTES)]
+        give_back()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return score(text)
