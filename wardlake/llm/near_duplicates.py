@@ -21,10 +21,11 @@ counts give a lower bound that settles most pairs of different texts without it.
 connected components of all links.
 
 No bucket is expanded into all pairs. Texts of equal words are one node from the start. In each
-bucket every text is first compared with one representative, twice over (``STAR_ROUNDS``); only
-texts that are still apart from their bucket's representative are then compared with the others
-of the bucket that lie in other components, so a large group of copies costs one comparison per
-text, and no link between different components is lost within a bucket. Of those others, texts of
+bucket the first text is the representative. A text is first compared with one of its
+representatives, then with another one and with the rest (``STAR_ROUNDS``), each time only where the links so far leave the
+two in different components. Only texts still apart from their bucket's representative
+are then compared with the others of the bucket that lie in other components, so a large group of copies costs few
+comparisons per text, and no link between different components is lost within a bucket. Of those others, texts of
 another length and texts with too many words that the other lacks are passed over in the join. What
 is left grows with the square of the number of unlike texts that share a bucket, that is, the same
 k-mers in the same order in every sketch of a band, or a rare word of short texts.
@@ -54,8 +55,9 @@ BANDS = 40
 SHORT = 64  # words; shorter texts are also compared by the exact rule
 RARITY_BITS = 20  # hash buckets counted for the rarity of words of short texts
 SIMILARITY = 0.8
-STAR_ROUNDS = 2
+STAR_ROUNDS = (F.min, F.max, None)  # which representative a text is compared with; None: all that are left
 SALTS = 16
+LARGE = 1000  # members of a bucket that is dealt out by salts
 SLICE_BYTES = 1 << 20
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _NONE = np.uint64(2**64 - 1)
@@ -330,17 +332,21 @@ def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     banded = banded.select("key", "n", F.xxhash64("band", "value").alias("bucket"))
     short = stored(_short_keys(nodes, tokens, similarity), "short-keys")
     banded = banded.unionByName(short)
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
 
     def beside(members: DataFrame) -> DataFrame:
-        """Members with the first one of their bucket, a large bucket dealt out by salts.
+        """Members with the first one of their bucket; buckets of one member give no candidates.
 
-        Buckets of one member give no candidates.
+        Large buckets are dealt out by salts. Which ones are large is told by a bit set, so that both
+        sides agree, and small buckets are not repeated for every salt.
         """
         reps = members.groupBy("bucket").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
-        reps = reps.where("size > 1").select("bucket", "rep", F.explode(salts).alias("salt"))
-        salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-        return salted.join(reps, ["bucket", "salt"]).drop("salt")
+        reps = stored(reps.where("size > 1"), "representatives")
+        large = bit_set(reps.where(F.col("size") > LARGE).select(F.col("bucket").alias("hash")))
+        dealt = may_hold(large, F.col("bucket"))
+        salts = F.when(dealt, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        salt = F.when(dealt, F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0)
+        reps = reps.select("bucket", "rep", F.explode(salts).alias("salt"))
+        return members.withColumn("salt", salt).join(reps, ["bucket", "salt"]).drop("salt")
 
     # Texts of a bucket whose lengths differ too much are parted: each is in two length classes, and
     # two texts that may be similar share one of them.
@@ -355,22 +361,30 @@ def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     wanted = live.select("key").distinct()
     some = may_hold(bit_set(wanted.select(F.xxhash64("key").alias("hash"))), F.xxhash64("key"))
     tokens = stored(tokens.where(some).join(wanted, "key", "left_semi"), "tokens")
-    links = aparts = None
-    for number in range(STAR_ROUNDS):
-        pairs = live.where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = stored(live.where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    links = labels = None
+
+    def parted(rows: DataFrame, one: str, other: str) -> DataFrame:
+        """Rows whose two texts are not in one component yet."""
+        if labels is None:
+            return rows
+        for name in (one, other):
+            known = labels.select(F.col("key").alias(name), F.col("label").alias(f"{name}_label"))
+            rows = rows.join(known, name, "left").withColumn(f"{name}_label", F.coalesce(f"{name}_label", name))
+        return rows.where(F.col(f"{one}_label") != F.col(f"{other}_label")).drop(f"{one}_label", f"{other}_label")
+
+    for choose in STAR_ROUNDS:
+        # First one representative a text; what its component settles need not be compared.
+        pairs = parted(stars, "a", "b")
+        if choose:
+            pairs = pairs.groupBy("a").agg(choose("b").alias("b"))
         found = stored(verified(pairs, tokens, similarity).where("linked").select("a", "b"), "star-links")
         links = found if links is None else links.unionByName(found)
-        if number == 0:
-            # Texts not linked to their bucket's first one try again with another one.
-            linked = found.select(F.col("a").alias("key"), F.col("b").alias("rep"))
-            aparts = live.where("key <> rep").join(linked, ["key", "rep"], "left_anti").drop("rep")
-            aparts = stored(aparts, "apart")
-            discard(live)
-            if aparts.isEmpty():
-                return links
-            live = stored(beside(aparts), "beside")
-
-    labels = components(links)
+        labels = components(links)
+    aparts = stored(parted(live.where("key <> rep"), "key", "rep").drop("rep"), "apart")
+    discard(live, stars)
+    if aparts.isEmpty():
+        return links
     label = F.coalesce("label", "key")
     # Texts apart from the first one, against the rest of the bucket in other components.
     near = shared.join(aparts.select("bucket").distinct(), "bucket", "left_semi")
@@ -399,7 +413,7 @@ def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     )
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = stored(verified(rest, tokens, similarity).where("linked").select("a", "b"), "more-links")
-    discard(shared, live, aparts, words, tokens)
+    discard(shared, aparts, words, tokens)
     return links.unionByName(found)
 
 
