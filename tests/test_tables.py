@@ -9,6 +9,7 @@ from small import day
 from wardlake.functions.measures import month_of
 from wardlake.operators.upsert import upsert
 from wardlake.schemas import GOLD_DAILY, GOLD_FACILITY_DIM
+from wardlake.sources import tables
 from wardlake.sources.export import export_csv, export_ordered
 from wardlake.sources.tables import LakeTable, merge_into_catalog
 
@@ -136,6 +137,21 @@ def test_a_bucketed_merge_shuffles_the_source_only(spark, tmp_path):
     assert "Exchange" not in stored and "Bucketed: true" in arriving and arriving.count("Exchange") == 1
 
 
+def test_a_folder_has_one_file_however_many_its_first_cluster_values(spark, tmp_path):
+    """Folders are not dealt out over all tasks, which would make files by folders times tasks."""
+    rows = [day("2024-%02d-01" % (n % 12 + 1), "AL" if n % 5 else "GA", str(n), rn=n) for n in range(600)]
+    df = fact(spark, *rows).withColumn("month", month_of("workdate")).repartition(4)
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesced)
+    spark.conf.set(coalesced, "false")  # so little data would go through one task
+    try:
+        tables.write_partitioned(df, f"{tmp_path}/t", ["month", "state"], ["ccn"])
+    finally:
+        spark.conf.set(coalesced, before)
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    assert stored.count() == 600 and len(stored.inputFiles()) == 24
+
+
 def test_buckets_need_rejected_null_keys(spark):
     rows = fact(spark, day("2024-04-01", "AL", "1", rn=1))
     with pytest.raises(ValueError, match="no bucket"):
