@@ -137,6 +137,30 @@ def test_a_bucketed_merge_shuffles_the_source_only(spark, tmp_path):
     assert "Exchange" not in stored and "Bucketed: true" in arriving and arriving.count("Exchange") == 1
 
 
+def test_a_large_merge_is_not_held_to_a_task_per_bucket(spark, tmp_path, monkeypatch):
+    """Small merges go bucket by bucket, larger ones as their rows need; the files are the same."""
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 20, raising=False)
+    held, inner = [], tables.upsert
+
+    def upserted(*given, **rules):
+        held.append(rules.get("partitions", 0))
+        return inner(*given, **rules)
+
+    monkeypatch.setattr(tables, "upsert", upserted)
+    plain, dealt = daily_table(spark, tmp_path / "a"), daily_table(spark, tmp_path / "b", buckets=2)
+    few = [day("2024-04-01", "AL", str(n), rn=n) for n in range(20)]
+    many = [day("2024-%02d-01" % (n % 2 + 4), "AL", str(n), rn=2 * n) for n in range(90)]
+    later = [day("2024-04-01", "GA", "1", rn=70)]
+    for rows in (few, many, later):
+        for table in (plain, dealt):
+            table.merge(fact(spark, *rows, (None, *day("2024-04-01", "AL", "x", rn=1)[1:])))
+    assert held[1::2] == [2, 0, 0]  # of ``dealt``; before the last merge April has 55 rows
+    assert sorted(dealt.read().collect(), key=str) == sorted(plain.read().collect(), key=str)
+    assert len(hours(dealt)) == 100
+    for month in ("2024-04-01", "2024-05-01"):
+        assert len({path.split("_")[-1][:5] for path in dealt.read([month]).inputFiles()}) == 2
+
+
 def test_a_folder_has_one_file_however_many_its_first_cluster_values(spark, tmp_path):
     """Folders are not dealt out over all tasks, which would make files by folders times tasks."""
     rows = [day("2024-%02d-01" % (n % 12 + 1), "AL" if n % 5 else "GA", str(n), rn=n) for n in range(600)]
