@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -179,3 +180,29 @@ def test_short_texts_equal_brute_force(documents):
     for k, x in enumerate(label):
         truth.setdefault(x, set()).add(k)
     assert groups_of(nd.near_duplicates(documents([(k, " ".join(t)) for k, t in enumerate(rows)]))) == truth
+
+
+def test_words_of_long_texts_are_not_stored_with_sketches():
+    texts = ["a b c", " ".join(f"w{k}" for k in range(nd.SHORT + 1))]
+    ids = pa.array([1, 2], pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["rid", "doc_id", "text"])
+    (sketched,) = nd._sketch(iter([batch]))
+    assert [tokens is None for tokens in sketched.column("tokens").to_pylist()] == [False, True]
+    (lists,) = nd._token_lists(iter([batch.select(["text"])]))
+    assert lists.column("identity") == sketched.column("key")
+    assert [len(tokens) for tokens in lists.column("tokens").to_pylist()] == [4 * 3, 4 * (nd.SHORT + 1)]
+
+
+def test_texts_apart_from_their_representative_are_compared_in_every_part(spark):
+    rng, nodes, tokens, truth = random.Random(11), [], [], set()
+    for k in range(12):  # in each bucket an unlike text comes first, then two that are alike
+        unlike, text = ([rng.randrange(2**31) for _ in range(100)] for _ in range(2))
+        other = [*text[:95], *(rng.randrange(2**31) for _ in range(5))]
+        for at, words_of in enumerate((unlike, text, other)):
+            nodes.append((3 * k + at, 100, [k]))
+            tokens.append((3 * k + at, np.array(words_of, np.uint32).tobytes()))
+        truth.add((3 * k + 1, 3 * k + 2))
+    nodes = spark.createDataFrame(nodes, "node long, n int, bands array<long>")
+    tokens = spark.createDataFrame(tokens, "key long, tokens binary")
+    links = nd._links(nodes, tokens.limit(0), lambda keys: tokens.join(keys, "key", "left_semi"), nd.SIMILARITY)
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()} == truth

@@ -26,7 +26,9 @@ representatives, then with another one and with the rest (``STAR_ROUNDS``), each
 two in different components. Only texts still apart from their bucket's representative
 are then compared with the others of the bucket that lie in other components, so a large group of copies costs few
 comparisons per text, and no link between different components is lost within a bucket. Of those others, texts of
-another length and texts with too many words that the other lacks are passed over in the join. What
+another length and texts with too many words that the other lacks are passed over in the join,
+which takes the buckets in ``BUCKET_PARTS`` parts. The words of longer texts are not kept beside the sketches but
+made again from the texts, for candidates only. What
 is left grows with the square of the number of unlike texts that share a bucket, that is, the same
 k-mers in the same order in every sketch of a band, or a rare word of short texts.
 
@@ -36,12 +38,12 @@ document, null and repeated ids too; extra columns are ignored; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.bits import ONCE, bit_set, may_hold, rarity
@@ -58,6 +60,7 @@ SIMILARITY = 0.8
 STAR_ROUNDS = (F.min, F.max, None)  # which representative a text is compared with; None: all that are left
 SALTS = 16
 LARGE = 1000  # members of a bucket that is dealt out by salts
+BUCKET_PARTS = 4  # parts of the buckets in which texts are compared with many others
 SLICE_BYTES = 1 << 20
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _NONE = np.uint64(2**64 - 1)
@@ -136,7 +139,16 @@ def band_keys(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray,
     return text[own], keys.view(np.int64)
 
 
+def _identities(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """128 bits for each text that tell its sequence of words."""
+    low, high = _prefix(hashes), _prefix(mix(hashes ^ _STEP))
+    run = powers(_STEP, int((ends - begins).max(initial=0)) + 1)[ends - begins]
+    identity = np.stack([sums[ends] - sums[begins] * run for sums in (low, high)], axis=1).astype("<u8")
+    return pa.array([row.tobytes() for row in identity], pa.binary())
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches of all texts; word hashes only of short ones, as these are all needed soon."""
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
             found = words(part.column(2))
@@ -146,29 +158,31 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands: list = [[]] * part.num_rows
             for text, row in zip(texts.tolist(), keys.tolist(), strict=True):
                 bands[text] = row
-            low, high = _prefix(found.hashes), _prefix(mix(found.hashes ^ _STEP))
-            run = powers(_STEP, int((ends - begins).max(initial=0)) + 1)[ends - begins]
-            identity = np.stack(
-                [sums[ends] - sums[begins] * run for sums in (low, high)], axis=1
-            ).astype("<u8")
             tokens = found.hashes.astype(np.uint32)
+            short = [tokens[b:e].tobytes() if e - b <= SHORT else None for b, e in zip(begins, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1),
-                pa.array([row.tobytes() for row in identity], pa.binary()),
+                _identities(found.hashes, begins, ends),
                 pa.array(ends - begins, pa.int32()),
                 pa.array(bands, pa.list_(pa.int64())),
-                pa.array([tokens[b:e].tobytes() for b, e in zip(begins, ends, strict=True)], pa.binary()),
+                pa.array(short, pa.binary()),
             ], schema=_SKETCHED_ARROW)
     give_back()
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each token list."""
+def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word hashes of texts, under the texts' identities."""
     for batch in batches:
-        words = [np.unique(np.frombuffer(t.as_buffer(), np.int32)) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(words, pa.list_(pa.int32()))], names=["key", "words"]
-        )
+        for part in slices(batch, "text", SLICE_BYTES):
+            found = words(part.column(0))
+            ends = found.text_ends
+            begins = np.concatenate([[0], ends[:-1]])
+            tokens = found.hashes.astype(np.uint32)
+            lists = [tokens[b:e].tobytes() for b, e in zip(begins, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [_identities(found.hashes, begins, ends), pa.array(lists, pa.binary())], names=["identity", "tokens"]
+            )
+    give_back()
 
 
 def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +196,19 @@ def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], names=["key", "n", "words"])
 
 
+_VOCABULARY = "key long, n int, label long, buckets array<long>, words array<int>"
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the distinct words of each token list (the last column) in its place."""
+    for batch in batches:
+        *others, lists = batch.columns
+        words = [np.unique(np.frombuffer(t.as_buffer(), np.int32)) for t in lists]
+        yield pa.RecordBatch.from_arrays(
+            [*others, pa.array(words, pa.list_(pa.int32()))], names=["key", "n", "label", "buckets", "words"]
+        )
+
+
 def _short_keys(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     """Buckets (``key``, ``n``, ``bucket``) of which two short texts that are alike share one."""
     short = nodes.where(F.col("n").between(1, SHORT)).select(F.col("node").alias("key"), "n")
@@ -326,11 +353,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
-    """Verified links between nodes (``node``, ``n``, ``bands``); ``tokens`` by ``key``."""
+def _links(
+    nodes: DataFrame, short_tokens: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], similarity: float
+) -> DataFrame:
+    """Verified links between nodes (``node``, ``n``, ``bands``).
+
+    ``short_tokens`` has the words of short texts by ``key``; ``tokens_of`` makes those of the wanted keys.
+    """
     banded = nodes.select(F.col("node").alias("key"), "n", F.posexplode("bands").alias("band", "value"))
     banded = banded.select("key", "n", F.xxhash64("band", "value").alias("bucket"))
-    short = stored(_short_keys(nodes, tokens, similarity), "short-keys")
+    short = stored(_short_keys(nodes, short_tokens, similarity), "short-keys")
     banded = banded.unionByName(short)
 
     def beside(members: DataFrame) -> DataFrame:
@@ -358,9 +390,7 @@ def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     shared = stored(shared.select("key", "n", F.xxhash64("bucket", "length").alias("bucket")), "classes")
     discard(short)
     live = stored(beside(shared), "beside")
-    wanted = live.select("key").distinct()
-    some = may_hold(bit_set(wanted.select(F.xxhash64("key").alias("hash"))), F.xxhash64("key"))
-    tokens = stored(tokens.where(some).join(wanted, "key", "left_semi"), "tokens")
+    tokens = stored(tokens_of(live.select("key").distinct()), "tokens")
     stars = stored(live.where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = labels = None
 
@@ -386,20 +416,25 @@ def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     if aparts.isEmpty():
         return links
     label = F.coalesce("label", "key")
-    # Texts apart from the first one, against the rest of the bucket in other components.
-    near = shared.join(aparts.select("bucket").distinct(), "bucket", "left_semi")
-    some = tokens.select("key", "tokens").join(near.select("key").distinct(), "key", "left_semi")
-    words = stored(some.mapInArrow(_vocabulary, "key long, words array<int>"), "words")
+    # Texts apart from the first one, against the rest of the bucket in other components. Each text has one
+    # row with its buckets of that kind (at most two for each sketch or rare word) and its words.
+    mixed = bit_set(aparts.select(F.col("bucket").alias("hash")))
+    buckets = shared.groupBy("key", "n").agg(F.collect_set("bucket").alias("buckets"))
+    kept = F.filter("buckets", lambda bucket: may_hold(F.col("_mixed"), bucket))
+    buckets = buckets.withColumn("_mixed", mixed).select("key", "n", kept.alias("buckets"))
+    buckets = buckets.where(F.size("buckets") > 0).join(labels, "key", "left")
+    some = buckets.join(tokens, "key").select("key", "n", label.alias("label"), "buckets", "tokens")
+    texts = stored(some.mapInArrow(_vocabulary, _VOCABULARY), "words")
+
     def side(members: DataFrame, name: str) -> DataFrame:
-        """Members with their words and all their buckets here, at most two for each sketch or rare word."""
-        buckets = members.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
-        whole = members.join(buckets.join(labels, "key", "left").join(words, "key"), "key")
-        return whole.select(
-            "bucket", F.col("key").alias(name), F.col("n").alias(f"{name}_n"), label.alias(f"{name}_label"),
-            F.col("words").alias(f"{name}_words"), F.col("buckets").alias(f"{name}_buckets"),
-        )
+        return members.select("bucket", *(
+            F.col(column).alias(f"{name}_{column}" if column != "key" else name)
+            for column in ("key", "n", "label", "words", "buckets")
+        ))
+
+    def in_part(part: int) -> Callable[[Column], Column]:
+        return lambda bucket: F.pmod(bucket, F.lit(BUCKET_PARTS)) == part
 
-    left, right = side(aparts, "a"), side(near, "b")
     # Each distinct word that the other text lacks is an edit, whatever else differs.
     most = (1 - similarity) * F.greatest("a_n", "b_n") + 1e-9
     close = F.abs(F.col("a_n") - F.col("b_n")) <= most
@@ -407,13 +442,19 @@ def _links(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     close = close & (F.array_min(F.array_intersect("a_buckets", "b_buckets")) == F.col("l.bucket"))
     for one, other in (("a_words", "b_words"), ("b_words", "a_words")):
         close = close & (F.size(F.array_except(one, other)) <= most)
-    rest = left.alias("l").join(
-        right.alias("r"),
-        (F.col("l.bucket") == F.col("r.bucket")) & (F.col("a_label") != F.col("b_label")) & close,
-    )
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = stored(verified(rest, tokens, similarity).where("linked").select("a", "b"), "more-links")
-    discard(shared, aparts, words, tokens)
+    # The buckets are taken in parts, one after the other, so that the wide rows of one part only are on disk.
+    rest = None
+    for part in range(BUCKET_PARTS):
+        left = side(aparts.where(in_part(part)(F.col("bucket"))).select("key", "bucket").join(texts, "key"), "a")
+        right = texts.withColumn("bucket", F.explode(F.filter("buckets", in_part(part))))
+        pairs = left.alias("l").join(
+            side(right, "b").alias("r"),
+            (F.col("l.bucket") == F.col("r.bucket")) & (F.col("a_label") != F.col("b_label")) & close,
+        )
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        rest = pairs if rest is None else rest.unionByName(pairs)
+    found = stored(verified(rest.distinct(), tokens, similarity).where("linked").select("a", "b"), "more-links")
+    discard(shared, aparts, texts, tokens, rest)
     return links.unionByName(found)
 
 
@@ -440,8 +481,17 @@ def _classified(
     copies = stored(sketches.groupBy("key").agg(F.min("rid").alias("node")), "nodes")
     firsts = copies.select(F.col("node").alias("rid"))
     nodes = sketches.select("rid", "n", "bands").where("n > 0").join(firsts, "rid", "left_semi")
-    tokens = sketches.select(F.col("rid").alias("key"), "tokens")
-    links = _links(nodes.withColumnRenamed("rid", "node"), tokens, similarity)
+    short_tokens = sketches.where(F.col("n").between(1, SHORT)).select(F.col("rid").alias("key"), "tokens")
+
+    def tokens_of(keys: DataFrame) -> DataFrame:
+        """Words of the nodes (``key``), made again from the texts: few are needed, and all are as large as the texts."""
+        named = copies.join(keys.withColumnRenamed("key", "node"), "node", "left_semi")
+        named = stored(named.select(F.col("key").alias("identity"), F.col("node").alias("key")), "named")
+        some = may_hold(bit_set(named.select(F.xxhash64("identity").alias("hash"))), F.xxhash64("identity"))
+        lists = chosen.select("text").mapInArrow(_token_lists, "identity binary, tokens binary").where(some)
+        return lists.join(named, "identity").select("key", "tokens").dropDuplicates(["key"])
+
+    links = _links(nodes.withColumnRenamed("rid", "node"), short_tokens, tokens_of, similarity)
     labels = components(links).select(F.col("key").alias("node"), "label")
 
     placed = copies.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
